@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The whitespace class of the source log format (ECMAScript) and line thresholds.
 SPACE_CHARS = (
@@ -25,7 +26,7 @@ FP_HEX = 16
 MAYBE_DECOMPOSED = r"[^\x{00}-\x{2FF}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 

@@ -8,12 +8,12 @@ Frames (all keyed by repo_id, rel_path, fp):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklake.config import DAY, OutcomeRules
 from worklake.functions.text import fnv1a
-from worklake.operators.ordered import asof
+from worklake.operators.ordered import asof, positions
 
 KEY = ["repo_id", "rel_path", "fp"]
 
@@ -196,12 +196,7 @@ def other_file(files: DataFrame) -> DataFrame:
 
     One row per distinct file; single-file repositories get null.
     """
-    by_repo = Window.partitionBy("repo_id")
-    ranked = files.select("repo_id", "rel_path").distinct().select(
-        "repo_id",
-        "rel_path",
-        (F.row_number().over(by_repo.orderBy("rel_path")) - 1).alias("pos"),
-    )
+    ranked = positions(files.select("repo_id", "rel_path").distinct(), ["repo_id"], "rel_path", "pos")
     sizes = ranked.groupBy("repo_id").agg(F.count("*").alias("n"))
     placed = ranked.join(sizes, "repo_id").withColumn("start", fnv1a(F.col("rel_path")) % F.col("n"))
     # Landing on itself moves one on.

@@ -214,3 +214,22 @@ def pick_rank(
         F.max("__n").alias("n"),
         *[F.max(F.when(F.col("__w.name") == n, F.col(value))).alias(n) for n in shares],
     )
+
+
+def positions(df: DataFrame, keys: list[str], value: str, out: str, prefix: int = 16) -> DataFrame:
+    """Zero-based sorted position of each distinct string per key.
+
+    Sorted order by the whole string equals order by its prefix, then by the string, so each
+    prefix is numbered on its own and shifted by the sizes of the prefixes before it.
+    """
+    cut = df.withColumn("__p", F.substring(value, 1, prefix))
+    sizes = cut.groupBy(*keys, "__p").agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = sizes.select(*keys, "__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__skip"))
+    inside = Window.partitionBy(*keys, "__p").orderBy(value)
+    return (
+        cut.withColumn("__rn", F.row_number().over(inside))
+        .join(shifted, [*keys, "__p"])
+        .withColumn(out, F.col("__rn") - 1 + F.col("__skip"))
+        .drop("__p", "__rn", "__skip")
+    )
