@@ -170,7 +170,8 @@ def collapse_runs(
     """
     marked = df.withColumn("__same", F.struct(same.alias("s")))
     with_prev = fill_last(marked, keys, bucket, order, {"__prev": F.col("__same")}, strict=True)
-    starts = F.coalesce(F.col("__prev.s") != F.col("__same.s"), F.lit(True))
+    joins = F.coalesce(F.col("__prev.s") == F.col("__same.s"), F.lit(False))
+    starts = ~joins
     first = with_prev.withColumn("__start", F.when(starts, F.struct(*order)))
     runs = fill_last(first, keys, bucket, order, {"run_start": F.col("__start")})
     return runs.groupBy(*keys, "run_start").agg(*aggs)

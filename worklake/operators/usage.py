@@ -14,21 +14,16 @@ def counter_deltas(counters: DataFrame, chunk: int = 65_536) -> DataFrame:
     """Cumulative counters to usage rows: file, session_id, ordinal, ts_ms, model, total, parts.
 
     A repeated total adds nothing; a grown one adds its difference; a first or smaller one counts
-    the call's own usage. Repeats never change the running total, so comparing with the line
-    before is the same as comparing with the last kept line.
+    the call's own usage. Repeats go first, so each kept line is compared with the last kept one.
     """
     parts = ["input", "cached", "output", "reasoning"]
-    now = F.struct("total", *parts)
-    prev = fill_last(
-        counters,
-        ["file"],
-        F.floor(F.col("ordinal") / chunk),
-        ["ordinal"],
-        {"prev": now},
-        strict=True,
+    slot = F.floor(F.col("ordinal") / chunk)
+    seen = fill_last(counters, ["file"], slot, ["ordinal"], {"before": F.col("total")}, strict=True)
+    fresh = seen.where(F.col("before").isNull() | (F.col("total") != F.col("before"))).drop("before")
+    kept = fill_last(
+        fresh, ["file"], slot, ["ordinal"], {"prev": F.struct("total", *parts)}, strict=True
     )
     grown = F.col("total") > F.col("prev.total")
-    kept = prev.where(F.col("prev").isNull() | (F.col("total") != F.col("prev.total")))
     delta = lambda p: F.when(
         F.coalesce(grown, F.lit(False)), F.greatest(F.lit(0), F.col(p) - F.col(f"prev.{p}"))
     ).otherwise(F.col(f"last_{p}"))

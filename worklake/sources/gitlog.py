@@ -72,9 +72,9 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .where(F.col("length") <= MAX_TREE_FILE_BYTES)
     )
-    text = F.try_to_binary(F.hex("content"), F.lit("hex"))
-    return files.where(~F.hex("content").rlike("^(..)*?00")).select(
-        F.col("path").alias("file"), F.decode(text, "UTF-8").alias("content")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return files.select(F.col("path").alias("file"), text.alias("content")).where(
+        F.instr("content", "\0") == 0
     )
 
 
