@@ -56,6 +56,7 @@ def run_pairs(
         .where("b_last > a_first")
         .where(F.col("b_first.ts_ms") <= F.col("a_last.ts_ms") + window)
         .select(*keys, "session_a", "session_b", "a_first", "a_last")
+        .distinct()
     )
 
 
@@ -145,9 +146,8 @@ def overwrites(
     by_pair = [*FILE, "session_a", "session_b"]
     # The earliest b decides, then the latest a before it; each line has at most one run pair there.
     first = met.groupBy(*by_pair).agg(
-        F.min(F.struct("b_at", F.struct((-F.col("a_at.ts_ms")).alias("t")))).alias("__f"),
-        F.min("a_start.ts_ms").alias("start_ms"),
-    ).select(*by_pair, F.col("__f.b_at").alias("b_at"), "start_ms")
+        F.min("b_at").alias("b_at"), F.min("a_start.ts_ms").alias("start_ms")
+    )
     # Latest a by (ts, id) at that b, and how many lines the two patches share.
     at_b = met.select(*by_pair, "fp", "b_at", "a_at").distinct().join(first, [*by_pair, "b_at"])
     last_a = at_b.groupBy(*by_pair, "b_at", "start_ms").agg(F.max("a_at").alias("a_at"))
