@@ -244,11 +244,12 @@ def link_sessions(
     chosen = materialize(
         starts.join(subs, "session_id", "left").select("session_id", "pred"), "chosen"
     )
+    waiting = None
     while True:
         pairs, left = examine(needs, offers, batch, rules)
         fresh = qualify(materialize(pairs, "pairs"), patches, rules)
         links = materialize(fresh if links is None else links.unionByName(fresh).distinct(), "links")
-        left = materialize(left, "left")
+        left = materialize(left if waiting is None else waiting.unionByName(left), "left")
         while True:
             roots = find_roots(chosen)
             age = roots.join(
@@ -273,13 +274,17 @@ def link_sessions(
             chosen = again.select("session_id", "pred")
             if again.where("not (pred <=> was)").isEmpty():
                 break
-        # A session is settled once its choice is newer than everything it has not looked at.
-        open_needs = (
-            left.join(again.select("session_id", "pred_start"), "session_id")
-            .where("pred_start is null or pred_start <= next_start")
-            .select("kind", "key", "session_id", "started_ms", "cursor")
+        # Settled: the choice is newer than everything not looked at. Settled sessions keep their
+        # place, since a later change of roots may still send them further back.
+        judged = materialize(
+            left.join(again.select("session_id", "pred_start"), "session_id").select(
+                *left.columns,
+                (F.col("pred_start").isNull() | (F.col("pred_start") <= F.col("next_start"))).alias("open"),
+            ),
+            "judged",
         )
-        needs = materialize(open_needs, "needs")
+        needs = judged.where("open").drop("open", "next_start")
+        waiting = judged.where("not open").drop("open")
         if needs.isEmpty():
             return chosen.join(roots, "session_id")
         batch *= 2
