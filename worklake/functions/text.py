@@ -163,7 +163,11 @@ def agent_name(provider: Column) -> Column:
 
 
 def compact_count(n: Column) -> Column:
-    one = lambda x: F.regexp_replace(F.format_number(F.round(x, 1), 1), ",", "")
+    # One decimal by the exact binary value; values that really end in a half go up.
+    half = lambda x: x * 4 == F.floor(x * 4)
+    one = lambda x: F.regexp_replace(
+        F.format_number(F.when(half(x), F.round(x, 1)).otherwise(x), 1), ",", ""
+    )
     return (
         F.when(n >= 10**9, F.concat(one(n / 10**9), F.lit("B")))
         .when(n >= 10**6, F.concat(one(n / 10**6), F.lit("M")))

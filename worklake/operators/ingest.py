@@ -60,10 +60,12 @@ def insert_new(batch: DataFrame, existing: DataFrame, key: list[str], order: lis
 
 def insert_report(batch: DataFrame, inserted: DataFrame) -> DataFrame:
     """inserted and duplicates as one row."""
-    a = batch.agg(F.count("*").alias("seen"))
-    b = inserted.agg(F.count("*").alias("inserted"))
-    # Two one-row aggregates side by side.
-    return a.join(b).select("inserted", (F.col("seen") - F.col("inserted")).alias("duplicates"))
+    mark = lambda df, kept: df.select(F.lit(kept).alias("kept"))
+    rows = mark(batch, 0).unionByName(mark(inserted, 1))
+    return rows.agg(
+        F.sum("kept").alias("inserted"),
+        (F.count_if(F.col("kept") == 0) - F.sum("kept")).alias("duplicates"),
+    )
 
 
 def upsert(

@@ -28,6 +28,14 @@ def class_counts(classes: list[str] = CLASSES) -> list[Column]:
     return [F.count_if(F.col("class") == c).alias(c) for c in classes]
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row frames with distinct columns as one row, without a join."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 # Sessions
 
 
@@ -101,7 +109,7 @@ def window_summary(
         F.count_if(F.col("class") == "lost").alias("files_lost"),
     )
     l = loops.agg(F.count_if(F.col("state") == "open").alias("open_loops"))
-    return a.join(o).join(l)  # one-row aggregates side by side
+    return side_by_side(a, o, l)
 
 
 # Outcomes
@@ -283,14 +291,21 @@ def recent_work(
     return page.join(shown.withColumnRenamed("root_session_id", "session_id"), "session_id", "left")
 
 
-def folded_files(folded: DataFrame, patches: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Per root session and file: edits, last edit, and the outcome of the latest member with one."""
+def folded_files(
+    folded: DataFrame, patches: DataFrame, outcomes: DataFrame, newest: bool = False
+) -> DataFrame:
+    """Per root session and file: edits, last edit and one outcome.
+
+    Where a session and its sub-agents both have an outcome for a file, lists show the one that
+    started first (they read newest first and let the last win), threads the newest.
+    """
+    pick = F.max_by if newest else F.min_by
     m = folded.select("session_id", "root_session_id", "started_ms")
     edits = patches.where("rel_path is not null").join(m, "session_id").groupBy(
         "root_session_id", "rel_path"
     ).agg(F.count("*").alias("edits"), F.max("ts_ms").alias("last_edit_ms"))
     states = outcomes.join(m, "session_id").groupBy("root_session_id", "rel_path").agg(
-        F.max_by(
+        pick(
             F.struct("class", "first_sha", "first_subject"), F.struct("started_ms", "session_id")
         ).alias("o")
     )
@@ -356,7 +371,7 @@ def resume_steps(
     """Per thread and top-level session: files edited and their outcome mix."""
     s = sessions.drop("thread_id").join(members.select("session_id", "thread_id"), "session_id")
     folded = _fold_in_thread(s)
-    work = folded_files(folded, patches, outcomes).groupBy("root_session_id").agg(
+    work = folded_files(folded, patches, outcomes, newest=True).groupBy("root_session_id").agg(
         F.count("*").alias("files"), *class_counts(KNOWN)
     )
     roots = folded.where("root_session_id = session_id").select(
@@ -384,7 +399,7 @@ def resume_files(members: DataFrame, sessions: DataFrame, patches: DataFrame, ou
     steps = folded.where("root_session_id = session_id").select(
         F.col("session_id").alias("root_session_id"), "thread_id", F.col("started_ms").alias("step_ms")
     )
-    work = folded_files(folded, patches, outcomes).join(steps, "root_session_id")
+    work = folded_files(folded, patches, outcomes, newest=True).join(steps, "root_session_id")
     return work.groupBy("thread_id", "rel_path").agg(
         F.max_by(
             F.struct("class", "sha", "subject"), F.struct("step_ms", "root_session_id")
@@ -522,9 +537,8 @@ def report_outcomes(sessions: DataFrame, outcomes: DataFrame, from_ms: int, to_m
         *class_counts(KNOWN),
         F.avg((F.col("class") == "landed").cast("int")).alias("landed_share"),
         F.avg(F.when(F.col("class") == "landed", (F.col("survival") == "churned").cast("int"))).alias("churned_share"),
-    ).withColumn("one", F.lit(1))
-    lag = commit_lag(rows).select(F.col("median_hours"), F.lit(1).alias("one"))
-    return agg.join(lag, "one", "left").drop("one")
+    )
+    return side_by_side(agg, commit_lag(rows).select("median_hours"))
 
 
 def report_areas(
@@ -552,7 +566,7 @@ def report_loops(loops: DataFrame, collisions: DataFrame, threads: DataFrame, fr
         F.col("t.agents").alias("biggest_agents"),
         F.col("t.days").alias("biggest_days"),
     )
-    return l.join(c).join(t)  # one-row aggregates side by side
+    return side_by_side(l, c, t)
 
 
 def health_checks(

@@ -59,20 +59,20 @@ def tool_category(name: Column) -> Column:
 def triage(lines: DataFrame) -> DataFrame:
     """Adds the parsed document, its type and what to do with the line."""
     doc = F.col("doc")
-    parsed = (
-        lines.where(F.trim("value") != "")
-        .withColumn("doc", F.try_parse_json("value"))
-        .withColumn("is_object", F.ltrim("value").startswith("{"))
-        .withColumn("type", F.coalesce(V.text(doc, "$.type"), F.lit("<none>")))
-        .withColumn("vendor_session", V.text(doc, "$.sessionId"))
-        .withColumn("ts", V.text(doc, "$.timestamp"))
-        .withColumn("ts_ms", V.instant_ms(F.col("ts")))
-    )
+    parsed = V.pinned(lines.where(F.trim("value") != ""), doc=F.try_parse_json("value"))
+    parsed = V.pinned(
+        parsed,
+        is_object=F.ltrim("value").startswith("{"),
+        type=F.coalesce(V.text(doc, "$.type"), F.lit("<none>")),
+        vendor_session=V.text(doc, "$.sessionId"),
+        ts=V.text(doc, "$.timestamp"),
+    )
+    parsed = V.pinned(parsed.drop("value"), ts_ms=V.instant_ms(F.col("ts")))
     no_identity = F.col("vendor_session").isNull() | F.col("ts").isNull()
     known = F.col("type").isin(*CONVERSATION_TYPES)
-    return parsed.withColumn(
-        "disposition",
-        F.when(doc.isNull(), "invalid-json")
+    return V.pinned(
+        parsed,
+        disposition=F.when(doc.isNull(), "invalid-json")
         .when(~F.col("is_object"), "not-an-object")
         .when(F.col("type").isin("custom-title", "ai-title"), "title")
         .when(F.col("type") == "cost-state", "cost")
@@ -88,31 +88,26 @@ def triage(lines: DataFrame) -> DataFrame:
 def identify(triaged: DataFrame) -> DataFrame:
     """Event lines with their session: side-chain lines belong to `session:agent`."""
     doc = F.col("doc")
-    agent = F.when(V.flag(doc, "$.isSidechain"), V.text(doc, "$.agentId"))
-    return (
-        triaged.where(F.col("disposition").isin("known", "unknown"))
-        .withColumn("agent_id", agent)
-        .withColumn(
-            "session_id",
-            F.when(
-                F.col("agent_id").isNotNull(), F.concat_ws(":", "vendor_session", "agent_id")
-            ).otherwise(F.col("vendor_session")),
-        )
-        .withColumn(
-            "parent_session_id", F.when(F.col("agent_id").isNotNull(), F.col("vendor_session"))
-        )
-        .withColumn("cwd", V.text(doc, "$.cwd"))
-        .withColumn("git_branch", V.text(doc, "$.gitBranch"))
-        .withColumn("version", V.text(doc, "$.version"))
-        .withColumn("message_model", V.text(doc, "$.message.model"))
-        .withColumn(
-            "model",
-            F.when((F.col("type") == "assistant") & (F.col("message_model") != SYNTHETIC), F.col("message_model")),
-        )
-        .withColumn(
-            "message_key",
-            F.coalesce(V.text(doc, "$.message.id"), V.text(doc, "$.requestId")),
-        )
+    rows = V.pinned(
+        triaged.where(F.col("disposition").isin("known", "unknown")),
+        agent_id=F.when(V.flag(doc, "$.isSidechain"), V.text(doc, "$.agentId")),
+        cwd=V.text(doc, "$.cwd"),
+        git_branch=V.text(doc, "$.gitBranch"),
+        version=V.text(doc, "$.version"),
+        message_model=V.text(doc, "$.message.model"),
+        message_key=F.coalesce(V.text(doc, "$.message.id"), V.text(doc, "$.requestId")),
+    )
+    sub = F.col("agent_id").isNotNull()
+    return V.pinned(
+        rows,
+        session_id=F.when(sub, F.concat_ws(":", "vendor_session", "agent_id")).otherwise(
+            F.col("vendor_session")
+        ),
+        parent_session_id=F.when(sub, F.col("vendor_session")),
+        model=F.when(
+            (F.col("type") == "assistant") & (F.col("message_model") != SYNTHETIC),
+            F.col("message_model"),
+        ),
     )
 
 
@@ -175,26 +170,21 @@ def line_items(identified: DataFrame) -> DataFrame:
     block = F.col("block")
     is_call = F.col("kind") == "call"
     rows = identified.select("*", F.posexplode(_line_items(F.col("doc"))).alias("pos", "item"))
-    rows = (
-        rows.withColumn("kind", F.col("item.kind"))
-        .withColumn("block", F.col("item.block"))
-        .drop("item")
-        .withColumn(
-            "call_id",
-            F.when(is_call, V.text(block, "$.id")).otherwise(V.text(block, "$.tool_use_id")),
-        )
-        .withColumn("name", F.when(is_call, F.coalesce(V.text(block, "$.name"), F.lit("unknown"))))
-        .withColumn("category", F.when(is_call, tool_category(F.col("name"))))
-        .withColumn(
-            "command", F.when(F.col("category") == "shell", V.text(block, "$.input.command"))
-        )
-        .withColumn(
-            "path",
+    rows = V.pinned(rows, kind=F.col("item.kind"), block=F.col("item.block")).drop("item")
+    rows = V.pinned(
+        rows,
+        call_id=F.when(is_call, V.text(block, "$.id")).otherwise(V.text(block, "$.tool_use_id")),
+        name=F.when(is_call, F.coalesce(V.text(block, "$.name"), F.lit("unknown"))),
+        path=F.when(
+            is_call,
             F.coalesce(V.text(block, "$.input.file_path"), V.text(block, "$.input.notebook_path")),
-        )
+        ),
     )
-    rows = rows.withColumn(
-        "path", F.when(is_call & (F.col("category") != "shell") & F.col("path").startswith("/"), F.col("path"))
+    rows = V.pinned(rows, category=F.when(is_call, tool_category(F.col("name"))))
+    rows = V.pinned(
+        rows,
+        command=F.when(F.col("category") == "shell", V.text(block, "$.input.command")),
+        path=F.when((F.col("category") != "shell") & F.col("path").startswith("/"), F.col("path")),
     )
     rows = sanitize_command(rows, "command").withColumn(
         "told",
@@ -222,7 +212,7 @@ def line_items(identified: DataFrame) -> DataFrame:
         F.lit(0).alias("redactions"),
         F.when(~(has("$.stdout") | has("$.stderr")), result_path).alias("path"),
     )
-    paired = rows.withColumn("__call", call).withColumn(
+    paired = V.pinned(rows, __call=call).withColumn(
         "tool", F.last("told", ignorenulls=True).over(seen)
     )
     keep = [c for c in identified.columns] + ["pos", "kind", "block", "call_id"]
@@ -262,36 +252,34 @@ def with_patches(items: DataFrame, key: bytes) -> DataFrame:
         & V.text(out, "$.filePath").startswith("/")
         & is_patch
     )
-    rows = (
-        items.withColumn("__ok", F.coalesce(ok, F.lit(False)))
-        .withColumn("__lines", F.when(F.col("__ok"), lines))
-        .withColumn("__hunk_added", side("+"))
-        .withColumn("__removed", side("-"))
-        .withColumn(
-            "__added",
-            F.when(
-                F.col("__ok") & created & (F.size("__hunk_added") == 0) & body.isNotNull(), body
-            ).otherwise(F.col("__hunk_added")),
-        )
+    rows = V.pinned(items, __ok=F.coalesce(ok, F.lit(False)))
+    rows = V.pinned(rows, __lines=F.when(F.col("__ok"), lines))
+    rows = V.pinned(rows, __hunk_added=side("+"), __removed=side("-"))
+    from_body = F.col("__ok") & created & (F.size("__hunk_added") == 0) & body.isNotNull()
+    rows = V.pinned(
+        rows, __added=F.when(F.coalesce(from_body, F.lit(False)), body).otherwise(F.col("__hunk_added"))
     )
     # Compose whole sides at once: one string per side crosses to Python only when it needs to.
     composed = lambda c: F.split(nfc(F.array_join(c, "\n")), "\n")
-    fps = fingerprint_diff(composed("__added"), composed("__removed"), key)
     has_lines = F.col("__ok") & ((F.size("__added") > 0) | (F.size("__removed") > 0))
-    return rows.withColumn(
-        "patch",
-        F.when(
-            has_lines,
+    rows = V.pinned(rows, __added=composed("__added"), __removed=composed("__removed"), __has=has_lines,
+                    __raw=F.struct(F.size("__added").alias("a"), F.size("__removed").alias("r")))
+    fps = fingerprint_diff(F.col("__added"), F.col("__removed"), key)
+    rows = V.pinned(rows, __fps=F.when(F.col("__has"), fps))
+    return V.pinned(
+        rows,
+        patch=F.when(
+            F.col("__has"),
             F.struct(
                 V.text(out, "$.filePath").alias("path"),
                 F.when(F.coalesce(created, F.lit(False)), "create").otherwise("modify").alias("operation"),
-                fps["added"].alias("added_fps"),
-                fps["removed"].alias("removed_fps"),
-                F.size("__added").alias("added_raw"),
-                F.size("__removed").alias("removed_raw"),
+                F.col("__fps.added").alias("added_fps"),
+                F.col("__fps.removed").alias("removed_fps"),
+                F.col("__raw.a").alias("added_raw"),
+                F.col("__raw.r").alias("removed_raw"),
             ),
         ),
-    ).drop("__ok", "__lines", "__hunk_added", "__removed", "__added")
+    ).drop("__ok", "__lines", "__hunk_added", "__removed", "__added", "__has", "__raw", "__fps")
 
 
 def _events_of(kind: Column, tool: Column) -> Column:
@@ -475,11 +463,11 @@ def read(lines: DataFrame, key: bytes) -> Logs:
     triaged = triage(lines)
     identified = identify(triaged)
     block = F.col("block")
-    items = (
-        line_items(identified)
-        .withColumn("failed", V.flag(block, "$.is_error"))
-        .withColumn("denied", V.text(F.col("doc"), "$.toolDenialKind").isNotNull())
-        .withColumn("interrupted_result", _result_text(block).startswith(INTERRUPT_MARKER))
+    items = V.pinned(
+        line_items(identified),
+        failed=V.flag(block, "$.is_error"),
+        denied=V.text(F.col("doc"), "$.toolDenialKind").isNotNull(),
+        interrupted_result=_result_text(block).startswith(INTERRUPT_MARKER),
     )
     patched = with_patches(items, key)
     patches = patched.where("patch is not null").select(

@@ -37,19 +37,20 @@ def skip_heavy(lines: DataFrame) -> DataFrame:
 
 def triage(lines: DataFrame) -> DataFrame:
     doc = F.col("doc")
-    parsed = (
-        skip_heavy(lines)
-        .where(F.trim("value") != "")
-        .withColumn("doc", F.try_parse_json("value"))
-        .withColumn("is_object", F.ltrim("value").startswith("{"))
-        .withColumn("type", F.coalesce(V.text(doc, "$.type"), F.lit("<none>")))
-        .withColumn("ts", V.text(doc, "$.timestamp"))
-        .withColumn("ts_ms", V.instant_ms(F.col("ts")))
-        .withColumn("message", V.text(doc, "$.payload.type"))
-    )
-    return parsed.withColumn(
-        "disposition",
-        F.when(doc.isNull(), "invalid-json")
+    parsed = V.pinned(
+        skip_heavy(lines).where(F.trim("value") != ""), doc=F.try_parse_json("value")
+    )
+    parsed = V.pinned(
+        parsed,
+        is_object=F.ltrim("value").startswith("{"),
+        type=F.coalesce(V.text(doc, "$.type"), F.lit("<none>")),
+        ts=V.text(doc, "$.timestamp"),
+        message=V.text(doc, "$.payload.type"),
+    )
+    parsed = V.pinned(parsed.drop("value"), ts_ms=V.instant_ms(F.col("ts")))
+    return V.pinned(
+        parsed,
+        disposition=F.when(doc.isNull(), "invalid-json")
         .when(~F.col("is_object"), "not-an-object")
         .when(F.col("type").isin(*SKIPPED_TYPES), "ignored")
         .when(F.col("ts").isNull(), "missing-field")
@@ -89,16 +90,16 @@ def own_lines(triaged: DataFrame, heads: DataFrame) -> DataFrame:
 
     One small header row per file joins back by file.
     """
-    own = V.count(F.col("doc"), "$.ordinal")
-    joined = triaged.withColumn("log_ordinal", own).join(heads, "file", "left")
+    rows = triaged.where(F.col("disposition").isin("context", "known", "unknown"))
+    rows = V.pinned(rows, log_ordinal=V.count(F.col("doc"), "$.ordinal"))
+    joined = rows.join(heads, "file", "left")
     copied = (
         F.col("fork_start").isNotNull()
         & (F.col("log_ordinal") > 0)
         & (F.col("log_ordinal") < F.col("fork_start"))
         & (F.abs(F.col("ts_ms") - F.col("head_ms")) <= FORK_WINDOW_MS)
     )
-    rows = joined.where(F.col("disposition").isin("context", "known", "unknown"))
-    return rows.where(~F.coalesce(copied, F.lit(False))).withColumn(
+    return joined.where(~F.coalesce(copied, F.lit(False))).withColumn(
         "session_id", F.coalesce("session_id", "session_from_name")
     )
 
@@ -139,10 +140,11 @@ def file_changes(lines: DataFrame, key: bytes) -> DataFrame:
         F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")),
     )
     rows = lines.select("*", F.posexplode(F.map_entries(changes)).alias("change_no", "entry"))
-    change = F.col("entry.value")
-    kind = V.text(change, "$.type")
-    original = _absolute(F.col("entry.key"), F.col("cwd"))
-    moved = V.text(change, "$.move_path")
+    rows = V.pinned(rows, change=F.col("entry.value"), raw_path=F.col("entry.key")).drop("entry")
+    change = F.col("change")
+    rows = V.pinned(rows, change_kind=V.text(change, "$.type"), moved=V.text(change, "$.move_path"))
+    kind, moved = F.col("change_kind"), F.col("moved")
+    original = _absolute(F.col("raw_path"), F.col("cwd"))
     target = F.when(moved.isNull(), original).otherwise(
         F.coalesce(_absolute(moved, F.col("cwd")), original)
     )
@@ -156,43 +158,52 @@ def file_changes(lines: DataFrame, key: bytes) -> DataFrame:
         lambda l: l.substr(F.lit(2), F.length(l)),
     )
     none = F.array().cast("array<string>")
-    rows = rows.select(
-        "*",
-        target.alias("path"),
-        F.when(kind == "add", "create")
+    rows = V.pinned(
+        rows,
+        original=original,
+        path=target,
+        operation=F.when(kind == "add", "create")
         .when((kind == "update") & moved.isNotNull(), "rename")
         .when(kind == "update", "modify")
-        .when(kind == "delete", "delete")
-        .alias("operation"),
-        F.when(kind == "add", whole).when(kind == "update", side("+")).otherwise(none).alias("__added"),
-        F.when(kind == "update", side("-")).otherwise(none).alias("__removed"),
-    ).where(original.isNotNull() & F.col("operation").isNotNull())
+        .when(kind == "delete", "delete"),
+        __added=F.when(kind == "add", whole).when(kind == "update", side("+")).otherwise(none),
+        __removed=F.when(kind == "update", side("-")).otherwise(none),
+    ).where("original is not null and operation is not null")
     composed = lambda c: F.split(nfc(F.array_join(c, "\n")), "\n")
-    fps = fingerprint_diff(composed("__added"), composed("__removed"), key)
+    rows = V.pinned(
+        rows,
+        added_raw=F.size("__added"),
+        removed_raw=F.size("__removed"),
+        __added=composed("__added"),
+        __removed=composed("__removed"),
+    )
+    rows = V.pinned(rows, fps=fingerprint_diff(F.col("__added"), F.col("__removed"), key))
     return rows.select(
-        "*",
-        fps["added"].alias("added_fps"),
-        fps["removed"].alias("removed_fps"),
-        F.size("__added").alias("added_raw"),
-        F.size("__removed").alias("removed_raw"),
-    ).drop("__added", "__removed", "entry")
+        "*", F.col("fps.added").alias("added_fps"), F.col("fps.removed").alias("removed_fps")
+    ).drop("__added", "__removed", "fps", "change", "change_kind", "moved", "original", "raw_path")
 
 
 def _simple_events(lines: DataFrame) -> DataFrame:
     """All messages that stand for one event, file changes of completed items excepted."""
-    doc = F.col("doc")
-    item = V.node(doc, "$.payload.item")
-    kind = F.coalesce(V.text(item, "$.type"), F.lit("<none>"))
+    doc, item = F.col("doc"), F.col("item")
     rows = lines.where("disposition in ('known', 'unknown')").where(
-        ~F.coalesce(F.col("message") == "token_count", F.lit(False)) | (F.col("disposition") == "unknown")
+        "disposition = 'unknown' or not (message <=> 'token_count')"
     )
     is_item = (F.col("disposition") == "known") & (F.col("message") == "item_completed")
-    rows = rows.withColumn("item_kind", F.when(is_item, kind)).withColumn(
-        "item_status", V.text(item, "$.status")
-    )
-    k, status = F.col("item_kind"), F.col("item_status")
-    activity = V.text(item, "$.kind")
-    exit_code = F.try_variant_get(item, "$.exit_code", "long")
+    rows = V.pinned(rows, item=F.when(is_item, V.node(doc, "$.payload.item")))
+    error = V.node(doc, "$.payload.error")
+    rows = V.pinned(
+        rows,
+        item_kind=F.when(is_item, F.coalesce(V.text(item, "$.type"), F.lit("<none>"))),
+        item_status=V.text(item, "$.status"),
+        item_id=V.text(item, "$.id"),
+        item_tool=V.text(item, "$.tool"),
+        activity=V.text(item, "$.kind"),
+        exit_code=F.try_variant_get(item, "$.exit_code", "long"),
+        failed_call=F.coalesce(~F.try_variant_get(item, "$.success", "boolean"), F.lit(False)),
+        turn_error=error.isNotNull() & (F.schema_of_variant(error) != "VOID"),
+    )
+    k, status, activity = F.col("item_kind"), F.col("item_status"), F.col("activity")
     rows = rows.where(
         k.isNull()
         | (
@@ -208,15 +219,11 @@ def _simple_events(lines: DataFrame) -> DataFrame:
         rows.withColumn("command", F.when(k == "CommandExecution", command_text(item))), "command"
     )
     failed = F.coalesce(status == "failed", F.lit(False)) | (
-        (k == "CommandExecution") & F.coalesce(exit_code != 0, F.lit(False))
-    ) | (
-        k.isin("DynamicToolCall", "CollabAgentToolCall")
-        & F.coalesce(~F.try_variant_get(item, "$.success", "boolean"), F.lit(False))
-    )
+        (k == "CommandExecution") & F.coalesce(F.col("exit_code") != 0, F.lit(False))
+    ) | (k.isin("DynamicToolCall", "CollabAgentToolCall") & F.col("failed_call"))
+    rows = V.pinned(rows, failed=failed)
+    failed, turn_error = F.col("failed"), F.col("turn_error")
     m = F.col("message")
-    turn_error = V.node(doc, "$.payload.error").isNotNull() & (
-        F.schema_of_variant(V.node(doc, "$.payload.error")) != "VOID"
-    )
     known = F.col("disposition") == "known"
     done = lambda family: F.when(failed, f"{family}.failed").otherwise(f"{family}.completed")
     event_type = (
@@ -255,11 +262,11 @@ def _simple_events(lines: DataFrame) -> DataFrame:
                 "__",
                 F.lit("mcp"),
                 F.coalesce(V.text(item, "$.server"), F.lit("unknown")),
-                F.coalesce(V.text(item, "$.tool"), F.lit("unknown")),
+                F.coalesce("item_tool", F.lit("unknown")),
             ),
         )
         .when(k == "WebSearch", "web_search")
-        .when(k.isin("DynamicToolCall", "CollabAgentToolCall"), F.coalesce(V.text(item, "$.tool"), k))
+        .when(k.isin("DynamicToolCall", "CollabAgentToolCall"), F.coalesce(F.col("item_tool"), k))
         .when(k == "SubAgentActivity", "subagent")
     )
     category = (
@@ -267,15 +274,17 @@ def _simple_events(lines: DataFrame) -> DataFrame:
         .when(k == "FileChange", "file")
         .when(k == "McpToolCall", "mcp")
         .when(k == "WebSearch", "network")
-        .when(tool.isNotNull(), "other")
+        .when(F.col("item_kind").isin("DynamicToolCall", "CollabAgentToolCall", "SubAgentActivity"), "other")
     )
+    rows = V.pinned(rows, event_type=event_type, status=outcome, tool_name=tool)
+    event_type, outcome, tool = F.col("event_type"), F.col("status"), F.col("tool_name")
     vendor_type = (
         F.when(~known, F.col("type"))
         .when(k.isNotNull() & (event_type == "unknown"), F.concat(F.lit("item:"), k))
         .when(event_type == "unknown", F.concat(F.lit("event_msg:"), F.coalesce(m, F.lit("<none>"))))
         .otherwise(F.col("type"))
     )
-    vendor_id = F.when(k.isNotNull(), V.text(item, "$.id")).when(
+    vendor_id = F.when(k.isNotNull(), F.col("item_id")).when(
         m.isin("task_complete", "turn_aborted"), V.text(doc, "$.payload.turn_id")
     )
     has_call = k.isNotNull() & tool.isNotNull() & (k != "SubAgentActivity")
@@ -295,7 +304,7 @@ def _simple_events(lines: DataFrame) -> DataFrame:
         "model",
         tool.alias("tool_name"),
         category.alias("tool_category"),
-        F.when(has_call, V.text(item, "$.id")).alias("call_id"),
+        F.when(has_call, F.col("item_id")).alias("call_id"),
         "executable",
         "display",
         "redactions",

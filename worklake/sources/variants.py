@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TIMESTAMP = (
@@ -10,6 +10,18 @@ TIMESTAMP = (
 )
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row.
+
+    A filter on a plain projected column is pushed below it as a copy of the whole expression, so
+    every filter on a parsed field would parse the JSON again. Output of a generator is not
+    rewritten that way; one-element `inline` stays inside whole-stage codegen.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def node(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "variant")
 
