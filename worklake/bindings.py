@@ -169,8 +169,12 @@ FRAMES: dict[str, str] = {
         FROM orders""",
     "commit_parents": """
         SELECT repo_id, sha, parent_sha, 0 AS parent_no FROM (
-          SELECT repo_id, sha, lag(sha) OVER (PARTITION BY repo_id, line ORDER BY commit_ms, no) AS parent_sha
-          FROM commits) p WHERE parent_sha IS NOT NULL
+          SELECT repo_id, sha, CASE WHEN commit_ms > main_ms
+              THEN lag(sha) OVER (PARTITION BY repo_id ORDER BY commit_ms, no)
+              ELSE lag(sha) OVER (PARTITION BY repo_id, line ORDER BY commit_ms, no) END AS parent_sha
+          FROM (SELECT repo_id, sha, line, no, commit_ms,
+            max(CASE WHEN on_main THEN commit_ms END) OVER (PARTITION BY repo_id) AS main_ms FROM commits) m) p
+        WHERE parent_sha IS NOT NULL
         UNION ALL
         SELECT repo_id, sha, parent_sha, 1 AS parent_no FROM (
           SELECT repo_id, sha, no, lag(sha) OVER (PARTITION BY repo_id ORDER BY commit_ms, no) AS parent_sha

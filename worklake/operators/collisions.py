@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklake.config import DAY, MINUTE, LoopRules
-from worklake.operators.ordered import activity_runs, asof
+from worklake.operators.ordered import activity_runs, asof, materialize
 
 FILE = ["repo_id", "rel_path"]
 
@@ -96,12 +96,16 @@ def meetings(earlier: DataFrame, later: DataFrame, keys: list[str], window: int,
     """Per run pair: first b after an a (`b_at`), the latest a before it (`a_at`), the earliest a
     that any b follows within the window (`a_start`)."""
     low = F.struct((F.col("b_at.ts_ms") - window).alias("ts_ms"), F.lit("").alias("patch_id"))
-    step = _nearest(pairs, later, keys, "session_b", F.col("a_first"), "b_at", window, forward=True)
-    step = step.where(F.col("b_at").isNotNull()).where(
-        F.col("b_at.ts_ms") <= F.col("a_last.ts_ms") + window
+    # Each step reads the one before several times, so every step is written once.
+    step = _nearest(
+        materialize(pairs, "pairs"), later, keys, "session_b", F.col("a_first"), "b_at", window, True
     )
-    step = _nearest(step, earlier, keys, "session_a", F.col("b_at"), "a_at", window, forward=False)
-    return _nearest(step, earlier, keys, "session_a", low, "a_start", window, forward=True)
+    step = step.where("b_at is not null").where(F.col("b_at.ts_ms") <= F.col("a_last.ts_ms") + window)
+    step = _nearest(
+        materialize(step, "met"), earlier, keys, "session_a", F.col("b_at"), "a_at", window, False
+    )
+    step = _nearest(materialize(step, "met"), earlier, keys, "session_a", low, "a_start", window, True)
+    return materialize(step, "met")
 
 
 def unrelated(pairs: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -140,7 +144,8 @@ def overwrites(
     open_adds = patch_lines.where("side = 'added'").join(
         landed.select("session_id", "rel_path").distinct(), ["session_id", "rel_path"], "left_anti"
     )
-    removed = patch_lines.where("side = 'removed'")
+    open_adds = materialize(open_adds, "adds")
+    removed = materialize(patch_lines.where("side = 'removed'"), "removed")
     pairs = unrelated(run_pairs(open_adds, removed, keys, rules.overwrite_ms), sessions)
     met = meetings(open_adds, removed, keys, rules.overwrite_ms, pairs)
     by_pair = [*FILE, "session_a", "session_b"]
@@ -166,6 +171,7 @@ def concurrent_edits(
 ) -> DataFrame:
     """Sessions running at the same time that edited one file within the window."""
     by_pair = [*FILE, "session_a", "session_b"]
+    patches = materialize(patches, "patches")
     pairs = unrelated(run_pairs(patches, patches, FILE, rules.concurrent_ms), sessions).where(
         spans_overlap()
     )
@@ -188,6 +194,7 @@ def detect_collisions(
 ) -> DataFrame:
     """One row per (kind, file, session_a, session_b); an overwrite supersedes a concurrent edit."""
     by_pair = [*FILE, "session_a", "session_b"]
+    sessions = materialize(sessions, "sessions")
     over = overwrites(patch_lines, sessions, landed, rules)
     con = concurrent_edits(patches, sessions, rules).join(over.select(*by_pair), by_pair, "left_anti")
     return over.unionByName(con).withColumn(

@@ -11,43 +11,55 @@ from worklake.operators.ordered import materialize
 REVERT = r"This reverts commit ([0-9a-f]{7,40})"
 
 
-def _jump_tables(first_parents: DataFrame) -> list[DataFrame]:
-    """Ancestors at distance 1, 2, 4, … along first parents, until no chain is that long."""
+def jump_tables(parents: DataFrame, doublings: int = 4) -> list[DataFrame]:
+    """Per level k, each commit's first-parent ancestors at distances 1..15 times 16^k.
+
+    One join per level then closes a chain of any length; a level holds at most 15 rows a commit.
+    """
     tables = []
-    jump = materialize(first_parents.select("repo_id", "sha", "parent_sha"), "jump")
-    while not jump.isEmpty():
-        tables.append(jump)
-        far = jump.select("repo_id", F.col("sha").alias("parent_sha"), F.col("parent_sha").alias("far"))
-        jump = materialize(
-            jump.join(far, ["repo_id", "parent_sha"]).select(
-                "repo_id", "sha", F.col("far").alias("parent_sha")
-            ),
-            "jump",
-        )
-    return tables
+    unit = parents.where("parent_no = 0").select(
+        "repo_id", "sha", F.col("parent_sha").alias("up"), F.lit(1).alias("dist")
+    )
+    while True:
+        level = unit
+        for i in range(doublings):
+            far = level.where(F.col("dist") == 2**i).select(
+                "repo_id", "sha", F.col("up").alias("mid")
+            )
+            rest = level.select("repo_id", F.col("sha").alias("mid"), "up", "dist")
+            longer = far.join(rest, ["repo_id", "mid"]).select(
+                "repo_id", "sha", "up", (F.col("dist") + 2**i).alias("dist")
+            )
+            level = materialize(level.unionByName(longer), "jump")
+        if level.isEmpty():
+            return tables
+        tables.append(level.where(F.col("dist") < 2**doublings).select("repo_id", "sha", "up"))
+        unit = level.where(F.col("dist") == 2**doublings).withColumn("dist", F.lit(1))
 
 
 def _lowest(df: DataFrame) -> DataFrame:
     return df.groupBy("repo_id", "sha").agg(F.min("label").alias("label"))
 
 
-def propagate_labels(seeds: DataFrame, parents: DataFrame) -> DataFrame:
+def propagate_labels(
+    seeds: DataFrame, parents: DataFrame, jumps: list[DataFrame] | None = None
+) -> DataFrame:
     """Smallest seed label that reaches each commit: (repo_id, sha, label).
 
     `seeds` are (repo_id, sha, label); `parents` (repo_id, sha, parent_sha, parent_no). Following a
     history of n commits one step at a time would take n jobs. First parents form chains, so labels
-    run down whole chains by pointer doubling in log2(length) joins; a round then crosses the merge
+    run down whole chains by `jump_tables` in log16(length) joins; a round then crosses the merge
     parents of what changed. Rounds are as many as merges are nested. Each join is on (repo, sha),
     so one giant repository spreads over all tasks.
     """
-    jumps = _jump_tables(parents.where("parent_no = 0"))
+    jumps = jump_tables(parents) if jumps is None else jumps
     side = parents.where("parent_no > 0").select("repo_id", "sha", "parent_sha")
     known = None
     frontier = _lowest(seeds.select("repo_id", "sha", "label"))
     while True:
         for jump in jumps:
             down = frontier.join(jump, ["repo_id", "sha"]).select(
-                "repo_id", F.col("parent_sha").alias("sha"), "label"
+                "repo_id", F.col("up").alias("sha"), "label"
             )
             frontier = materialize(_lowest(frontier.unionByName(down)), "labels")
         merged = frontier if known is None else _lowest(known.unionByName(frontier))
@@ -121,14 +133,17 @@ def working_trunk(refs: DataFrame, parents: DataFrame, commits: DataFrame) -> Da
     other = head.join(defaults, "repo_id").where(
         "head <> default_branch and head <> regexp_replace(default_branch, '^origin/', '')"
     )
-    ahead = propagate_labels(other.select("repo_id", "sha", F.lit("head").alias("label")), parents)
+    jumps = jump_tables(parents)
+    ahead = propagate_labels(
+        other.select("repo_id", "sha", F.lit("head").alias("label")), parents, jumps
+    )
     tips = default_tips(refs, defaults)
     contains = (
         tips.join(ahead.select("repo_id", "sha", F.lit(True).alias("__in")), ["repo_id", "sha"], "left")
         .groupBy("repo_id")
         .agg(F.bool_and(F.coalesce("__in", F.lit(False))).alias("contains_default"))
     )
-    base = propagate_labels(tips.withColumn("label", F.lit("default")), parents)
+    base = propagate_labels(tips.withColumn("label", F.lit("default")), parents, jumps)
     own = (
         ahead.join(base.select("repo_id", "sha"), ["repo_id", "sha"], "left_anti")
         .join(commits.select("repo_id", "sha", "commit_ms"), ["repo_id", "sha"])

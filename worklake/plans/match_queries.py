@@ -19,7 +19,9 @@ HOUR = 3_600_000
 EDIT_BASE = 1_704_067_200_000
 
 
-def sql_outcomes(subject: str, lines: str, subjects: str, reverted: str | None = None) -> str:
+def sql_outcomes(
+    subject: str, lines: str, subjects: str, reverted: str | None = None, hits: str = "hits", snapshots: str = "snapshots"
+) -> str:
     """Outcome rows from CTEs lines(subject, repo_id, rel_path, fp, ordinal, edit_ms), hits, snapshots."""
     gone = f"EXISTS (SELECT 1 FROM {reverted} g WHERE g.repo_id = o.repo_id AND g.sha = o.first.s)" if reverted else "false"
     return f"""
@@ -27,10 +29,10 @@ def sql_outcomes(subject: str, lines: str, subjects: str, reverted: str | None =
         coalesce(max(h.commit_ms) >= l.edit_ms - 120000, false) AS committed,
         coalesce(max(h.commit_ms) FILTER (h.on_default) >= l.edit_ms - 120000, false) AS on_default,
         min({{'t': h.commit_ms, 'o': l.ordinal, 's': h.sha}}) FILTER (h.commit_ms >= l.edit_ms - 120000) AS first
-      FROM {lines} l LEFT JOIN hits h ON h.repo_id = l.repo_id AND h.rel_path = l.rel_path AND h.fp = l.fp
+      FROM {lines} l LEFT JOIN {hits} h ON h.repo_id = l.repo_id AND h.rel_path = l.rel_path AND h.fp = l.fp
       GROUP BY l.{subject}, l.repo_id, l.rel_path, l.fp, l.ordinal, l.edit_ms),
     present AS (SELECT repo_id, rel_path, fp, bool_or(kind = 'worktree') AS in_tree, bool_or(kind = 'head') AS in_head
-      FROM snapshots GROUP BY ALL),
+      FROM {snapshots} GROUP BY ALL),
     sums AS (SELECT {subject}, p.repo_id, p.rel_path, count(*) AS n, count(*) FILTER (committed) AS c, count(*) FILTER (on_default) AS d,
         count(*) FILTER (in_tree) AS t, count(*) FILTER (in_head) AS h, min(first) AS first
       FROM perline p LEFT JOIN present s ON s.repo_id = p.repo_id AND s.rel_path = p.rel_path AND s.fp = p.fp
@@ -60,8 +62,8 @@ DOC_SIDES = f"""{LINES},
     fps AS (SELECT d.doc_id, lang AS repo_id, 'corpus' AS rel_path, {sql_fp('n')} AS fp, min(pos) AS ordinal, {EDIT_BASE} + d.doc_id * {HOUR} AS at_ms
       FROM lines1 l JOIN documents d USING (doc_id) WHERE {sql_significant('n')} GROUP BY d.doc_id, lang, n),
     el AS (SELECT doc_id, repo_id, rel_path, fp, ordinal, at_ms AS edit_ms FROM fps WHERE doc_id % 2 = 0),
-    hits AS (SELECT repo_id, rel_path, fp, CAST(doc_id AS VARCHAR) AS sha, at_ms AS commit_ms, doc_id % 3 > 0 AS on_default FROM fps WHERE doc_id % 2 = 1 AND doc_id % 5 <> 0),
-    snapshots AS (SELECT repo_id, rel_path, fp, 'worktree' AS kind FROM fps WHERE doc_id % 2 = 1 AND doc_id % 5 = 0),
+    dhits AS (SELECT repo_id, rel_path, fp, CAST(doc_id AS VARCHAR) AS sha, at_ms AS commit_ms, doc_id % 3 > 0 AS on_default FROM fps WHERE doc_id % 2 = 1 AND doc_id % 5 <> 0),
+    dsnaps AS (SELECT repo_id, rel_path, fp, 'worktree' AS kind FROM fps WHERE doc_id % 2 = 1 AND doc_id % 5 = 0),
     su AS (SELECT doc_id, lang AS repo_id, 'corpus' AS rel_path, {EDIT_BASE} + doc_id * {HOUR} AS edit_ms, false AS ignored FROM documents WHERE doc_id % 2 = 0)"""
 PATCH_LINES = """
     pl AS (SELECT patch_id, repo_id, rel_path, fp, ordinal, ts_ms AS edit_ms FROM patch_lines WHERE side = 'added' AND repo_id IS NOT NULL),
@@ -141,11 +143,14 @@ SQL_COLLISIONS = """
     cp AS (SELECT DISTINCT patch_id, session_id, repo_id, rel_path, ts_ms FROM cl),
     cs AS (SELECT session_id, min(ts_ms) AS started_ms, max(ts_ms) AS last_ms,
         CASE WHEN session_id LIKE '%-3' THEN regexp_replace(session_id, '-3$', '-0') END AS parent FROM cp GROUP BY session_id HAVING NOT session_id LIKE 's7%'),
+    over AS (SELECT x.patch_id AS pa, y.patch_id AS pb, count(*) AS lines FROM cl x JOIN cl y ON x.repo_id = y.repo_id AND x.rel_path = y.rel_path AND x.fp = y.fp
+      AND x.side = 'added' AND y.side = 'removed' AND y.ts_ms >= x.ts_ms AND y.ts_ms - x.ts_ms <= 604800000 GROUP BY 1, 2),
     pairs AS (SELECT a.repo_id, a.rel_path, a.patch_id AS pa, b.patch_id AS pb, a.session_id AS session_a, b.session_id AS session_b, a.ts_ms AS ta, b.ts_ms AS tb,
-        (SELECT count(*) FROM cl x JOIN cl y ON x.fp = y.fp WHERE x.patch_id = a.patch_id AND y.patch_id = b.patch_id AND x.side = 'added' AND y.side = 'removed') AS lines,
+        coalesce(w.lines, 0) AS lines,
         coalesce(sa.started_ms, -9e17) <= coalesce(sb.last_ms, 9e17) AND coalesce(sb.started_ms, -9e17) <= coalesce(sa.last_ms, 9e17) AS overlap
       FROM cp a JOIN cp b ON a.repo_id = b.repo_id AND a.rel_path = b.rel_path AND (a.ts_ms, a.patch_id) < (b.ts_ms, b.patch_id) AND b.ts_ms - a.ts_ms <= 604800000
       LEFT JOIN cs sa ON sa.session_id = a.session_id LEFT JOIN cs sb ON sb.session_id = b.session_id
+      LEFT JOIN over w ON w.pa = a.patch_id AND w.pb = b.patch_id
       WHERE a.session_id <> b.session_id AND coalesce(sa.parent <> b.session_id, true) AND coalesce(sb.parent <> a.session_id, true)
         AND coalesce(sa.parent <> sb.parent, true)),
     marked AS (SELECT *, lines > 0 AND substring(rel_path, 2, 3) NOT IN ('3', '11') AS over, tb - ta <= 3600000 AND overlap AS con FROM pairs),
@@ -159,7 +164,7 @@ SQL_COLLISIONS = """
 
 
 def register(q: Registry) -> None:
-    @q.add("A01_classify_edits", f"WITH {DOC_SIDES}, {sql_outcomes('doc_id', 'el', 'su')} SELECT doc_id, {', '.join(OUTCOME_COLUMNS)} FROM outcome")
+    @q.add("A01_classify_edits", f"WITH {DOC_SIDES}, {sql_outcomes('doc_id', 'el', 'su', None, 'dhits', 'dsnaps')} SELECT doc_id, {', '.join(OUTCOME_COLUMNS)} FROM outcome")
     def _(d):
         subjects, lines, hits, tree = document_frames(d)
         out = M.classify(subjects, lines, hits, tree, ["doc_id"])
@@ -327,9 +332,9 @@ def register(q: Registry) -> None:
 
     @q.add(
         "J08_J09_latest_candidates",
-        """WITH s AS (SELECT session_id, coalesce(x.repo_id, p.repo_id) AS repo_id, x.parent_session_id, x.started_ms, x.last_ms, x.git_branch_start AS b1, x.git_branch_end AS b2,
-            p.session_id IS NOT NULL AND coalesce(p.repo_id, '') <> '' AS has_parent, p.started_ms AS pstart
-          FROM sessions x LEFT JOIN (SELECT session_id AS sid, * EXCLUDE (session_id), session_id FROM sessions) p ON p.sid = x.parent_session_id
+        """WITH s AS (SELECT x.session_id, coalesce(x.repo_id, p.repo_id) AS repo_id, x.parent_session_id, x.started_ms, x.last_ms, x.git_branch_start AS b1, x.git_branch_end AS b2,
+            p.started_ms AS pstart
+          FROM sessions x LEFT JOIN sessions p ON p.session_id = x.parent_session_id
           WHERE coalesce(x.repo_id, p.repo_id) IS NOT NULL),
         uses AS (SELECT session_id, repo_id, started_ms, last_ms, unnest([b1, b2]) AS branch FROM s),
         spans AS (SELECT repo_id, branch FROM uses WHERE branch IS NOT NULL AND branch NOT IN ('HEAD', 'main') GROUP BY 1, 2 HAVING max(last_ms) - min(started_ms) <= 1209600000),
@@ -338,11 +343,11 @@ def register(q: Registry) -> None:
         added AS (SELECT DISTINCT session_id, fp FROM patch_lines WHERE side = 'added'), removed AS (SELECT DISTINCT session_id, fp FROM patch_lines WHERE side = 'removed'),
         pairs AS (SELECT s.session_id, c.session_id AS cand, c.started_ms AS cstart FROM s JOIN s c ON c.repo_id = s.repo_id
             AND (c.started_ms < s.started_ms OR (c.started_ms = s.started_ms AND c.session_id > s.session_id)) AND s.started_ms - c.last_ms <= 259200000),
-        ok AS (SELECT p.* FROM pairs p WHERE EXISTS (SELECT 1 FROM wb a JOIN wb b ON a.branch = b.branch WHERE a.session_id = p.session_id AND b.session_id = p.cand)
-          OR EXISTS (SELECT 1 FROM removed a JOIN added b ON a.fp = b.fp WHERE a.session_id = p.session_id AND b.session_id = p.cand)
-          OR (SELECT count(*) FROM files a JOIN files b ON a.rel_path = b.rel_path WHERE a.session_id = p.session_id AND b.session_id = p.cand)
-             / nullif((SELECT n FROM sizes z WHERE z.session_id = p.session_id) + (SELECT n FROM sizes z WHERE z.session_id = p.cand)
-                - (SELECT count(*) FROM files a JOIN files b ON a.rel_path = b.rel_path WHERE a.session_id = p.session_id AND b.session_id = p.cand), 0) >= 0.3),
+        shared AS (SELECT p.session_id, cand, count(*) AS n FROM pairs p JOIN files a ON a.session_id = p.session_id JOIN files b ON b.session_id = cand AND b.rel_path = a.rel_path GROUP BY 1, 2),
+        good AS (SELECT p.session_id, cand FROM pairs p JOIN wb a ON a.session_id = p.session_id JOIN wb b ON b.session_id = cand AND b.branch = a.branch
+          UNION SELECT p.session_id, cand FROM pairs p JOIN removed a ON a.session_id = p.session_id JOIN added b ON b.session_id = cand AND b.fp = a.fp
+          UNION SELECT h.session_id, cand FROM shared h JOIN sizes x ON x.session_id = h.session_id JOIN sizes y ON y.session_id = cand WHERE h.n / (x.n + y.n - h.n) >= 0.3),
+        ok AS (SELECT p.* FROM pairs p JOIN good USING (session_id, cand)),
         best AS (SELECT session_id, arg_min(cand, {'s': -cstart, 'c': cand}) AS cand FROM ok GROUP BY 1)
         SELECT s.session_id, CASE WHEN parent_session_id IN (SELECT session_id FROM s) AND (pstart < started_ms OR (pstart = started_ms AND parent_session_id > s.session_id))
           THEN parent_session_id ELSE cand END AS pred FROM s LEFT JOIN best USING (session_id)""",
