@@ -9,7 +9,7 @@ from worklake.functions import paths as P
 from worklake.functions import redact as R
 from worklake.functions import text as X
 from worklake.plans.registry import Registry
-from worklake.sources.gitlog import edit_lines
+from worklake.sources.gitlog import added_lines, parse_commits, snapshot_lines
 
 IPAD, OPAD = X.hmac_pads(KEY)
 
@@ -73,7 +73,55 @@ def doc_lines(d: Domain):
     )
 
 
+def patch_log(d: Domain):
+    """Odd documents as commit records of a patch export; every third touches a second file."""
+    k = F.col("doc_id")
+    name = F.concat(F.lit("src/f"), (k % 7).cast("string"), F.lit(".txt"))
+    body = F.concat(F.lit("+"), F.regexp_replace("text", "\n", "\n+"))
+    diff = lambda path, lines: F.concat(
+        F.lit("\ndiff --git a/"), path, F.lit(" b/"), path, F.lit("\nindex 1..2\n--- a/"), path, F.lit("\n+++ b/"), path,
+        F.lit("\n@@ -0,0 +1,9 @@\n"), lines,
+    )
+    record = F.concat(
+        F.lit("h"), k.cast("string"), F.lit("\u0002"), (k * 3600).cast("string"), F.lit("\u0002subject "), k.cast("string"),
+        diff(name, body),
+        F.when(k % 3 == 0, diff(F.lit("other.txt"), F.lit("-old\n+++ counter increased\n+plain other line"))).otherwise(""),
+    )
+    return d.documents.where(k % 2 == 1).select(F.col("lang").alias("repo_id"), record.alias("record"))
+
+
 def register(q: Registry) -> None:
+    @q.add(
+        "S14_commit_patch_lines",
+        f"""WITH {LINES}, f AS (SELECT lang AS repo_id, 'src/f' || (doc_id % 7) || '.txt' AS rel_path, 'h' || doc_id AS sha, doc_id * 3600000 AS commit_ms, n FROM lines1 JOIN documents USING (doc_id) WHERE doc_id % 2 = 1
+          UNION ALL SELECT lang, 'other.txt', 'h' || doc_id, doc_id * 3600000, unnest(['++ counter increased', 'plain other line']) FROM documents WHERE doc_id % 6 = 3)
+        SELECT repo_id, rel_path, sha, commit_ms, {sql_fp('n')} AS fp, count(*) AS n FROM f WHERE {sql_significant('n')} AND rel_path <> 'src/f5.txt' GROUP BY ALL""",
+    )
+    def _(d):
+        commits = parse_commits(patch_log(d))
+        touched = commits.select("repo_id").distinct().select(
+            "repo_id", F.explode(F.array(F.lit("other.txt"), *[F.lit(f"src/f{i}.txt") for i in (0, 1, 2, 3, 4, 6)])).alias("rel_path")
+        )
+        return added_lines(commits, touched, KEY).groupBy("repo_id", "rel_path", "sha", "commit_ms", "fp").agg(F.count("*").alias("n"))
+
+    @q.add(
+        "S14_commits",
+        "SELECT lang AS repo_id, 'h' || doc_id AS sha, doc_id * 3600000 AS commit_ms, 'subject ' || doc_id AS subject FROM documents WHERE doc_id % 2 = 1",
+    )
+    def _(d):
+        return parse_commits(patch_log(d)).drop("patch")
+
+    @q.add(
+        "S15_snapshot_lines",
+        f"""WITH {LINES} SELECT DISTINCT lang AS repo_id, source AS rel_path, {sql_fp('n')} AS fp FROM lines1 JOIN documents USING (doc_id) WHERE {sql_significant('n')}""",
+    )
+    def _(d):
+        files = d.documents.select(
+            F.col("lang").alias("repo_id"), F.col("source").alias("rel_path"), F.lit("worktree").alias("kind"),
+            F.col("text").alias("content"),
+        )
+        return snapshot_lines(files, KEY).drop("kind")
+
     @q.add("T01_normalize_line", f"WITH {LINES} SELECT doc_id, pos, n FROM lines1")
     def _(d):
         return doc_lines(d).select("doc_id", "pos", X.squeeze(F.col("line")).alias("n"))
