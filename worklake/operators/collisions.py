@@ -72,9 +72,10 @@ def _nearest(
     wanted = probed.select(
         *keys, F.col(session).alias("session_id"), F.col("__ts").alias("ts_ms"), F.col("__id").alias("patch_id")
     ).distinct()
+    own = events.join(wanted.select(*probe_keys).distinct(), probe_keys, "left_semi")
     found = asof(
         wanted,
-        events.select(*probe_keys, "ts_ms", "patch_id")
+        own.select(*probe_keys, "ts_ms", "patch_id")
         .distinct()
         .withColumn("hit", F.struct("ts_ms", "patch_id")),
         probe_keys,

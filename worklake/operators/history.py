@@ -31,8 +31,8 @@ def jump_tables(parents: DataFrame, doublings: int = 4) -> list[DataFrame]:
                 "repo_id", "sha", "up", (F.col("dist") + 2**i).alias("dist")
             )
             level = materialize(level.unionByName(longer), "jump")
-        if level.isEmpty():
-            return tables
+            if i == 0 and level.isEmpty():
+                return tables
         tables.append(level.where(F.col("dist") < 2**doublings).select("repo_id", "sha", "up"))
         unit = level.where(F.col("dist") == 2**doublings).withColumn("dist", F.lit(1))
 

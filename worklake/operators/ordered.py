@@ -135,7 +135,7 @@ def activity_runs(
     """
     point = F.struct(*at)
     slots = df.groupBy(*keys, F.floor(F.col(at[0]) / F.lit(gap)).alias("__slot")).agg(
-        F.min(point).alias("first"), F.max(point).alias("last")
+        F.min(point).alias("first"), F.max(point).alias("last"), F.count("*").alias("__n")
     )
     w = Window.partitionBy(*keys).orderBy("__slot")
     prev = F.lag(f"last.{at[0]}").over(w)
@@ -145,7 +145,9 @@ def activity_runs(
     numbered = marked.withColumn(
         "run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
-    return numbered.groupBy(*keys, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return numbered.groupBy(*keys, "run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("__n").alias("events")
+    )
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rn", salts: int = 64) -> DataFrame:

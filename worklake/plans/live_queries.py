@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worklake.bindings import NOW_MS
-from worklake.config import DAY
+from worklake.config import DAY, MINUTE
 from worklake.plans.match_queries import SQL_COLLISIONS, collision_frames
 from worklake.plans.registry import Registry
 from worklake.streaming import live as L
@@ -57,8 +57,9 @@ def register(q: Registry) -> None:
 
     @q.add("L06_quiet_signals", runs.format(key="", part="1", gap=120_000))
     def _(d):
-        return L.activity_windows(d.log_events, [], "2 minutes")
+        rows = d.log_events.withColumn("all", F.lit(1))
+        return L.activity_windows(rows, ["all"], 2 * MINUTE).drop("all")
 
     @q.add("L07_running_sessions", runs.format(key="session_id,", part="session_id", gap=600_000))
     def _(d):
-        return L.activity_windows(d.log_events, ["session_id"], "10 minutes")
+        return L.activity_windows(d.log_events, ["session_id"], 10 * MINUTE)

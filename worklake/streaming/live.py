@@ -16,6 +16,7 @@ from worklake.config import HOUR, LoopRules
 from worklake.functions.text import content_hash
 from worklake.operators.collisions import detect_collisions
 from worklake.operators.ingest import insert_new
+from worklake.operators.ordered import activity_runs
 from worklake.operators.sessions import latest_events, session_status
 
 NOTICE = ["kind", "notice_key", "session_id", "rel_path", "message"]
@@ -127,7 +128,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def append_new_events(batch: DataFrame, table: str) -> None:
     """Keyed idempotent append of one micro-batch."""
     spark = batch.sparkSession
-    rows = fingerprints(batch)
+    rows = fingerprints(batch).withColumn("event_id", F.col("fingerprint"))
     if _exists(spark, table):
         rows = insert_new(rows, spark.read.parquet(table), ["fingerprint"], ["file", "ordinal", "seq"])
     else:
@@ -157,10 +158,11 @@ def import_stream(
     )
 
     def load(batch: DataFrame, _: int) -> None:
-        events = normalize(batch.withColumn("ordinal", F.monotonically_increasing_id()))
+        events = normalize(batch.withColumn("ordinal", F.monotonically_increasing_id())).persist()
         append_new_events(events, table)
         if after is not None:
             after(events.select("session_id").distinct())
+        events.unpersist()
 
     return (
         lines.writeStream.foreachBatch(load)
@@ -177,17 +179,22 @@ def refresh_status(events: DataFrame, touched: DataFrame) -> DataFrame:
     return session_status(latest_events(own)).join(last, "session_id")
 
 
-def activity_windows(events: DataFrame, keys: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
-    """Stretches of activity per key that end after `gap` without events; batch or stream.
+def activity_windows(events: DataFrame, keys: list[str], gap_ms: int, late: str = "10 minutes") -> DataFrame:
+    """Stretches of activity per key that end after a gap without events; batch or stream.
 
-    With a 10-minute gap per session this is the running-session tracker; with two minutes and no
-    key, the end of a stretch is the signal to derive everything again.
+    With a 10-minute gap per session this is the running-session tracker; with two minutes and one
+    key for all, the end of a stretch is the signal to derive everything again. A stream keeps its
+    open stretches as state; a batch reduces events to slots first, so that a key with most of the
+    rows never sits in one task.
     """
-    timed = events.withColumn("ts", F.timestamp_millis("ts_ms"))
-    if events.isStreaming:
-        timed = timed.withWatermark("ts", late)
-    return timed.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(
-        F.count("*").alias("events")
-    ).select(
+    if not events.isStreaming:
+        runs = activity_runs(events, keys, ["ts_ms"], gap_ms - 1)
+        return runs.select(
+            *keys, F.col("first.ts_ms").alias("start_ms"),
+            (F.col("last.ts_ms") + gap_ms).alias("end_ms"), "events",
+        )
+    timed = events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", late)
+    window = F.session_window("ts", f"{gap_ms} milliseconds")
+    return timed.groupBy(*keys, window.alias("w")).agg(F.count("*").alias("events")).select(
         *keys, F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "events"
     )
