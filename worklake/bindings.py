@@ -208,8 +208,21 @@ def _spell(sql: str, engine: dict[str, str]) -> str:
         sql = out
 
 
+# Tables of long texts with the key that spreads them.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; long texts that arrive in fewer splits than there are cores are spread first.
+
+    Only an input too small to fill the cores is moved; with more splits than cores, as on a
+    cluster, texts stay where they are read.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, TEXT_KEYS[table])
+    return df
 
 
 class Domain:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,26 @@ SECRET_RULES: list[tuple[str, str, str]] = [
     ("aiza", rf"{B}AIza[0-9A-Za-z_-]{{35}}{E}", REDACTED),
     ("jwt", rf"{B}eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}", REDACTED),
 ]
+# Lower-case literals of which a text must hold one before a rule can match at all.
+RULE_HINTS: dict[str, tuple[str, ...]] = {
+    "private_key": ("-----begin ",),
+    "authorization": ("authorization",),
+    "bearer": ("bearer",),
+    "url_credentials": ("://",),
+    "named_secret": (
+        "secret", "token", "password", "passwd", "apikey", "api_key", "privatekey", "private_key",
+        "accesskey", "access_key", "credential",
+    ),
+    "secret_flag": ("-pass", "-token", "-api", "-secret"),
+    "sk_key": ("sk-",),
+    "git_host_token": ("ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_"),
+    "glpat": ("glpat-",),
+    "xox": ("xox",),
+    "npm": ("npm_",),
+    "akia": ("akia", "asia"),
+    "aiza": ("aiza",),
+    "jwt": ("eyj",),
+}
 PREFIX_WORDS = ("sudo", "env", "time", "nohup", "exec", "command", "builtin")
 QUOTED = r"""(["'])((?:\\.|(?!\1).)*)\1"""
 HOME_DIR = rf"""(^|[{SPACE_CHARS}"'`=:(,\[])/(?:Users|home)/[^/{SPACE_CHARS}"'`]+"""
@@ -69,13 +92,19 @@ def redact(df: DataFrame, col: str, out: str, count: str, by_rule: str | None =
     """Adds the redacted text, the number of redactions and optionally the tally per rule.
 
     One projection per rule: each step reads the previous step's text once, and Catalyst keeps the
-    steps apart instead of inlining them into one exponential expression.
+    steps apart instead of inlining them into one exponential expression. A rule's regex only runs
+    on texts that hold one of its literals; replacements never create one, so the original decides.
     """
     cur = F.col(col)
-    df = df.withColumn("__t0", cur).withColumn("__n0", F.lit(0))
+    df = df.withColumn("__t0", cur).withColumn("__n0", F.lit(0)).withColumn("__low", F.lower(cur))
+    hints = [
+        reduce(or_, [F.contains(F.col("__low"), F.lit(h)) for h in RULE_HINTS[name]]) for name, _, _ in SECRET_RULES
+    ]
+    df = df.withColumn("__may", F.array(*hints)).drop("__low")
     tallies = []
     for i, (name, pattern, replacement) in enumerate(SECRET_RULES):
-        df = df.withColumn(f"__n{i + 1}", F.regexp_count(F.col(f"__t{i}"), F.lit(pattern)))
+        hit = F.regexp_count(F.col(f"__t{i}"), F.lit(pattern))
+        df = df.withColumn(f"__n{i + 1}", F.when(F.col("__may")[i], hit).otherwise(F.lit(0)))
         df = df.withColumn(
             f"__t{i + 1}",
             F.when(F.col(f"__n{i + 1}") > 0, F.regexp_replace(f"__t{i}", pattern, replacement))
@@ -86,7 +115,7 @@ def redact(df: DataFrame, col: str, out: str, count: str, by_rule: str | None =
     df = df.withColumn(out, F.col(f"__t{len(SECRET_RULES)}")).withColumn(count, total)
     if by_rule:
         df = df.withColumn(by_rule, F.struct(*[c.alias(n) for n, c in tallies]))
-    return df.drop(f"__t{len(SECRET_RULES)}", *[f"__n{i}" for i in range(len(SECRET_RULES) + 1)])
+    return df.drop("__may", f"__t{len(SECRET_RULES)}", *[f"__n{i}" for i in range(len(SECRET_RULES) + 1)])
 
 
 def redact_text(text: Column) -> Column:

@@ -19,6 +19,9 @@ SPACE_CHARS = (
     r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 SPACE = f"[{SPACE_CHARS}]"
+# Whitespace that is not already one plain space; ordinary word gaps are left alone by the regex.
+ODD_SPACE_CHARS = SPACE_CHARS.replace(r"\f\r ", r"\f\r")
+UNTIDY = f" *[{ODD_SPACE_CHARS}]{SPACE}*| {{2,}}"
 NOT_SPACE = f"[^{SPACE_CHARS}]"
 MIN_LINE_LENGTH = 8
 FP_HEX = 16
@@ -38,7 +41,7 @@ def nfc(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Whitespace runs to one space, trimmed; expects composed text."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, UNTIDY, " "))
 
 
 def normalize_line(line: Column) -> Column:

@@ -94,16 +94,28 @@ def find_snippets(
     """
     stride = shortest - gram + 1
     reach = longest - gram
-    cells = stored.select(
+    # Pieces first: taking a substring scans the string up to it, so cells are cut from short ones.
+    piece = 80 * stride
+    pieces = stored.where(F.length(text) >= gram).select(
         key,
         text,
-        F.explode(F.sequence(F.lit(0), F.greatest(F.length(text) - gram, F.lit(0)), F.lit(stride))).alias("at"),
-    ).where(F.length(text) >= gram)
+        F.explode(F.sequence(F.lit(0), F.length(text) - gram, F.lit(piece))).alias("base"),
+    )
+    lead = F.least(F.col("base"), F.lit(reach))
+    pieces = pieces.select(
+        key,
+        lead.alias("lead"),
+        F.col(text).substr(F.col("base") - lead + 1, lead + piece + gram + reach).alias("part"),
+    )
+    inside = F.least(F.lit(piece - stride), F.length("part") - F.col("lead") - gram)
+    cells = pieces.select(
+        key, "part", F.explode(F.sequence(F.col("lead"), F.col("lead") + inside, F.lit(stride))).alias("at")
+    )
     start = F.greatest(F.col("at") - reach, F.lit(0))
     cells = cells.select(
         key,
-        F.col(text).substr(F.col("at") + 1, F.lit(gram)).alias("gram"),
-        F.col(text).substr(start + 1, F.lit(gram + 2 * reach) + F.lit(0)).alias("around"),
+        F.col("part").substr(F.col("at") + 1, F.lit(gram)).alias("gram"),
+        F.col("part").substr(start + 1, F.lit(gram + 2 * reach)).alias("around"),
         (F.col("at") - start).alias("before"),
     )
     grams = snippets.select(

@@ -11,6 +11,7 @@ from worklake.operators import history as G
 from worklake.operators import ingest as I
 from worklake.operators import matching as M
 from worklake.operators import threads as T
+from worklake.operators.ordered import materialize
 from worklake.plans.registry import Registry
 from worklake.plans.text_queries import LINES, sql_fp, sql_significant
 from worklake.sources.gitlog import edit_lines, snapshot_lines
@@ -86,11 +87,13 @@ def document_frames(d: Domain):
     keep = ["doc_id", "repo_id", "rel_path", "at_ms"]
     k = F.col("doc_id")
     edits = docs.where(k % 2 == 0)
-    lines = edit_lines(edits, KEY, keep).withColumnRenamed("at_ms", "edit_ms")
+    # Fingerprints are tables of the model: hashed once, then read by every step of the match.
+    lines = materialize(edit_lines(edits, KEY, keep).withColumnRenamed("at_ms", "edit_ms"), "lines")
     hits = edit_lines(docs.where((k % 2 == 1) & (k % 5 != 0)), KEY, keep).select(
         "repo_id", "rel_path", "fp", k.cast("string").alias("sha"), F.col("at_ms").alias("commit_ms"),
         (k % 3 > 0).alias("on_default"),
     )
+    hits = materialize(hits, "hits")
     tree = snapshot_lines(
         docs.where((k % 2 == 1) & (k % 5 == 0)).withColumn("kind", F.lit("worktree")), KEY
     )
