@@ -9,7 +9,7 @@ from worklake.functions import paths as P
 from worklake.functions import redact as R
 from worklake.functions import text as X
 from worklake.plans.registry import Registry
-from worklake.sources.gitlog import added_lines, parse_commits, snapshot_lines
+from worklake.sources.gitlog import added_lines, parse_commits, significant, snapshot_lines
 
 IPAD, OPAD = X.hmac_pads(KEY)
 
@@ -141,8 +141,8 @@ def register(q: Registry) -> None:
         f"WITH {LINES} SELECT {sql_fp('n')} AS fp, count(*) AS n, count(DISTINCT doc_id) AS docs FROM lines1 WHERE {sql_significant('n')} GROUP BY 1",
     )
     def _(d):
-        fp = X.line_fingerprint(X.squeeze(F.col("line")), KEY)
-        rows = doc_lines(d).select("doc_id", fp.alias("fp")).where("fp is not null")
+        rows = significant(doc_lines(d), F.col("line"))
+        rows = rows.select("doc_id", X.line_fingerprint(F.col("norm"), KEY).alias("fp"))
         return rows.groupBy("fp").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
     @q.add(

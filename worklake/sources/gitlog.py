@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklake.config import MAX_TREE_FILE_BYTES
 from worklake.functions.paths import diff_path
 from worklake.functions.redact import redact_text
-from worklake.functions.text import line_fingerprint, nfc, split_lines, squeeze
+from worklake.functions.text import is_significant, line_fingerprint, nfc, split_lines, squeeze
+from worklake.sources.variants import pinned
 
 COMMIT_MARK = "\u0001"
 FIELD_MARK = "\u0002"
 
 
+def significant(lines: DataFrame, text: Column) -> DataFrame:
+    """Adds `norm`, the canonical line, and keeps lines that carry a signal.
+
+    The canonical form is pinned: the filter would otherwise repeat its regex per condition.
+    """
+    return pinned(lines, norm=squeeze(text)).where(is_significant(F.col("norm")))
+
+
 def read_patch_log(spark: SparkSession, root: str) -> DataFrame:
     """One record per commit; the text source splits on the commit mark, so records are whole."""
     return (
@@ -58,10 +67,10 @@ def added_lines(commits: DataFrame, touched: DataFrame, key: bytes) -> DataFrame
         "repo_id", "rel_path", "sha", "commit_ms",
         F.explode(F.filter(F.split(nfc(body), "\n"), lambda l: l.startswith("+"))).alias("line"),
     )
-    text = squeeze(F.col("line").substr(F.lit(2), F.length("line")))
-    return lines.select(
-        "repo_id", "rel_path", line_fingerprint(text, key).alias("fp"), "sha", "commit_ms"
-    ).where("fp is not null")
+    rows = significant(lines, F.col("line").substr(F.lit(2), F.length("line")))
+    return rows.select(
+        "repo_id", "rel_path", line_fingerprint(F.col("norm"), key).alias("fp"), "sha", "commit_ms"
+    )
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
@@ -83,19 +92,19 @@ def snapshot_lines(snapshots: DataFrame, key: bytes) -> DataFrame:
     lines = snapshots.select(
         "repo_id", "rel_path", "kind", F.explode(split_lines(nfc(F.col("content")))).alias("line")
     )
-    return (
-        lines.select("repo_id", "rel_path", "kind", line_fingerprint(squeeze(F.col("line")), key).alias("fp"))
-        .where("fp is not null")
-        .distinct()
-    )
+    rows = significant(lines, F.col("line"))
+    # Hashed before the shuffle: only fingerprints travel, never text.
+    return rows.select(
+        "repo_id", "rel_path", "kind", line_fingerprint(F.col("norm"), key).alias("fp")
+    ).distinct()
 
 
 def edit_lines(edits: DataFrame, key: bytes, keep: list[str]) -> DataFrame:
     """Distinct significant lines of each edit text with first-occurrence order."""
     lines = edits.select(*keep, F.posexplode(split_lines(nfc(F.col("content")))).alias("pos", "line"))
+    rows = significant(lines, F.col("line"))
     return (
-        lines.select(*keep, "pos", line_fingerprint(squeeze(F.col("line")), key).alias("fp"))
-        .where("fp is not null")
+        rows.select(*keep, "pos", line_fingerprint(F.col("norm"), key).alias("fp"))
         .groupBy(*keep, "fp")
         .agg(F.min("pos").alias("ordinal"))
     )
