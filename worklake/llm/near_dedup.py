@@ -6,11 +6,11 @@ MANTISSA bits after them, in 16 bits. An empty bucket takes the register of a bu
 random order names. BANDS bands of registers are candidates' keys: at a similarity of 0.8 a pair
 shares none with a probability below 1e-6, and pairs below 0.1 share one as rarely.
 
-Sets that are equal are one candidate. In a band with many candidates each is paired with one leader,
-not with all others; pairs are estimated from their registers (corrected for chance collisions), then
-verified on the full sets, and verified links joined into components. Bands whose members are still in
-several components get other leaders, and once that joins nothing more, all pairs between different
-components of a band are verified. So every candidate pair is verified or already connected.
+Sets that are equal are one candidate. In a band each member is paired with one leader, the one that
+shares bands most often, not with all others; pairs are estimated from their registers (corrected for
+chance collisions), then verified on the full sets, and verified links joined into components. Where a
+band's members are then still in several components, those outside the largest one meet all its members
+in blocks of bounded size. So every candidate pair is verified or already connected.
 
 Null text, or one without words, has an empty set and no links. A row without doc_id has no links
 either (component null, kept). Rows with equal doc_id are one node.
@@ -24,13 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklake.llm import hashing
-from worklake.llm.tables import materialize, repeated_ids
+from worklake.llm.tables import broadcast_if_small, materialize, repeated_ids, shared_rows
 
 SHINGLE = 2
 LEAST, OF = 80, 100  # similarity, as a fraction
 BANDS, ROWS = 48, 6
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
+#: Keys (16 bytes each) that may be broadcast; beyond, they meet sketches and texts by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Pairs up to this number are sent to the sets they name, instead of shuffling the sets.
+FEW_PAIRS = 5_000
+#: Sets on either side of a block in which all are compared.
+PER_BLOCK = 256
 #: Estimated similarity below which a pair is not verified: six standard deviations under 0.8.
 ESTIMATE = 0.8 - 6 * (0.16 / BUCKETS) ** 0.5
 #: Chance that registers of unlike sets agree: leading zeros agree once in three, mantissas in 2^MANTISSA.
@@ -106,105 +112,151 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("x"), pa.array(found, pa.binary())], names=["d", "x", "s"])
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if min(len(a), len(b)) * OF < max(len(a), len(b)) * LEAST:
+        return False
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return OF * both >= LEAST * (len(a) + len(b) - both)
+
+
 def _verify(batches):
     for batch in batches:
-        ok = []
-        for a, b in zip(batch.column("s"), batch.column("t"), strict=True):
-            a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-            both = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
-            ok.append(OF * both >= LEAST * (len(a) + len(b) - both))
+        ok = [
+            _similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair))
+            for pair in zip(batch.column("s"), batch.column("t"), strict=True)
+        ]
         yield batch.select(["d", "e"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _block(rows: pa.Table) -> pa.Table:
+    """Links between the asking rows of a block and its others, across components."""
+    rows = rows.combine_chunks()
+    ask = rows.column("ask").to_numpy(zero_copy_only=False)
+    d, label = rows.column("d").to_numpy(), rows.column("label").to_numpy()
+    regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    sets = [np.frombuffer(v, np.uint64) for v in rows.column("s").to_pylist()]
+    others = np.flatnonzero(~ask)
+    found = []
+    for k in np.flatnonzero(ask):
+        far = others[label[others] != label[k]]
+        share = ((regs[far] == regs[k]).mean(axis=1) - CHANCE) / (1 - CHANCE)
+        found += [(d[k], d[j]) for j in far[share >= ESTIMATE] if _similar(sets[k], sets[j])]
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"d": pa.array(a, pa.int64()), "e": pa.array(b, pa.int64())})
+
+
 class Links:
     """Verified links between the sets of a corpus."""
 
     def __init__(self, texts: DataFrame):
         """`texts`: d (not null), text."""
-        self.texts = texts
         self.repeated = repeated_ids(texts.select("d"))
         self.sketches = materialize(sketch(texts, self.repeated), "sketches")
         some = self.sketches.filter("n_shingles > 0")
-        firsts = some.groupBy("sid").agg(F.min(F.struct("d", "x")).alias("f"))
-        self.members = materialize(some.join(firsts, "sid").select("d", F.col("f.d").alias("e")).filter("d != e").distinct(), "members")
-        self.sets = materialize(
-            firsts.select("f.d", "f.x").join(some, ["d", "x"]).select("d", "x", "n_shingles", "registers").dropDuplicates(["d", "x"]),
-            "sets",
+        firsts = some.groupBy("sid").agg(F.min(F.struct("d", "x")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+        copies = materialize(
+            some.join(firsts, "sid").filter(F.struct("d", "x") != F.col("f")).select("d", "x", F.col("f.d").alias("e")).distinct(), "copies"
         )
-
-    def bands(self) -> DataFrame:
-        """(band, d, x) of the bands that two sets or more share; written."""
-        every = self._every_band()
-        crowded = every.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-        return materialize(every.join(crowded, "band", "left_semi"), "bands")
-
-    def _every_band(self) -> DataFrame:
-        key = F.transform(
-            F.sequence(F.lit(0), F.lit(BANDS - 1)),
-            lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))),
-        )
-        return self.sets.select("d", "x", F.explode(key).alias("band"))
+        self.members = copies.select("d", "e")
+        sets = some.join(broadcast_if_small(copies, BROADCAST_ROWS), ["d", "x"], "left_anti")
+        #: (band, d, x) of the bands that two sets or more share.
+        self.bands = materialize(shared_rows(_bands(sets), "band"), "bands")
+        nodes = materialize(self.bands.select("d", "x").distinct(), "nodes")
+        few = broadcast_if_small(nodes, BROADCAST_ROWS)
+        self.registers = materialize(sets.join(few, ["d", "x"]).select("d", "x", "n_shingles", "registers").dropDuplicates(["d", "x"]), "registers")
+        if self.repeated:
+            keyed = texts.select("d", F.lit(True).alias("x"), "text")
+            full = keyed.mapInArrow(_keyed_sets, "d long, x long, s binary").join(few, ["d", "x"]).dropDuplicates(["d", "x"])
+        else:
+            full = texts.join(few, "d").select("d", "x", "text").mapInArrow(_sets, "d long, x long, s binary")
+        self.full = materialize(full, "full-sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (d, x, e, y) that are similar enough, as (d, e); written."""
-        a = self.sets.select("d", "x", F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
-        b = self.sets.select(F.col("d").alias("e"), F.col("x").alias("y"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-        sized = F.least("na", "nb") * OF >= F.greatest("na", "nb") * LEAST
-        likely = materialize(
-            pairs.join(a, ["d", "x"]).join(b, ["e", "y"]).filter(sized).select("d", "x", "e", "y", "ra", "rb")
-            .mapInArrow(_estimate, "d long, x long, e long, y long"),
-            "likely",
-        )
-        nodes = likely.select("d", "x").union(likely.select("e", "y")).distinct()
-        if self.repeated:
-            keyed = self.texts.select("d", F.lit(True).alias("x"), "text")
-            full = keyed.mapInArrow(_keyed_sets, "d long, x long, s binary").join(nodes, ["d", "x"]).dropDuplicates(["d", "x"])
-        else:
-            mine = self.texts.join(nodes, "d").select("d", "x", "text")
-            full = mine.mapInArrow(_sets, "d long, x long, s binary")
-        full = materialize(full, "full-sets")
-        other = full.select(F.col("d").alias("e"), F.col("x").alias("y"), F.col("s").alias("t"))
-        checked = likely.join(full, ["d", "x"]).join(other, ["e", "y"]).select("d", "e", "s", "t")
+
+        def other(df: DataFrame) -> DataFrame:
+            names = {"d": "e", "x": "y", "n_shingles": "nb", "registers": "rb", "s": "t"}
+            return df.select(*[F.col(c).alias(names[c]) for c in df.columns])
+
+        pairs = materialize(pairs.distinct(), "pairs")
+        small = pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
+        pair = ["d", "x", "e", "y"]
+
+        def both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+            """Pairs with the values of either side; few pairs go to the values, not the other way."""
+            if small:
+                named = F.broadcast(pairs)
+                return named.join(values, ["d", "x"]).join(named.join(other(values), ["e", "y"]), pair)
+            return pairs.join(values, ["d", "x"]).join(other(values), ["e", "y"])
+
+        sized = F.least("n_shingles", "nb") * OF >= F.greatest("n_shingles", "nb") * LEAST
+        likely = both(pairs, self.registers).filter(sized).select(*pair, F.col("registers").alias("ra"), "rb")
+        likely = materialize(likely.mapInArrow(_estimate, "d long, x long, e long, y long"), "likely")
+        checked = both(likely, self.full).select("d", "e", "s", "t")
         return materialize(checked.mapInArrow(_verify, "d long, e long"), "links")
 
-    def stars(self, bands: DataFrame, order: Column) -> DataFrame:
-        """Each band's members with the one that comes first in `order`."""
-        lead = bands.groupBy("band").agg(F.min(F.struct(order.alias("o"), "d", "x")).alias("l"), F.count("*").alias("n")).filter("n > 1")
-        pairs = bands.join(lead, "band").filter((F.col("d") != F.col("l.d")) | (F.col("x") != F.col("l.x")))
-        return pairs.select("d", "x", F.col("l.d").alias("e"), F.col("l.x").alias("y")).distinct()
+    def _popular_first(self) -> DataFrame:
+        """Each band's members, paired with the one that shares bands most often: a text that others were made from."""
+        held = self.bands.groupBy("band").agg(F.count("*").alias("n"))
+        weight = self.bands.join(held, "band").groupBy("d", "x").agg(F.sum("n").alias("w"))
+        return _stars(self.bands.join(weight, ["d", "x"]), -F.col("w"))
 
     def components(self) -> DataFrame:
         """(node, label) of every id with a link; label is the smallest id it is connected with."""
-        bands = self.bands()
-        links = [self.members, self.verified(self.stars(bands, F.lit(0)))]
-        turn = 0
-        while True:
-            labels = components(_all(links))
-            mixed = self._mixed(bands, labels)
-            if mixed.isEmpty():
-                return labels
-            turn += 1
-            extra = self.verified(self.stars(mixed.drop("label"), F.xxhash64("d", "x", F.lit(turn))))
-            if self._joins(extra, labels):
-                links.append(extra)
-                continue
-            a, b = mixed.alias("a"), mixed.alias("b")
-            across = (F.col("a.band") == F.col("b.band")) & (F.col("a.label") < F.col("b.label"))
-            pairs = a.join(b, across).select("a.d", "a.x", F.col("b.d").alias("e"), F.col("b.x").alias("y")).distinct()
-            links.append(self.verified(pairs))
-            return components(_all(links))
-
-    def _mixed(self, bands: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members, with labels, of the bands whose members are in more than one component; written."""
-        named = bands.join(labels, bands.d == labels.node, "left").select("band", "d", "x", F.coalesce("label", "d").alias("label"))
+        links = self.members.union(self.verified(self._popular_first()))
+        labels = components(links)
+        mixed = self._mixed(labels)
+        if mixed.isEmpty():
+            return labels
+        rest = self._rest(mixed)
+        return labels if rest.isEmpty() else components(links.union(rest))
+
+    def _rest(self, mixed: DataFrame) -> DataFrame:
+        """Verified links between different components that share a band; written.
+
+        A band's largest component is its family; members of others are strays of that family. All
+        strays of a family meet all its members (and each other) in blocks of bounded size, in which
+        pairs are estimated and verified; only links come out.
+        """
+        main = mixed.groupBy("band").agg(F.max(F.struct("size", "label")).alias("m")).select("band", F.col("m.label").alias("family"))
+        held = mixed.join(main, "band").select("family", "d", "x", "label").distinct()
+        held = materialize(held.withColumn("stray", F.col("label") != F.col("family")), "families")
+        counts = held.groupBy("family").agg(F.count("*").alias("all"), F.count(F.when(F.col("stray"), 1)).alias("strays"))
+        parts = lambda n: F.ceil(F.col(n) / PER_BLOCK).cast("int")
+        held = held.join(counts.select("family", parts("all").alias("ca"), parts("strays").alias("cs")), "family")
+        mine = lambda n: F.pmod(F.xxhash64("d", "x"), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asked = held.filter("stray").select("family", "d", "x", "label", F.lit(True).alias("ask"), mine("cs").alias("i"), upto("ca").alias("j"))
+        given = held.select("family", "d", "x", "label", F.lit(False).alias("ask"), upto("cs").alias("i"), mine("ca").alias("j"))
+        blocks = asked.union(given).join(self.registers, ["d", "x"]).join(self.full, ["d", "x"])
+        met = blocks.select("family", "i", "j", "d", "label", "ask", "registers", "s").groupBy("family", "i", "j")
+        return materialize(met.applyInArrow(_block, "d long, e long"), "links")
+
+    def _mixed(self, labels: DataFrame) -> DataFrame:
+        """Members, with label and size of its component, of the bands that several components share; written."""
+        sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
+        named = self.bands.join(sized, self.bands.d == sized.node, "left").select(
+            "band", "d", "x", F.coalesce("label", "d").alias("label"), F.coalesce("size", F.lit(1)).alias("size")
+        )
         several = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("band")
         return materialize(named.join(several, "band"), "mixed")
 
-    def _joins(self, links: DataFrame, labels: DataFrame) -> bool:
-        a = labels.select(F.col("node").alias("d"), F.col("label").alias("la"))
-        b = labels.select(F.col("node").alias("e"), F.col("label").alias("lb"))
-        named = links.join(a, "d", "left").join(b, "e", "left")
-        return not named.filter(F.coalesce("la", "d") != F.coalesce("lb", "e")).isEmpty()
+
+def _bands(sets: DataFrame) -> DataFrame:
+    key = F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))),
+    )
+    return sets.select(F.explode(key).alias("band"), "d", "x")
+
+
+def _stars(bands: DataFrame, order: Column) -> DataFrame:
+    """Each band's members, paired with the one that comes first in `order`."""
+    lead = bands.groupBy("band").agg(F.min(F.struct(order.alias("o"), "d", "x")).alias("l"))
+    other = (F.col("d") != F.col("l.d")) | (F.col("x") != F.col("l.x"))
+    return bands.join(lead, "band").filter(other).select("d", "x", F.col("l.d").alias("e"), F.col("l.x").alias("y"))
 
 
 def _keyed_sets(batches):
@@ -218,37 +270,28 @@ def _keyed_sets(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["d", "x", "s"])
 
 
-def _all(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for undirected links (d, e): label is the smallest node of the component. Written.
 
-    Each round hangs every root under its smallest neighbor, follows pointers to their ends, and goes on
-    with the links between the ends.
+    Each round hangs every node under its smallest neighbor, follows these pointers a few steps, and goes
+    on with the links between where they lead.
     """
-    edges = materialize(links.filter("d != e").select(F.greatest("d", "e").alias("u"), F.least("d", "e").alias("v")).distinct(), "edges")
-    labels = materialize(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("label", F.col("node")), "labels")
+    pairs = links.filter("d != e").select(F.greatest("d", "e").alias("u"), F.least("d", "e").alias("v"))
+    edges = materialize(pairs.distinct(), "edges")
+    labels = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("label", F.col("node"))
     while not edges.isEmpty():
-        hang = materialize(edges.groupBy("u").agg(F.min("v").alias("v")), "hang")
-        while True:
+        hang = edges.groupBy("u").agg(F.min("v").alias("v"))
+        for _ in range(2):
             up = hang.select(F.col("u").alias("v"), F.col("v").alias("w"))
-            longer = materialize(hang.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), "hang")
-            hang = longer.drop("moved")
-            if longer.filter("moved").isEmpty():
-                break
+            hang = hang.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+        hang = materialize(hang, "hang")
         to = hang.select(F.col("u").alias("label"), F.col("v").alias("root"))
-        labels = materialize(labels.join(to, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        ends = edges.join(hang.select("u", F.col("v").alias("ru")), "u", "left").join(
-            hang.select(F.col("u").alias("v"), F.col("v").alias("rv")), "v", "left"
-        )
-        a, b = F.coalesce("ru", "u"), F.coalesce("rv", "v")
-        edges = materialize(ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
-    return labels
+        labels = labels.join(to, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+        a = hang.select("u", F.col("v").alias("a"))
+        b = hang.select(F.col("u").alias("v"), F.col("v").alias("b"))
+        ends = edges.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b"))
+        edges = materialize(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    return materialize(labels, "labels")
 
 
 def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
