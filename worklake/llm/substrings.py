@@ -1,15 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
 Every text is a reference and is cut into blocks of SIZE words, one at each word. Blocks are indexed
-by their hash; the index gives a block's earliest place (smallest doc_id, then start). A text is
+by their hash; the index gives a block's nearest earlier place (by doc_id, then start). A text is
 parsed greedily against it: a factor begins at the first block found earlier elsewhere and runs
 on while the following block is found at the following place. Factors are therefore at least SIZE words
 long, and since each block is looked up for itself, those that straddle two factors are checked too.
 Words under factors are duplicates.
 
 Only blocks that can repeat enter the index. Each block names one seed, its GRAM words of smallest
-hash; equal blocks name equal seeds. Seeds are counted first, and blocks whose seed occurs once are
-left out. Texts that equal another's are parsed with it once.
+hash; equal blocks name equal seeds. Seeds are sorted first, and blocks whose seed occurs once are
+left out. Texts that equal another's are parsed with it once. The index is sorted by (hash, place) and
+dealt by ranges of both, so a passage that a third of the documents share spreads over tasks: a block
+whose left neighbor has its hash is found earlier, and only the first block of a task needs to know
+the last one of the task before.
 
 Blocks are compared by 96 bits of hash. Null text has no words. Rows with equal doc_id are ordered by
 a hash of the text; equal rows are one document and get equal results. A null doc_id comes first.
@@ -19,21 +22,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklake.llm import hashing
-from worklake.llm.tables import NO_ID, materialize, plain_id, repeated_ids
+from worklake.llm.tables import NO_ID, broadcast_if_small, materialize, plain_id, repeated_ids, shared_rows
 
 SIZE = 20
 GRAM = 6
+#: Keys of copied texts that may be broadcast (16 bytes each); beyond, they meet the texts by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 SEEDS = "seed long, d long, x long, pos int"
 BLOCKS = "h1 long, h2 int, d long, x long, start int"
+MARKED = "d long, x long, start int, rd long, rs int, part long, last boolean, h1 long, h2 int"
 PARSED = (
     "d long, x long, n_words long, n_removed long, kept string,"
     " factors array<struct<start: int, length: int, ref: long, ref_start: int>>"
 )
+_MARKED = pa.schema(
+    [("d", pa.int64()), ("x", pa.int64()), ("start", pa.int32()), ("rd", pa.int64()), ("rs", pa.int32()),
+     ("part", pa.int64()), ("last", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int32())]
+)
 _FACTOR = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref", pa.int64()), ("ref_start", pa.int32())])
 
 
@@ -98,6 +108,36 @@ def _candidates(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
+def _index(batches):
+    """Sorted blocks: each one that equals its left neighbor, with that one's place; the task's first and last."""
+    from pyspark import TaskContext
+
+    part, last = TaskContext.get().partitionId(), None
+
+    def end(row: list, is_last: bool) -> pa.RecordBatch:
+        h1, h2, d, x, start = row
+        return pa.RecordBatch.from_pylist(
+            [dict(zip(_MARKED.names, (d, x, start, None, None, part, is_last, h1, h2), strict=True))], schema=_MARKED
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, d, x, start = (batch.column(n).to_numpy() for n in ("h1", "h2", "d", "x", "start"))
+        if last is None:
+            yield end([c[0].item() for c in (h1, h2, d, x, start)], False)
+            last = [c[0].item() for c in (h1, h2, d, x, start)]
+        p1, p2, pd, px, ps = (np.r_[np.array([v], c.dtype), c[:-1]] for v, c in zip(last, (h1, h2, d, x, start), strict=True))
+        later = (h1 == p1) & (h2 == p2) & ~((d == pd) & (x == px) & (start == ps))
+        n = int(later.sum())
+        columns = [c[later] for c in (d, x, start, pd, ps)]
+        empty = [pa.nulls(n, f.type) for f in list(_MARKED)[5:]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + empty, schema=_MARKED)
+        last = [c[-1].item() for c in (h1, h2, d, x, start)]
+    if last is not None:
+        yield end(last, True)
+
+
 def _factors(found: list[dict]) -> list[tuple[int, int, int, int]]:
     """Factors (start, length, reference, place) from the blocks found, of one document."""
     out: list[list[int]] = []
@@ -164,22 +204,28 @@ def parse(docs: DataFrame) -> DataFrame:
     )
     copies = materialize(copies, "copies")
 
-    base = texts.repartition("d", "x")  # one exchange of the texts, read three times
-    seeds = base.join(copies, ["d", "x"], "left_anti").mapInArrow(_seeds, SEEDS)
-    shared = seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    places = seeds.join(shared, "seed", "left_semi").groupBy("d", "x").agg(F.collect_set("pos").alias("at"))
-    blocks = base.join(places, ["d", "x"]).mapInArrow(_candidates, BLOCKS)
-    here = F.struct("d", "x", "start")
-    index = blocks.groupBy("h1", "h2").agg(F.min(here).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    few = broadcast_if_small(copies, BROADCAST_ROWS)
+    seeds = shared_rows(texts.join(few, ["d", "x"], "left_anti").mapInArrow(_seeds, SEEDS), "seed")
+    places = seeds.groupBy("d", "x").agg(F.collect_set("pos").alias("at"))
+    blocks = texts.join(places, ["d", "x"]).mapInArrow(_candidates, BLOCKS)
+    order = ["h1", "h2", "d", "x", "start"]
+    marked = blocks.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_index, MARKED)
+    ends = marked.filter("part is not null")
+    before = Window.orderBy("part", "last")  # two rows a task
+    seam = ends.withColumn("p", F.lag(F.struct("h1", "h2", "d", "start", "last")).over(before)).filter(
+        "not last and p.last and h1 = p.h1 and h2 = p.h2"
+    )
     found = (
-        blocks.join(index, ["h1", "h2"])
-        .filter(here != F.col("f"))
+        marked.filter("part is null")
+        .select("d", "x", "start", "rd", "rs")
+        .unionByName(seam.select("d", "x", "start", F.col("p.d").alias("rd"), F.col("p.start").alias("rs")))
         .groupBy("d", "x")
-        .agg(F.collect_set(F.struct("start", F.col("f.d").alias("rd"), F.col("f.start").alias("rs"))).alias("found"))
+        .agg(F.collect_set(F.struct("start", "rd", "rs")).alias("found"))
     )
+    # the same exchange of the texts as above comes first, so that it is used again
     return (
-        base.join(copies.withColumn("copy", F.lit(True)), ["d", "x"], "left")
-        .join(found, ["d", "x"], "left")
+        texts.join(found, ["d", "x"], "left")
+        .join(few.withColumn("copy", F.lit(True)), ["d", "x"], "left")
         .mapInArrow(_parse, PARSED)
     )
 
