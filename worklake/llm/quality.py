@@ -1,6 +1,7 @@
 """Quality rules: a table of thresholds, compiled into one projection.
 
-Each rule bounds a ratio of two counts, `low <= 1000 * a / b <= high`, worked out in whole numbers.
+Each rule bounds a ratio of two counts, `low <= 1000 * a / b <= high`, worked out in whole numbers; a
+grace is added to `a` for the lower bound, so that a short text may lack one.
 The counts (words, characters, symbols, stop words, lines) come from built-in functions only; words
 are split once a row and kept in a lambda variable.
 
@@ -38,6 +39,7 @@ class Rule:
     low: int | None = None
     high: int | None = None
     languages: tuple[str, ...] = ()
+    grace: int = 0
 
 
 #: Per 1000. A rule with languages is asked only of texts in one of them.
@@ -45,8 +47,8 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 1500, 25000),
     Rule("symbols", "n_symbols", "n_words", None, 100),
     Rule("shouted", "n_shouts", "n_words", None, 100),
-    Rule("stop_words", "n_stop_words", "n_words", 60, None, tuple(STOP_WORDS)),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 300),
+    Rule("stop_words", "n_stop_words", "n_words", 60, None, tuple(STOP_WORDS), grace=1),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 400),
     Rule("cut_lines", "n_cut_lines", "n_lines", None, 300),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 900),
 )
@@ -129,7 +131,7 @@ def _passes(rule: Rule, lang: Column) -> Column:
     m = lambda name: F.col("__m")[name]
     ok = F.lit(True)
     if rule.low is not None:
-        ok = ok & (m(rule.part) * 1000 >= m(rule.whole) * rule.low)
+        ok = ok & ((m(rule.part) + rule.grace) * 1000 >= m(rule.whole) * rule.low)
     if rule.high is not None:
         ok = ok & (m(rule.part) * 1000 <= m(rule.whole) * rule.high)
     return ok | ~F.coalesce(lang.isin(*rule.languages), F.lit(False)) if rule.languages else ok

@@ -106,8 +106,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_sh
   n_bullet_lines, base_failed,
   not base_failed and word_chars * 1000 between n_words * 1500 and n_words * 25000 and n_symbols * 1000 <= n_words * 100
   and n_shouts * 1000 <= n_words * 100
-  and (n_stop_words * 1000 >= n_words * 60 or coalesce(lang, '') not in ('en', 'fr', 'de', 'es'))
-  and n_dup_lines * 1000 <= n_lines * 300 and n_cut_lines * 1000 <= n_lines * 300 and n_bullet_lines * 1000 <= n_lines * 900
+  and ((n_stop_words + 1) * 1000 >= n_words * 60 or coalesce(lang, '') not in ('en', 'fr', 'de', 'es'))
+  and n_dup_lines * 1000 <= n_lines * 400 and n_cut_lines * 1000 <= n_lines * 300 and n_bullet_lines * 1000 <= n_lines * 900
   as kept
 from b
 """,
