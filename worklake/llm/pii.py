@@ -208,10 +208,10 @@ def _rising(y: np.ndarray) -> np.ndarray:
 
 
 def train(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Trees from the even rows, calibrated on the odd ones. Both labels must occur, else nothing is accepted."""
-    if len(set(y.tolist())) < 2:
-        return Trees([], np.zeros(0), np.zeros(0))
+    """Trees from the even rows, calibrated on the odd ones. Both need both labels, else nothing is accepted."""
     fit, hold = slice(0, None, 2), slice(1, None, 2)
+    if min(len(set(y[fit].tolist())), len(set(y[hold].tolist()))) < 2:
+        return Trees([], np.zeros(0), np.zeros(0))
     xs, ys = x[fit], y[fit].astype(float)
     cuts = [np.unique(np.quantile(xs[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
     model, total = Trees([], np.zeros(0), np.zeros(0)), np.zeros(len(xs))
@@ -328,6 +328,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """`docs` with the spans in `text` replaced; texts without any stay as they are."""
     model = fit(docs)
     at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names of any kind
 
     def cleaned(batches):
         for batch in batches:
@@ -336,4 +337,4 @@ def clean(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(cleaned, docs.schema)
+    return plain.mapInArrow(cleaned, plain.schema).toDF(*docs.columns)

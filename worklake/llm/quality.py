@@ -148,12 +148,21 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     return metrics(docs, text).withColumn("__base_failed", base).withColumn("__kept", ~base & verdict)
 
 
+def _needed(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """What the rules read, apart from the other columns, whatever their names."""
+    lang = [F.col("lang")] if "lang" in docs.columns else []
+    return docs.select(*more, "text", *lang)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: its counts, `base_failed` and `kept`."""
     m = [F.col("__m")[name].alias(name) for name in METRICS]
-    return judge(docs).select("doc_id", *m, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    return judge(_needed(docs, "doc_id")).select(
+        "doc_id", *m, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept")
+    )
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(docs).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    return judge(_needed(docs, row)).filter("__kept").select("__row.*")
