@@ -2,7 +2,7 @@
 
 import pytest
 
-from worklake.operators.sessions import latest_events, session_status
+from worklake.operators.sessions import session_status
 
 STORIES = {
     "completed": ("completed", [("prompt.submitted", None), ("tool.started", "a"), ("tool.completed", "a"), ("turn.completed", None)]),
@@ -15,6 +15,7 @@ STORIES = {
     "permission used": ("completed", [("turn.completed", None), ("approval.requested", None), ("tool.completed", "z")]),
     "error": ("failed", [("turn.completed", None), ("error", None)]),
     "open without id": ("completed", [("turn.completed", None), ("subagent.started", None)]),
+    "long ago": ("awaiting-user", [("tool.started", "q"), ("session.awaiting-user", "q"), *[("message", None)] * 300]),
     "nothing": ("unknown", [("session.started", None)]),
 }
 
@@ -25,7 +26,7 @@ def statuses(spark):
         (name, i, i, i, kind, call) for name, (_, events) in STORIES.items() for i, (kind, call) in enumerate(events)
     ]
     df = spark.createDataFrame(rows, "session_id string, event_id long, ts_ms long, seq long, event_type string, call_id string")
-    return {r["session_id"]: r["status"] for r in session_status(latest_events(df)).collect()}
+    return {r["session_id"]: r["status"] for r in session_status(df).collect()}
 
 
 @pytest.mark.parametrize("name", STORIES)

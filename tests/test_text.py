@@ -89,7 +89,7 @@ def test_commands(spark):
         "x" * 400: ("x" * 299 + "…", "x" * 299 + "…", 0),
     }
     df = spark.createDataFrame([(c,) for c in cases], "c string")
-    for r in R.sanitize_command(df, "c").collect():
+    for r in R.sanitize_command(df, "c", longest=300).collect():
         exe, shown, n = cases[r["c"]]
         assert (r["display"], r["redactions"]) == (shown, n)
         if len(r["c"]) < 300:

@@ -53,6 +53,4 @@ class InsightRules:
 
 MIN_COMPARISON_SAMPLE = 30
 LIVE_WINDOW_MS = 10 * MINUTE
-STATUS_EVENT_LIMIT = 200
 TRUNK_SPAN_MS = 14 * DAY
-MAX_TREE_FILE_BYTES = 5 * 1024 * 1024

@@ -12,7 +12,6 @@ from worklake.functions.text import NOT_SPACE, SPACE, SPACE_CHARS
 
 REDACTED = "[REDACTED]"
 MASKED = "[TEXT]"
-MAX_COMMAND = 300
 MAX_KEPT_QUOTED = 48
 
 # What counts as a secret. Order matters (structured forms before token shapes).
@@ -167,8 +166,11 @@ def command_executable(command: Column) -> Column:
     return F.get(bases, F.lit(0))
 
 
-def sanitize_command(df: DataFrame, col: str) -> DataFrame:
-    """Adds executable, display and redactions for a shell command column (null stays null)."""
+def sanitize_command(df: DataFrame, col: str, longest: int | None = None) -> DataFrame:
+    """Adds executable, display and redactions for a shell command column (null stays null).
+
+    `longest` cuts what is displayed; without it the whole line is kept.
+    """
     df = df.withColumn("__line", F.get(F.split(trim_space(F.col(col)), "\r?\n", 2), F.lit(0)))
     df = redact(df, "__line", "__clean", "__secrets")
     # Pieces around the quoted spans, then the spans put back one by one, masked where prose.
@@ -188,9 +190,8 @@ def sanitize_command(df: DataFrame, col: str) -> DataFrame:
         df.withColumn("executable", command_executable(shown))
         .withColumn(
             "display",
-            F.when(
-                F.length(shown) > MAX_COMMAND,
-                F.concat(F.substring(shown, 1, MAX_COMMAND - 1), F.lit("…")),
+            shown if longest is None else F.when(
+                F.length(shown) > longest, F.concat(F.substring(shown, 1, longest - 1), F.lit("…"))
             ).otherwise(shown),
         )
         .withColumn("redactions", F.when(F.col(col).isNull(), 0).otherwise(F.col("__secrets") + F.col("__masked")))
@@ -198,9 +199,9 @@ def sanitize_command(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def privacy_filter(text: Column, cap: int = 500) -> Column:
-    """Output strings: redacted again, home folders shown as ~, capped in length."""
+def privacy_filter(text: Column, cap: int | None = None) -> Column:
+    """Output strings: redacted again, home folders shown as ~; cut to `cap` characters where one is given."""
     shown = F.regexp_replace(redact_text(text), HOME_DIR, "$1~")
-    return F.when(
-        F.length(shown) > cap, F.concat(F.substring(shown, 1, cap), F.lit("…"))
-    ).otherwise(shown)
+    if cap is None:
+        return shown
+    return F.when(F.length(shown) > cap, F.concat(F.substring(shown, 1, cap), F.lit("…"))).otherwise(shown)

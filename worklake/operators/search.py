@@ -73,25 +73,30 @@ def verdict(landed, uncommitted, partial, lost) -> Column:
     )
 
 
-def prose_snippets(texts: DataFrame, text: str, keep: list[str], length: int = 64) -> DataFrame:
-    """First characters of texts that are prose: at least 24 characters and three words."""
-    snippet = F.substring(text, 1, length)
+def prose_snippets(texts: DataFrame, text: str, keep: list[str], length: int | None = None) -> DataFrame:
+    """Texts that are prose: at least 24 characters and three words; their first `length` characters, if given."""
+    snippet = F.col(text) if length is None else F.substring(text, 1, length)
     words = F.size(F.filter(F.split(F.trim(snippet), r"\s+"), lambda w: w != ""))
     return texts.select(*keep, snippet.alias("snippet")).where(
         (F.length("snippet") >= 24) & (words >= 3)
     )
 
 
-def find_snippets(
-    snippets: DataFrame, stored: DataFrame, text: str, key: str, gram: int = 12, shortest: int = 24,
-    longest: int = 64,
-) -> DataFrame:
-    """All (snippet, stored row) containments, as an equi-join on character grams.
+def find_snippets(snippets: DataFrame, stored: DataFrame, text: str, key: str, gram: int = 12, head: int = 24) -> DataFrame:
+    """All (snippet, stored row) containments of snippets of any length but 0.
 
-    A snippet of at least `shortest` characters covers a whole gram at some multiple of the stride,
-    wherever it starts in a text. So the texts give one gram per stride, the snippets all of theirs,
-    and each text cell carries enough characters around its gram to check the whole snippet.
+    Candidates come from an equi-join on character grams of the snippets' heads, `head` characters or as
+    few as the shortest snippet has. A head covers a whole gram at some multiple of the stride, wherever
+    it starts in a text. So the texts give one gram per stride, the heads all of theirs, and each text
+    cell carries enough characters around its gram to check the head. Snippets that go on behind their
+    head are then sought whole in the texts that hold it.
     """
+    snippets = snippets.where(F.length("snippet") > 0)
+    least = snippets.agg(F.min(F.length("snippet"))).first()[0]
+    shortest = min(head, least or head)
+    gram, columns = min(gram, shortest), snippets.columns
+    snippets = snippets.withColumn("__head", F.substring("snippet", 1, shortest))
+    longest = shortest
     stride = shortest - gram + 1
     reach = longest - gram
     # Pieces first: taking a substring scans the string up to it, so cells are cut from short ones.
@@ -119,10 +124,16 @@ def find_snippets(
         (F.col("at") - start).alias("before"),
     )
     grams = snippets.select(
-        "*", F.explode(F.sequence(F.lit(0), F.length("snippet") - gram)).alias("offset")
-    ).withColumn("gram", F.col("snippet").substr(F.col("offset") + 1, F.lit(gram)))
+        "*", F.explode(F.sequence(F.lit(0), F.length("__head") - gram)).alias("offset")
+    ).withColumn("gram", F.col("__head").substr(F.col("offset") + 1, F.lit(gram)))
     begins = F.col("before") - F.col("offset")
-    verified = cells.join(grams, "gram").where(begins >= 0).where(
-        F.col("around").substr(begins + 1, F.length("snippet")) == F.col("snippet")
+    held = (
+        cells.join(grams, "gram")
+        .where(begins >= 0)
+        .where(F.col("around").substr(begins + 1, F.length("__head")) == F.col("__head"))
+        .select(*columns, key)
+        .distinct()
     )
-    return verified.select(*snippets.columns, key).distinct()
+    more = F.length("snippet") > shortest
+    whole = held.where(more).join(stored.select(key, text), key).where(F.contains(text, "snippet"))
+    return held.where(~more).unionByName(whole.select(*columns, key)).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklake.config import LIVE_WINDOW_MS, MINUTE, STATUS_EVENT_LIMIT
+from worklake.config import LIVE_WINDOW_MS, MINUTE
 from worklake.operators.ordered import collapse_runs, top_n
 
 # Event types that open and close a call.
@@ -31,50 +31,54 @@ def changed_files(patches: DataFrame) -> DataFrame:
     return patches.groupBy("session_id").agg(F.countDistinct("path").alias("changed_files"))
 
 
-def latest_events(events: DataFrame, n: int = STATUS_EVENT_LIMIT) -> DataFrame:
+def latest_events(events: DataFrame, n: int) -> DataFrame:
     """The n newest events of each session, numbered from the newest."""
     return top_n(events, ["session_id"], NEWEST(), n)
 
 
-def session_status(latest: DataFrame) -> DataFrame:
-    """Status per session from its newest events (`latest_events`), newest decisive one first.
+def session_status(events: DataFrame) -> DataFrame:
+    """Status per session: what the newest decisive event says, over all its events.
 
-    Windows here run over at most the limited number of events per session.
+    Of each call only the newest start and the newest request can decide, since what closes them closes
+    the older ones too. So two aggregations suffice, per call and per session, and nothing is ranked.
     """
-    newer = Window.partitionBy("session_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    per_call = Window.partitionBy("session_id", "call_id")
-    call = F.col("call_id")
-    et = F.col("event_type")
-    finished = et.isin(*FINISHED)
-    rows = latest.select(
-        "session_id",
-        "rn",
-        "event_type",
-        "call_id",
-        F.coalesce(F.max(finished).over(newer), F.lit(False)).alias("newer_done"),
-        F.min(F.when(finished & call.isNotNull(), F.col("rn"))).over(per_call).alias("done_rn"),
-        F.max((et == "session.awaiting-user") & call.isNotNull()).over(per_call).alias("asks"),
-    )
-    closed = call.isNotNull() & F.coalesce(F.col("done_rn") < F.col("rn"), F.lit(False))
-    decision = (
-        F.when(et == "agent.interrupted", "interrupted")
-        .when(et.isin(*STARTED) & call.isNotNull() & ~closed & F.col("asks"), "awaiting-user")
-        .when(et.isin(*STARTED) & call.isNotNull() & ~closed, "unknown")
-        .when((et == "approval.requested") & ~F.col("newer_done") & ~closed, "awaiting-user")
-        .when(et == "error", "failed")
-        .when(et == "turn.completed", "completed")
-        .when(et == "prompt.submitted", "unknown")
-    )
-    return rows.withColumn("decision", decision).groupBy("session_id").agg(
-        F.coalesce(
-            F.min_by("decision", F.when(F.col("decision").isNotNull(), F.col("rn"))), F.lit("unknown")
-        ).alias("status")
-    )
-
-
-def session_end(latest: DataFrame) -> DataFrame:
+    et, call = F.col("event_type"), F.col("call_id")
+    place = F.struct("ts_ms", "seq", "event_id")
+    newest = lambda when: F.max(F.when(when, place))
+    calls = events.groupBy("session_id", "call_id").agg(
+        newest(et.isin(*FINISHED)).alias("done"),
+        newest(et.isin(*STARTED) & call.isNotNull()).alias("started"),
+        newest(et == "approval.requested").alias("requested"),
+        F.max(et == "session.awaiting-user").alias("asks"),
+        newest(et == "agent.interrupted").alias("interrupted"),
+        newest(et == "error").alias("failed"),
+        newest(et == "turn.completed").alias("completed"),
+        newest(et == "prompt.submitted").alias("prompted"),
+    )
+    open_since = lambda c: F.when(call.isNull() | F.col("done").isNull() | (F.col("done") < F.col(c)), F.col(c))
+    per_session = calls.groupBy("session_id").agg(
+        F.max("done").alias("done"),
+        F.max(F.when(F.col("asks"), open_since("started"))).alias("asking"),
+        F.max(F.when(~F.col("asks"), open_since("started"))).alias("running"),
+        F.max(open_since("requested")).alias("requested"),
+        *[F.max(c).alias(c) for c in ("interrupted", "failed", "completed", "prompted")],
+    )
+    waiting = F.when(F.col("done").isNull() | (F.col("done") < F.col("requested")), F.col("requested"))
+    said = {
+        "interrupted": "interrupted", "asking": "awaiting-user", "running": "unknown", "waiting": "awaiting-user",
+        "failed": "failed", "completed": "completed", "prompted": "unknown",
+    }
+    decisive = F.array_compact(
+        F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("at"), F.lit(v).alias("status"))) for c, v in said.items()])
+    )
+    return per_session.withColumn("waiting", waiting).select(
+        "session_id", F.coalesce(F.array_max(decisive)["status"], F.lit("unknown")).alias("status")
+    )
+
+
+def session_end(events: DataFrame) -> DataFrame:
     """End instant: the newest end signal with no activity after it."""
-    ends = latest.groupBy("session_id").agg(
+    ends = events.groupBy("session_id").agg(
         F.max(F.when(F.col("event_type") == "session.ended", F.col("ts_ms"))).alias("end"),
         F.max("ts_ms").alias("last"),
     )
@@ -87,7 +91,6 @@ def refresh_sessions(
     """Stored rows are the truth: counts, span, usage, end and status recomputed per session."""
     from worklake.operators.usage import usage_totals
 
-    latest = latest_events(events)
     base = sessions.select(
         *[c for c in sessions.columns if c not in ("first_ms", "last_ms", "status", "ended_ms")]
     )
@@ -95,8 +98,8 @@ def refresh_sessions(
         usage_totals(base, usage)
         .join(event_counts(events), "session_id", "left")
         .join(changed_files(patches), "session_id", "left")
-        .join(session_status(latest), "session_id", "left")
-        .join(session_end(latest), "session_id", "left")
+        .join(session_status(events), "session_id", "left")
+        .join(session_end(events), "session_id", "left")
         .fillna({"event_count": 0, "failure_count": 0, "changed_files": 0, "status": "unknown"})
     )
 

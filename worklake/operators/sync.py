@@ -50,7 +50,7 @@ def sync_report(synced: DataFrame) -> DataFrame:
 
 def set_loop_state(loops: DataFrame, actions: DataFrame) -> DataFrame:
     """User actions (loop_key, action in dismissed/resolved/open, reason) applied to the snapshot."""
-    a = actions.select("loop_key", "action", F.substring("reason", 1, 200).alias("reason"))
+    a = actions.select("loop_key", "action", "reason")
     j = loops.join(a, "loop_key", "left")
     act = F.col("action")
     resolved_by = F.when(act == "resolved", "user").when(act.isNull(), F.col("resolved_by"))

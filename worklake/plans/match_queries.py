@@ -390,7 +390,7 @@ def register(q: Registry) -> None:
 
     @q.add(
         "J22_leak_audit",
-        """WITH s AS (SELECT item_id, substring(text, 1, 64) AS snippet FROM benchmark)
+        """WITH s AS (SELECT item_id, text AS snippet FROM benchmark)
         SELECT item_id, doc_id FROM s JOIN documents ON contains(text, snippet) WHERE length(snippet) >= 24
           AND len(list_filter(string_split_regex(trim(snippet), '\\s+'), lambda w: w <> '')) >= 3""",
     )

@@ -74,7 +74,7 @@ def doc_lines(d: Domain):
 
 
 def patch_log(d: Domain):
-    """Odd documents as commit records of a patch export; every third touches a second file."""
+    """Documents as commit records of a patch export; every third touches a second file."""
     k = F.col("doc_id")
     name = F.concat(F.lit("src/f"), (k % 7).cast("string"), F.lit(".txt"))
     body = F.concat(F.lit("+"), F.regexp_replace("text", "\n", "\n+"))
@@ -87,14 +87,14 @@ def patch_log(d: Domain):
         diff(name, body),
         F.when(k % 3 == 0, diff(F.lit("other.txt"), F.lit("-old\n+++ counter increased\n+plain other line"))).otherwise(""),
     )
-    return d.documents.where(k % 2 == 1).select(F.col("lang").alias("repo_id"), record.alias("record"))
+    return d.documents.select(F.col("lang").alias("repo_id"), record.alias("record"))
 
 
 def register(q: Registry) -> None:
     @q.add(
         "S14_commit_patch_lines",
-        f"""WITH {LINES}, f AS (SELECT lang AS repo_id, 'src/f' || (doc_id % 7) || '.txt' AS rel_path, 'h' || doc_id AS sha, doc_id * 3600000 AS commit_ms, n FROM lines1 JOIN documents USING (doc_id) WHERE doc_id % 2 = 1
-          UNION ALL SELECT lang, 'other.txt', 'h' || doc_id, doc_id * 3600000, unnest(['++ counter increased', 'plain other line']) FROM documents WHERE doc_id % 6 = 3)
+        f"""WITH {LINES}, f AS (SELECT lang AS repo_id, 'src/f' || (doc_id % 7) || '.txt' AS rel_path, 'h' || doc_id AS sha, doc_id * 3600000 AS commit_ms, n FROM lines1 JOIN documents USING (doc_id)
+          UNION ALL SELECT lang, 'other.txt', 'h' || doc_id, doc_id * 3600000, unnest(['++ counter increased', 'plain other line']) FROM documents WHERE doc_id % 3 = 0)
         SELECT repo_id, rel_path, sha, commit_ms, {sql_fp('n')} AS fp, count(*) AS n FROM f WHERE {sql_significant('n')} AND rel_path <> 'src/f5.txt' GROUP BY ALL""",
     )
     def _(d):
@@ -106,7 +106,7 @@ def register(q: Registry) -> None:
 
     @q.add(
         "S14_commits",
-        "SELECT lang AS repo_id, 'h' || doc_id AS sha, doc_id * 3600000 AS commit_ms, 'subject ' || doc_id AS subject FROM documents WHERE doc_id % 2 = 1",
+        "SELECT lang AS repo_id, 'h' || doc_id AS sha, doc_id * 3600000 AS commit_ms, 'subject ' || doc_id AS subject FROM documents",
     )
     def _(d):
         return parse_commits(patch_log(d)).drop("patch")
@@ -250,7 +250,7 @@ def register(q: Registry) -> None:
             regexp_extract_all(t, '{quoted}') AS spans FROM {cmd_last}),
         shown AS (SELECT doc_id, n + len(list_filter(spans, lambda s: {masked} <> s)) AS redactions,
             array_to_string(list_transform(range(len(pieces)), lambda i: pieces[i + 1] || coalesce(list_transform([spans[i + 1]], lambda s: {masked})[1], '')), '') AS t FROM parts)
-        SELECT doc_id, redactions, CASE WHEN length(t) > 300 THEN substring(t, 1, 299) || '…' ELSE t END AS display FROM shown""",
+        SELECT doc_id, redactions, t AS display FROM shown""",
     )
     def _(d):
         cmd = F.concat(
@@ -370,14 +370,11 @@ def register(q: Registry) -> None:
     @q.add(
         "T19_privacy_filter",
         f"""WITH {p_steps}, h AS (SELECT conv_id, turn, regexp_replace(t, '{home}', '\\1~', 'g') AS t FROM {p_last})
-        SELECT conv_id, turn, CASE WHEN length(t) > 500 THEN substring(t, 1, 500) || '…' ELSE t END AS shown FROM h""",
+        SELECT conv_id, turn, t AS shown FROM h""",
     )
     def _(d):
         t = F.concat(F.lit("see /home/u"), "conv_id", F.lit("/x and "), "text")
-        rows = R.redact(d.conversations.select("conv_id", "turn", t.alias("t")), "t", "clean", "n")
-        shown = F.regexp_replace("clean", R.HOME_DIR, "$1~")
-        capped = F.when(F.length(shown) > 500, F.concat(F.substring(shown, 1, 500), F.lit("…"))).otherwise(shown)
-        return rows.select("conv_id", "turn", capped.alias("shown"))
+        return d.conversations.select("conv_id", "turn", R.privacy_filter(t).alias("shown"))
 
     @q.add(
         "T20_display_names",

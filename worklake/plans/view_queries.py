@@ -68,7 +68,7 @@ def register_sessions(q: Registry) -> None:
     @q.add(
         "W03_session_status",
         """WITH n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms DESC, seq DESC, event_id DESC) AS rn FROM log_events),
-        l AS (SELECT * FROM n WHERE rn <= 200), fin AS (SELECT * FROM l WHERE event_type IN ('tool.completed', 'tool.failed', 'command.completed', 'command.failed', 'subagent.ended', 'approval.resolved')),
+        l AS (SELECT * FROM n), fin AS (SELECT * FROM l WHERE event_type IN ('tool.completed', 'tool.failed', 'command.completed', 'command.failed', 'subagent.ended', 'approval.resolved')),
         j AS (SELECT l.*, EXISTS (SELECT 1 FROM fin f WHERE f.session_id = l.session_id AND f.call_id = l.call_id AND f.rn < l.rn) AS closed,
             EXISTS (SELECT 1 FROM fin f WHERE f.session_id = l.session_id AND f.rn < l.rn) AS moved_on,
             EXISTS (SELECT 1 FROM l a WHERE a.session_id = l.session_id AND a.call_id = l.call_id AND a.event_type = 'session.awaiting-user') AS asks FROM l),
@@ -79,14 +79,14 @@ def register_sessions(q: Registry) -> None:
         SELECT session_id, coalesce(arg_min(v, rn) FILTER (v IS NOT NULL), 'unknown') AS status FROM dec GROUP BY 1""",
     )
     def _(d):
-        return S.session_status(S.latest_events(d.log_events))
+        return S.session_status(d.log_events)
 
     @q.add(
         "W04_session_end",
         """SELECT session_id, CASE WHEN max(ts_ms) FILTER (event_type = 'session.ended') >= max(ts_ms) THEN max(ts_ms) FILTER (event_type = 'session.ended') END AS ended_ms FROM log_events GROUP BY 1""",
     )
     def _(d):
-        return S.session_end(S.latest_events(d.log_events))
+        return S.session_end(d.log_events)
 
     @q.add(
         "W05_timeline",

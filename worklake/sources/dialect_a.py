@@ -431,7 +431,7 @@ def titles(triaged: DataFrame) -> DataFrame:
     title = F.when(observed, V.text(doc, "$.customTitle")).otherwise(V.text(doc, "$.aiTitle"))
     rows = triaged.where("disposition = 'title'").select(
         F.col("vendor_session").alias("session_id"),
-        F.substring(title, 1, 200).alias("title"),
+        title.alias("title"),
         observed.alias("observed"),
         "file",
         "ordinal",

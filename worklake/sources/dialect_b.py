@@ -25,13 +25,12 @@ IGNORED_ITEMS = (
     "Extension", "EnteredReviewMode", "ExitedReviewMode",
 )
 HEAD_TYPE = r'^\{"timestamp":"[^"]*",(?:"ordinal":\d+,)?"type":"([a-z_]+)"'
-HEAD_CHARS = 256
 FORK_WINDOW_MS = SECOND
 
 
 def skip_heavy(lines: DataFrame) -> DataFrame:
     """Drops bulky line types by their first characters, before any JSON is parsed."""
-    head = F.regexp_extract(F.substring("value", 1, HEAD_CHARS), HEAD_TYPE, 1)
+    head = F.regexp_extract("value", HEAD_TYPE, 1)
     return lines.where(~head.isin(*SKIPPED_TYPES))
 
 
@@ -396,7 +395,7 @@ def thread_names(lines: DataFrame) -> DataFrame:
     doc = F.try_parse_json("value")
     rows = lines.select(
         V.text(doc, "$.id").alias("session_id"),
-        F.substring(V.text(doc, "$.thread_name"), 1, 200).alias("title"),
+        V.text(doc, "$.thread_name").alias("title"),
         "file",
         "ordinal",
     ).where("session_id is not null and title is not null")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklake.config import MAX_TREE_FILE_BYTES
 from worklake.functions.paths import diff_path
 from worklake.functions.redact import redact_text
 from worklake.functions.text import is_significant, line_fingerprint, nfc, split_lines, squeeze
@@ -41,7 +40,7 @@ def parse_commits(records: DataFrame) -> DataFrame:
         "repo_id",
         F.get(fields, F.lit(0)).alias("sha"),
         (F.get(fields, F.lit(1)).cast("long") * 1000).alias("commit_ms"),
-        F.substring(redact_text(F.coalesce(F.get(fields, F.lit(2)), F.lit(""))), 1, 120).alias("subject"),
+        redact_text(F.coalesce(F.get(fields, F.lit(2)), F.lit(""))).alias("subject"),
         F.get(F.split("record", "\n", 2), F.lit(1)).alias("patch"),
     )
 
@@ -74,12 +73,11 @@ def added_lines(commits: DataFrame, touched: DataFrame, key: bytes) -> DataFrame
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Files under a folder as text: too large or binary (NUL byte) ones are left out."""
+    """Files under a folder as text: binary ones (NUL byte) are left out."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .where(F.col("length") <= MAX_TREE_FILE_BYTES)
     )
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return files.select(F.col("path").alias("file"), text.alias("content")).where(

@@ -17,7 +17,7 @@ from worklake.functions.text import content_hash
 from worklake.operators.collisions import detect_collisions
 from worklake.operators.ingest import insert_new
 from worklake.operators.ordered import activity_runs
-from worklake.operators.sessions import latest_events, session_status
+from worklake.operators.sessions import session_status
 
 NOTICE = ["kind", "notice_key", "session_id", "rel_path", "message"]
 
@@ -176,7 +176,7 @@ def refresh_status(events: DataFrame, touched: DataFrame) -> DataFrame:
     """Status and last event of the touched sessions, from all their stored events."""
     own = events.join(touched.select("session_id"), "session_id", "left_semi")
     last = own.groupBy("session_id").agg(F.max("ts_ms").alias("last_ms"))
-    return session_status(latest_events(own)).join(last, "session_id")
+    return session_status(own).join(last, "session_id")
 
 
 def activity_windows(events: DataFrame, keys: list[str], gap_ms: int, late: str = "10 minutes") -> DataFrame:
