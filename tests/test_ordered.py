@@ -52,6 +52,7 @@ def test_pick_rank(skewed):
 
 def test_activity_runs(skewed):
     got = {(r["k"], r["first"]["t"], r["last"]["t"], r["events"]) for r in O.activity_runs(skewed, ["k"], ["t"], 60).collect()}
+    bounded = {(r["k"], r["first"], r["last"], r["events"]) for r in O.spread_runs(skewed, ["k"], "t", 60, slots=3).collect()}
     data, want = {}, set()
     for r in skewed.collect():
         data.setdefault(r["k"], []).append(r["t"])
@@ -64,7 +65,7 @@ def test_activity_runs(skewed):
                 start, n = b, 0
             n += 1
         want.add((k, start, ts[-1], n))
-    assert got == want
+    assert got == bounded == want
 
 
 def test_positions(spark):
@@ -75,5 +76,34 @@ def test_positions(spark):
     assert got == {n: i for i, n in enumerate(names)}
 
 
+def test_positions_of_names_that_begin_alike(spark):
+    df = spark.range(3000).select(F.lit("g").alias("g"), F.format_string("one/long/common/folder/%06d", "id").alias("p"), "id")
+    df = df.unionByName(spark.createDataFrame([("h", "b", -1), ("h", "a", -2)], "g string, p string, id long"))
+    got = {(r["g"], r["id"]): r["pos"] for r in O.positions(df, ["g"], "p", "pos").collect()}
+    assert got == {**{("g", i): i for i in range(3000)}, ("h", -2): 0, ("h", -1): 1}
+
+
+def test_null_keys_spread(spark):
+    """95 of 100 rows have no key: nothing is lost, and no task of the join holds them all."""
+    left = spark.range(20_000).select(
+        "id", F.when(F.col("id") % 20 == 0, F.col("id") % 7).alias("k"), F.array("id").alias("more"), F.lit("r").alias("repo")
+    )
+    right = spark.createDataFrame([(n, "r", f"v{n}") for n in range(5)] + [(None, "r", "no"), (None, None, "none")], "k long, repo string, v string")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for c, v in zip(old, ("-1", "false")):
+        spark.conf.set(c, v)
+    try:
+        joined = O.join_known(left, right, ["repo", "k"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        got = joined.collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert joined.columns == left.join(right, ["repo", "k"], "left").columns
+    want = {r["id"]: f"v{r['k']}" if r["k"] is not None and r["k"] < 5 else None for r in left.collect()}
+    assert len(got) == 20_000 and {r["id"]: r["v"] for r in got} == want
+    assert len(sizes) == 4 and max(sizes) < 2 * 20_000 / 4
+
+
 def test_checkpoint_dir_is_read_from_the_session(spark):
     assert O.checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")

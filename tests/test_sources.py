@@ -137,17 +137,36 @@ def test_rollout(spark, tmp_path):
     assert (s["branch_first"], s["model"], s["parent_session_id"]) == ("dev", "m-2", "parent")
 
 
+def test_only_a_first_line_is_a_header(spark, tmp_path):
+    """Two rollouts in one task: the second one opens with another line, so its header does not count."""
+    other = SID.replace("0a0b", "1a1b")
+    for n, (sid, rows) in enumerate(((SID, ROLLOUT[:3]), (other, [ROLLOUT[2], ROLLOUT[0]]))):
+        (tmp_path / f"rollout-2025-03-0{n + 1}T10-00-00-{sid}.jsonl").write_text("\n".join(json.dumps(x, separators=(",", ":")) for x in rows))
+    lines = S.rollout_order(S.read_lines(spark, str(tmp_path)).coalesce(1))
+    assert [(r["session_id"], r["head_cwd"]) for r in B.headers(B.triage(lines), lines).collect()] == [(SID, "/w")]
+
+
 def test_line_numbers_across_blocks(spark, tmp_path):
-    """Small splits: numbers stay dense and in file order."""
+    """Small splits, of two files: ordinals rise along each file, line numbers are dense."""
     n = 5000
+    (tmp_path / "small.jsonl").write_text('{"n":0}\n\n{"n":2}\n')
     (tmp_path / "big.jsonl").write_text("\n".join(f'{{"n":{i}}}' for i in range(n)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        rows = S.read_lines(spark, str(tmp_path)).select("ordinal", F.get_json_object("value", "$.n").cast("int").alias("n")).collect()
+        lines = S.read_lines(spark, str(tmp_path))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        rows = S.line_numbers(lines, lines).select("file", "ordinal", "line_no", F.get_json_object("value", "$.n").cast("int").alias("n")).collect()
+        firsts = {(r["file"], r["ordinal"]) for r in S.first_lines(lines).collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert sorted(r["ordinal"] for r in rows) == list(range(n)) and all(r["ordinal"] == r["n"] for r in rows)
+    assert "Exchange" not in plan
+    big = [r for r in rows if r["file"].endswith("big.jsonl")]
+    small = [r for r in rows if r["file"].endswith("small.jsonl")]
+    assert sorted(r["line_no"] for r in big) == list(range(n)) and all(r["line_no"] == r["n"] for r in big)
+    assert [r["n"] for r in sorted(big, key=lambda r: r["ordinal"])] == list(range(n))
+    assert sorted((r["line_no"], r["n"]) for r in small if r["n"] is not None) == [(0, 0), (2, 2)] and len(small) == 3
+    assert firsts == {(r["file"], r["ordinal"]) for r in rows if r["line_no"] == 0}
 
 
 def test_git_log_and_snapshots(spark, tmp_path):
@@ -167,7 +186,8 @@ def test_git_log_and_snapshots(spark, tmp_path):
     (tree / "bin").write_bytes(b"text then \0 zero")
     (tree / "big").write_bytes(b"x" * (5 * 1024 * 1024 + 1))
     snaps = G.read_snapshots(spark, str(tree))
-    assert [r["file"].rsplit("/", 1)[1] for r in snaps.collect()] == ["a.txt"]
+    assert [r["file"].rsplit("/", 1)[1] for r in snaps.collect()] == ["big", "a.txt"]
+    assert [(r["file"].rsplit("/", 1)[1], r["reason"]) for r in G.skipped_snapshots(spark, str(tree)).collect()] == [("bin", "binary")]
     named = snaps.select(F.lit("r").alias("repo_id"), F.lit("a.txt").alias("rel_path"), F.lit("head").alias("kind"), "content")
     assert G.snapshot_lines(named, KEY).count() == 1
 

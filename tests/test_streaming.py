@@ -62,6 +62,43 @@ def test_notices_are_raised_once(spark, tmp_path):
     assert L.raise_notices(moved, path).count() == 0
 
 
+def test_a_retried_batch_raises_the_same_notices(spark, tmp_path):
+    path = str(tmp_path / "raised")
+    rows = spark.createDataFrame([("k", n, "s", "f", "m") for n in ("a", "b")], "kind string, notice_key string, session_id string, rel_path string, message string")
+    keys = lambda run, df: sorted(r["notice_key"] for r in L.raise_notices(df, path, run=run).collect())
+    assert keys("1", rows.where("notice_key = 'a'")) == ["a"]
+    assert keys("2", rows) == ["b"] == keys("2", rows)
+    assert keys("3", rows) == [] and spark.read.parquet(path).count() == 2
+
+
+def test_import_of_rollouts_with_a_fork(spark, tmp_path):
+    """Two files in one micro-batch: both headers count, and copied history is left out."""
+    from test_sources import SID, item, roll
+
+    from worklake.sources import dialect_b as B
+    from worklake.sources import files as S
+
+    root, table = tmp_path / "in", str(tmp_path / "events")
+    root.mkdir()
+    child = SID.replace("0a0b", "1a1b")
+    search = lambda n, at=None: {**roll(n, "event_msg", item(type="WebSearch", id=f"w{n}")), **({"timestamp": at} if at else {})}
+    burst = "2025-03-01T10:00:00.100Z"
+    meta = {"timestamp": "2025-03-01T10:00:00Z", "cwd": "/w", "git": {"branch": "dev"}}
+    write_compact = lambda p, rows: p.write_text("\n".join(json.dumps(x, separators=(",", ":")) for x in rows) + "\n")
+    write_compact(root / f"rollout-2025-03-01T10-00-00-{SID}.jsonl", [roll(0, "session_meta", {"id": SID, **meta}), search(1), search(2)])
+    write_compact(
+        root / f"rollout-2025-03-01T10-00-01-{child}.jsonl",
+        [roll(0, "session_meta", {"id": child, **meta, "forked_from_id": SID, "subagent_history_start_ordinal": 3}), search(1, burst), search(2, burst), search(5)],
+    )
+    normalize = lambda lines: B.read(S.rollout_order(lines), b"k").events
+    for _ in range(2):
+        L.import_stream(spark, str(root), normalize, table, str(tmp_path / "check"), None, NOW).awaitTermination()
+    rows = spark.read.parquet(table).collect()
+    own = lambda sid: sorted(r["event_type"] for r in rows if r["session_id"] == sid)
+    assert own(SID).count("session.started") == own(child).count("session.started") == 1
+    assert (len(own(SID)), len(own(child))) == (3, 2) and {r["cwd"] for r in rows} == {"/w"}
+
+
 def stream_of(spark, df, folder):
     df.coalesce(1).write.parquet(folder)
     return spark.readStream.schema(df.schema).parquet(folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worklake.config import InsightRules, LoopRules
 from worklake.functions.text import base36, compact_count, fnv1a
-from worklake.operators.ordered import top_n
+from worklake.operators.ordered import join_known
 
 LOOP_COLUMNS = [
     "loop_key", "type", "repo_id", "thread_id", "since_ms", "files", "lines", "commits",
@@ -85,11 +85,8 @@ def unmerged_branch(
     """
     own = sessions.select("session_id", "git_branch_start", "git_branch_end", "last_ms")
     thread_branch = threads.select("thread_id", F.col("branch").alias("thread_branch"))
-    rows = (
-        found.where("class = 'landed' and frac_on_default = 0")
-        .join(own, "session_id", "left")
-        .join(thread_branch, "thread_id", "left")
-    )
+    rows = found.where("class = 'landed' and frac_on_default = 0").join(own, "session_id", "left")
+    rows = join_known(rows, thread_branch, ["thread_id"])
     branch = F.coalesce("first_branch", "git_branch_end", "git_branch_start", "thread_branch")
     rows = rows.withColumn("named", branch.isNotNull()).withColumn(
         "branch_key", F.coalesce(branch, F.concat(F.lit("thread:"), "group_key"))
@@ -124,7 +121,7 @@ def _later_in_thread(sessions: DataFrame, members: DataFrame, landed: DataFrame)
         F.max("started_ms").alias("thread_start"),
         F.max(F.when(F.col("landed"), F.col("started_ms"))).alias("thread_landed_start"),
     )
-    return rows.join(latest, "thread_id", "left")
+    return join_known(rows, latest, ["thread_id"])
 
 
 def awaiting_user(
@@ -175,12 +172,9 @@ def detect_loops(
     return out
 
 
-def loop_files(found: DataFrame, cls: str, n: int = 20) -> DataFrame:
-    """Evidence: the first files of each group (the display shows at most 20)."""
-    return top_n(
-        found.where(F.col("class") == cls).select("group_key", "rel_path", "since_ms"),
-        ["group_key"], [F.asc("since_ms"), F.asc("rel_path")], n,
-    )
+def loop_files(found: DataFrame, cls: str) -> DataFrame:
+    """Evidence: the files of each group; a display takes the earliest it has room for."""
+    return found.where(F.col("class") == cls).select("group_key", "rel_path", "since_ms")
 
 
 def repeated_failures(groups: DataFrame, rules: InsightRules = InsightRules()) -> DataFrame:

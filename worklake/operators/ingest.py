@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worklake.operators.ordered import join_known
+
 
 def event_copy_key() -> Column:
     """Vendor id, type and call; events without an id are the same at the same instant and types."""
@@ -193,7 +195,8 @@ def place_patches(patches: DataFrame, repos: DataFrame, session_repos: DataFrame
     own = resolve_repos(patches, repos)
     fallback = session_repos.select("session_id", F.col("repo_root").alias("__root"))
     ids = repos.select(F.col("root_path").alias("__root"), F.col("repo_id").alias("__id"))
-    joined = patches.join(own, "path", "left").join(fallback, "session_id", "left").join(ids, "__root", "left")
+    joined = patches.join(own, "path", "left").join(fallback, "session_id", "left")
+    joined = join_known(joined, ids, ["__root"])
     inside = F.when(F.col("root_path").isNotNull(), relative_to(F.col("root_path"), F.col("path")))
     via = relative_to(F.col("__root"), F.col("path"))
     rel = F.coalesce(inside, via)

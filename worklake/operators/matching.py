@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from worklake.config import DAY, OutcomeRules
 from worklake.functions.text import fnv1a
-from worklake.operators.ordered import asof, positions
+from worklake.operators.ordered import asof, join_known, positions
 
 KEY = ["repo_id", "rel_path", "fp"]
 
@@ -151,13 +151,11 @@ def classify(
         judged = judged.withColumn("__reverted", F.lit(False))
     else:
         gone = reverted.select("repo_id", F.col("sha").alias("first_sha")).distinct()
-        judged = judged.join(
-            gone.withColumn("__reverted", F.lit(True)), ["repo_id", "first_sha"], "left"
-        )
+        judged = join_known(judged, gone.withColumn("__reverted", F.lit(True)), ["repo_id", "first_sha"])
     judged = judged.withColumn("survival", survival(rules)).drop("__reverted", "frac_in_head")
     if commits is not None:
         named = commits.select("repo_id", F.col("sha").alias("first_sha"), "subject", "branch")
-        judged = judged.join(named, ["repo_id", "first_sha"], "left")
+        judged = join_known(judged, named, ["repo_id", "first_sha"])
     return judged
 
 

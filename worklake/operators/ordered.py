@@ -13,6 +13,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+ROW_BITS = 33
+NULL_SPREAD = 1 << 16
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,6 +38,25 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_known(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on keys that are null for many left rows, which can match nothing.
+
+    Those rows are dealt by a hash of their values, so they never meet in one task; all other rows go
+    by their keys alone. The right side's part of the extra key is always 0, in a form that the
+    optimizer does not fold, since a constant would drop out of the shuffle's keys.
+    """
+    unknown = F.lit(False)
+    for c in on:
+        unknown = unknown | F.col(c).isNull()
+    plain = [f"`{f.name}`" for f in left.schema.fields if isinstance(f.dataType, AtomicType) and f.dataType.typeName() != "variant"]
+    spread = F.when(unknown, F.pmod(F.xxhash64(*plain), F.lit(NULL_SPREAD))).otherwise(F.lit(0).cast("long"))
+    return (
+        left.withColumn("__spread", spread)
+        .join(right.withColumn("__spread", F.pmod(F.xxhash64(*on), F.lit(1))), [*on, "__spread"], "left")
+        .drop("__spread")
+    )
+
+
 def fill_last(
     df: DataFrame,
     keys: list[str],
@@ -150,6 +173,23 @@ def activity_runs(
     )
 
 
+def spread_runs(df: DataFrame, keys: list[str], at: str, gap: int, slots: int = 4096) -> DataFrame:
+    """`activity_runs` for keys that may hold most of the time line, even one key for all rows.
+
+    No window covers more than `slots` occupied slots of a key; one row per such stretch is carried on.
+    """
+    occupied = df.groupBy(*keys, F.floor(F.col(at) / F.lit(gap)).alias("__slot")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("__n")
+    )
+    bucket = F.floor(F.col("__slot") / F.lit(slots))
+    seen = fill_last(occupied, keys, bucket, ["__slot"], {"__prev": F.col("last")}, strict=True)
+    starts = F.col("__prev").isNull() | (F.col("first") - F.col("__prev") > gap)
+    opened = seen.withColumn("__start", F.when(starts, F.col("first")))
+    return fill_last(opened, keys, bucket, ["__slot"], {"run": F.col("__start")}).groupBy(*keys, "run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("__n").alias("events")
+    )
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rn", salts: int = 64) -> DataFrame:
     """First n rows per key; a hot key is cut down in `salts` tasks before its final ranking."""
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
@@ -219,20 +259,26 @@ def pick_rank(
     )
 
 
-def positions(df: DataFrame, keys: list[str], value: str, out: str, prefix: int = 16) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Zero-based sorted position of each distinct string per key.
 
-    Sorted order by the whole string equals order by its prefix, then by the string, so each
-    prefix is numbered on its own and shifted by the sizes of the prefixes before it.
+    Rows are sorted once by ranges of (keys, value) and written; a row's place in its range plus the
+    rows of its key in earlier ranges is its position. Only counts per key and range are joined back,
+    so neither one key nor strings that begin alike end up in one task.
     """
-    cut = df.withColumn("__p", F.substring(value, 1, prefix))
-    sizes = cut.groupBy(*keys, "__p").agg(F.count("*").alias("__c"))
+    mask = (1 << ROW_BITS) - 1
+    placed = materialize(
+        df.repartitionByRange(*keys, value)
+        .sortWithinPartitions(*keys, value)
+        .withColumn("__p", F.spark_partition_id())
+        .withColumn("__r", F.monotonically_increasing_id().bitwiseAND(F.lit(mask))),
+        "positions",
+    )
+    ranges = placed.groupBy(*keys, "__p").agg(F.min("__r").alias("__first"), F.count("*").alias("__c"))
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = sizes.select(*keys, "__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__skip"))
-    inside = Window.partitionBy(*keys, "__p").orderBy(value)
+    shifted = ranges.select(*keys, "__p", "__first", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__skip"))
     return (
-        cut.withColumn("__rn", F.row_number().over(inside))
-        .join(shifted, [*keys, "__p"])
-        .withColumn(out, F.col("__rn") - 1 + F.col("__skip"))
-        .drop("__p", "__rn", "__skip")
+        placed.join(shifted, [*keys, "__p"])
+        .withColumn(out, F.col("__r") - F.col("__first") + F.col("__skip"))
+        .drop("__p", "__r", "__first", "__skip")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklake.config import LIVE_WINDOW_MS, MINUTE
-from worklake.operators.ordered import collapse_runs, top_n
+from worklake.operators.ordered import collapse_runs, join_known, top_n
 
 # Event types that open and close a call.
 STARTED = ("tool.started", "command.started", "subagent.started")
@@ -143,7 +143,7 @@ def is_running(now_ms: int, last: str = "last_ms") -> Column:
 def fold_subagents(sessions: DataFrame) -> DataFrame:
     """Adds root_session_id: the parent when it is among the given sessions, else the session."""
     ids = sessions.select(F.col("session_id").alias("parent_session_id"), F.lit(True).alias("__in"))
-    return sessions.join(ids, "parent_session_id", "left").withColumn(
+    return join_known(sessions, ids, ["parent_session_id"]).withColumn(
         "root_session_id",
         F.when(F.col("__in"), F.col("parent_session_id")).otherwise(F.col("session_id")),
     ).drop("__in")

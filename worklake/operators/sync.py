@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -87,6 +90,19 @@ def dismiss_insights(insights: DataFrame, keys: DataFrame, now_ms: int) -> DataF
 
 
 def replace_all(rows: DataFrame, key: list[str], path: str) -> None:
-    """Overwrites a derived table; a repeated key keeps one row."""
+    """Gives a derived table a new version; a repeated key keeps one row.
+
+    A version is a folder of its own, complete once its marker is written, so `rows` may read the
+    version it replaces, readers always find a whole one, and a failed write changes nothing.
+    """
     value = F.struct(*rows.columns)
-    rows.groupBy(*key).agg(F.min(value).alias("r")).select("r.*").write.mode("overwrite").parquet(path)
+    folder = f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex}"
+    rows.groupBy(*key).agg(F.min(value).alias("r")).select("r.*").write.parquet(folder)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version of a derived table."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folders = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [s.getPath().getParent().toString() for s in folders.globStatus(hadoop(f"{path}/*/_SUCCESS"))]
+    return spark.read.parquet(max(done))

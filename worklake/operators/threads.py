@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from worklake.config import DAY, ThreadRules
 from worklake.functions.paths import humanize_branch, top_directory
 from worklake.functions.text import agent_name
-from worklake.operators.ordered import materialize
+from worklake.operators.ordered import join_known, materialize
 
 
 def with_repo(sessions: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def with_repo(sessions: DataFrame) -> DataFrame:
         F.col("repo_id").alias("__parent_repo"),
         F.col("started_ms").alias("parent_start"),
     )
-    j = sessions.join(parents, "parent_session_id", "left")
+    j = join_known(sessions, parents, ["parent_session_id"])
     return j.withColumn("repo_id", F.coalesce("repo_id", "__parent_repo")).drop("__parent_repo").where(
         "repo_id is not null"
     )

@@ -19,7 +19,7 @@ def register(q: Registry) -> None:
     def _(d):
         # The same events delivered by log and by hook, read as one batch.
         ev = d.log_events.select("provider", "provider_event_type", "session_id", "event_type", "ts_ms", "call_id")
-        both = L.fingerprints(ev.unionByName(ev.where("ts_ms % 2 = 0"))).dropDuplicates(["fingerprint"])
+        both = L.merge_signals(ev, ev.where("ts_ms % 2 = 0"))
         return both.groupBy("session_id", "event_type").agg(F.count("*").alias("n"))
 
     span = 700 * DAY

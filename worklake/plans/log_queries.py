@@ -78,7 +78,7 @@ def register(q: Registry) -> None:
         ordered = S.transcript_order(timed).select("conv_id", "is_sub", "precedence").distinct()
         # Sub flag and fixed-width time sort as one string.
         key = F.concat(F.col("precedence.sub").cast("int"), F.lpad(F.col("precedence.t").cast("string"), 16, "0"))
-        placed = positions(ordered.withColumn("k", key).withColumn("g", F.lit(0)), ["g"], "k", "p", prefix=14)
+        placed = positions(ordered.withColumn("k", key).withColumn("g", F.lit(0)), ["g"], "k", "p")
         return placed.select("conv_id", "is_sub", (F.col("p") + 1).alias("place"))
 
     @q.add(
@@ -277,8 +277,9 @@ def register(q: Registry) -> None:
             "file", F.lit(0).cast("bigint").alias("ordinal"),
             F.lit('{"timestamp":"1970-01-01T00:00:00Z","type":"session_meta","payload":{"id":"s","forked_from_id":"p","subagent_history_start_ordinal":5}}').alias("value"),
         )
-        lines = B.triage(body.unionByName(header).withColumn("session_from_name", F.lit(None).cast("string")))
-        own = B.own_lines(lines, B.headers(lines))
+        raw = body.unionByName(header).withColumn("session_from_name", F.lit(None).cast("string"))
+        lines = B.triage(raw)
+        own = B.own_lines(lines, B.headers(lines, raw))
         return own.groupBy("file").agg(F.count("*").alias("kept"))
 
     @q.add(
@@ -286,7 +287,8 @@ def register(q: Registry) -> None:
         f"WITH {EVENTS_B} SELECT session_id, '/w/start' AS cwd, 'main' AS git_branch, min(ms) AS head_ms FROM e GROUP BY 1",
     )
     def _(d):
-        return B.headers(B.triage(log_lines.rollouts(d))).select(
+        raw = log_lines.rollouts(d)
+        return B.headers(B.triage(raw), raw).select(
             "session_id", F.col("head_cwd").alias("cwd"), "git_branch", "head_ms"
         )
 

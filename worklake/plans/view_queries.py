@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worklake.bindings import NOW_MS, Domain
@@ -14,6 +18,7 @@ from worklake.operators import sessions as S
 from worklake.operators import sync as Y
 from worklake.operators import threads as T
 from worklake.operators import validate as N
+from worklake.operators.ordered import checkpoint_dir
 from worklake.plans import views as V
 from worklake.plans.match_queries import main_branches
 from worklake.plans.registry import Registry
@@ -342,6 +347,60 @@ def register_detectors(q: Registry) -> None:
             .unionByName(N.violation_counts(stamps, N.instant_rules("at")))
         )
 
+    @q.add(
+        "N20_more_invariants",
+        """SELECT 'event-type' AS rule, CAST(0 AS BIGINT) AS n
+          UNION ALL SELECT 'prompt-not-declared', (SELECT count(*) FROM log_events WHERE event_type = 'prompt.submitted' AND k % 3 > 0)
+          UNION ALL SELECT 'arguments-not-declared', (SELECT count(*) FROM log_events WHERE display IS NOT NULL AND status = 'failure')
+          UNION ALL SELECT 'result-not-declared', (SELECT count(*) FROM log_events WHERE status = 'failure')
+          UNION ALL SELECT 'rel-path-needs-repo', (SELECT count(DISTINCT patch_id) FROM patch_lines WHERE repo_id IS NULL)
+          UNION ALL SELECT 'rel-path-shape', (SELECT count(DISTINCT patch_id) FROM patch_lines WHERE rel_path LIKE 'docs/%')
+          UNION ALL SELECT 'more-added-than-raw', (SELECT count(*) FROM (SELECT patch_id FROM patch_lines WHERE side = 'added' GROUP BY 1 HAVING count(*) > 2))
+          UNION ALL SELECT 'more-removed-than-raw', 0 UNION ALL SELECT 'fingerprint-shape', (SELECT count(DISTINCT patch_id) FROM patch_lines WHERE fp LIKE '%f')
+          UNION ALL SELECT 'last-before-start', 0
+          UNION ALL SELECT 'links-missing', (SELECT count(*) FROM threads WHERE sessions > 1 AND branch IS NULL)
+          UNION ALL SELECT 'foreign-link', (SELECT count(*) FROM threads WHERE status = 'dangling')
+          UNION ALL SELECT 'resolved-by-needs-resolved', (SELECT count(*) FROM loops WHERE state <> 'resolved' AND files > 1)
+          UNION ALL SELECT 'awaiting-is-inferred', (SELECT count(*) FROM loops WHERE lines % 7 = 0 AND lines % 2 = 0)
+          UNION ALL SELECT 'two-sessions', (SELECT count(*) FROM sessions WHERE repo_id IS NULL)
+          UNION ALL SELECT 'window-order', (SELECT count(*) FROM sessions WHERE ended_ms < last_ms - 1 OR ended_ms IS NULL)
+          UNION ALL SELECT 'duplicate-is-inferred', (SELECT count(*) FROM sessions WHERE status = 'failed' AND title IS NOT NULL)""",
+    )
+    def _(d):
+        failed = F.col("status") == "failure"
+        ev = d.log_events.select(
+            "event_type", F.when(F.col("event_type") == "prompt.submitted", "hi").alias("prompt"), (F.col("k") % 3 == 0).alias("prompt_captured"),
+            F.col("display").alias("tool_arguments"), (F.col("status") == "success").alias("arguments_captured"),
+            F.when(failed, "out").alias("tool_result"), F.lit(False).alias("result_captured"),
+        )
+        fps = lambda side: F.collect_list(F.when(F.col("side") == side, F.regexp_replace("fp", "f$", "F")))
+        patches = d.patch_lines.groupBy("patch_id", "repo_id", "rel_path").agg(
+            fps("added").alias("added_fps"), fps("removed").alias("removed_fps")
+        ).select(
+            "repo_id", F.regexp_replace("rel_path", "^docs/", "docs/../").alias("rel_path"), "added_fps", "removed_fps",
+            F.least(F.size("added_fps"), F.lit(2)).alias("added_raw"), F.size("removed_fps").alias("removed_raw"),
+        )
+        threads = d.threads.select(
+            "started_ms", "last_ms", "sessions", F.when(F.col("branch").isNull(), 0).otherwise(F.col("sessions") - 1).alias("links"),
+            (F.col("status") == "dangling").cast("int").alias("foreign_links"),
+        )
+        loops = d.loops.select(
+            "state", F.when((F.col("state") == "resolved") | (F.col("files") > 1), "user").alias("resolved_by"),
+            F.when(F.col("lines") % 7 == 0, "awaiting-user").otherwise(F.col("type")).alias("type"),
+            F.when(F.col("lines") % 2 == 0, "derived").otherwise("inferred").alias("provenance"),
+        )
+        pairs = d.sessions.select(
+            F.col("session_id").alias("session_a"), F.when(F.col("repo_id").isNull(), F.col("session_id")).otherwise("other").alias("session_b"),
+            F.col("last_ms").alias("start_ms"), F.coalesce("ended_ms", F.col("last_ms") - 1).alias("end_ms"),
+            F.when(F.col("status") == "failed", "possible-duplicate").otherwise("overwrite").alias("kind"),
+            F.when(F.col("title").isNull(), "inferred").otherwise("derived").alias("provenance"),
+        )
+        frames = (
+            (ev, N.event_rules()), (patches, N.patch_rules()), (threads, N.thread_rules()), (loops, N.loop_rules()), (pairs, N.collision_rules()),
+        )
+        out = [N.violation_counts(*f) for f in frames]
+        return reduce(DataFrame.unionByName, out)
+
     @q.add(
         "N20_broken_sessions",
         "SELECT session_id, 'more-failures-than-events' AS broken FROM sessions WHERE failure_count > event_count",
@@ -363,6 +422,15 @@ def register_storage(q: Registry) -> None:
         det = d.loops.where("length(loop_key) % 4 > 0").select("loop_key", (F.col("lines") + 1).alias("lines"))
         return Y.sync_loops(stored, det, NOW_MS)
 
+    @q.add("S07_replace_derived", "SELECT loop_key, lines, state FROM loops")
+    def _(d):
+        # The second version is made from the first, with a repeat of every key.
+        path = f"{checkpoint_dir(d.spark)}/loops-{uuid.uuid4().hex}"
+        Y.replace_all(d.loops.select("loop_key", "lines", "state"), ["loop_key"], path)
+        stored = Y.current(d.spark, path)
+        Y.replace_all(stored.unionByName(stored.withColumn("lines", F.col("lines") + 1)), ["loop_key"], path)
+        return Y.current(d.spark, path)
+
     @q.add("S05_sync_loops", sync_sql)
     def _(d):
         return synced(d).drop("synced_ms")
@@ -505,7 +573,7 @@ def register_views(q: Registry) -> None:
 
     @q.add("Q01_sessions_list", page)
     def _(d):
-        rows = V.sessions_list(d.sessions, NOW_MS, from_ms=FROM_MS, to_ms=TO_MS, with_files=True, offset=50)
+        rows = V.sessions_list(d.sessions, NOW_MS, from_ms=FROM_MS, to_ms=TO_MS, with_files=True, limit=100, offset=50)
         return rows.select("session_id", agent_name(F.col("provider")).alias("agent"), "subagents", "tokens")
 
     @q.add(
@@ -612,7 +680,7 @@ def register_views(q: Registry) -> None:
         f"""SELECT t.thread_id, title, last_ms, coalesce(landed, 0) AS landed, coalesce(lost, 0) AS lost FROM (SELECT * FROM threads WHERE status = 'dangling' ORDER BY last_ms DESC, thread_id LIMIT 300) t LEFT JOIN ({mix}) m USING (thread_id)""",
     )
     def _(d):
-        return V.threads_list(d.threads, d.members, d.outcomes, "dangling", 300).select("thread_id", "title", "last_ms", "landed", "lost")
+        return V.threads_list(d.threads, d.members, d.outcomes, 300, "dangling").select("thread_id", "title", "last_ms", "landed", "lost")
 
     @q.add("Q06_open_loops", "SELECT loop_key, lines FROM loops WHERE state = 'open'")
     def _(d):
@@ -659,7 +727,7 @@ def register_views(q: Registry) -> None:
         FROM page LEFT JOIN files f ON f.root = session_id AND f.file_no <= 3""",
     )
     def _(d):
-        rows = V.recent_work(d.sessions, d.patches, d.outcomes, "r8", TO_MS, days=200, files=3)
+        rows = V.recent_work(d.sessions, d.patches, d.outcomes, "r8", TO_MS, days=200, limit=20, files=3)
         return rows.select("session_id", "agent", "last_ms", "files", "file_no", "rel_path", "edits", "class")
 
     @q.add(
@@ -668,7 +736,7 @@ def register_views(q: Registry) -> None:
         SELECT session_id, count(*) AS files FROM fold JOIN files f ON f.root = session_id WHERE fold.root = session_id AND rel_path LIKE 'src/%' GROUP BY 1, last_ms ORDER BY last_ms DESC, session_id DESC LIMIT 20""",
     )
     def _(d):
-        rows = V.recent_work(d.sessions, d.patches, d.outcomes, "r8", TO_MS, path="src", days=900)
+        rows = V.recent_work(d.sessions, d.patches, d.outcomes, "r8", TO_MS, path="src", days=900, limit=20, files=25)
         return rows.select("session_id", "files").distinct()
 
     fields = """fields AS (SELECT thread_id, 'title' AS field, title AS text FROM threads UNION ALL SELECT thread_id, 'title', title FROM sessions JOIN members USING (session_id)
@@ -700,7 +768,7 @@ def register_views(q: Registry) -> None:
         FROM best LEFT JOIN ({mix}) m USING (thread_id)""",
     )
     def _(d):
-        rows = V.prior_attempts(thread_fields(d), d.threads, d.members, d.outcomes, terms)
+        rows = V.prior_attempts(thread_fields(d), d.threads, d.members, d.outcomes, terms, 10)
         return rows.select("thread_id", "matched", "score", "result")
 
     steps = """s AS (SELECT s.*, thread_id FROM sessions s JOIN members USING (session_id)), fold AS (SELECT a.*, CASE WHEN p.session_id IS NOT NULL THEN p.session_id ELSE a.session_id END AS root
@@ -731,7 +799,7 @@ def register_views(q: Registry) -> None:
     )
     def _(d):
         members = d.log_events.select("session_id", F.col("user_key").alias("thread_id")).distinct()
-        return V.resume_failures(members, S.failure_groups(d.log_events, 1)).select("thread_id", "signature", "n", "last_ms", "rn")
+        return V.resume_failures(members, S.failure_groups(d.log_events, 1), 5).select("thread_id", "signature", "n", "last_ms", "rn")
 
     @q.add(
         "Q11_latest_thread",
@@ -774,7 +842,7 @@ def register_views(q: Registry) -> None:
         f"SELECT thread_id, last_ms FROM threads WHERE status IN ('dangling', 'active', 'unknown') AND last_ms >= {DAY_FROM} - 172800000 AND last_ms < {DAY_TO} ORDER BY last_ms DESC, thread_id LIMIT 8",
     )
     def _(d):
-        return V.brief_left_off(d.threads, DAY_FROM, DAY_TO).select("thread_id", "last_ms")
+        return V.brief_left_off(d.threads, DAY_FROM, DAY_TO, 8).select("thread_id", "last_ms")
 
     @q.add(
         "A19_brief_loops",
@@ -788,7 +856,7 @@ def register_views(q: Registry) -> None:
         f"SELECT loop_key, round(lines * greatest(1.0, ({NOW_MS} - since_ms) / 86400000.0), 6) AS severity FROM loops WHERE state = 'open' ORDER BY lines * greatest(1.0, ({NOW_MS} - since_ms) / 86400000.0) DESC, since_ms, loop_key LIMIT 6",
     )
     def _(d):
-        return V.brief_top_loops(d.loops, NOW_MS).select("loop_key", "severity")
+        return V.brief_top_loops(d.loops, NOW_MS, 6).select("loop_key", "severity")
 
     @q.add(
         "A19_brief_landed",
@@ -810,7 +878,7 @@ def register_views(q: Registry) -> None:
             F.lit("overwrite").alias("kind"), "repo_id", F.lit("x").alias("rel_path"), F.lit("s").alias("session_b"),
             F.col("since_ms").alias("end_ms"),
         )
-        return V.brief_attention(d.sessions, none, D.broken_sessions(d.sessions), DAY_FROM, DAY_TO).select("kind", "message", "session_id")
+        return V.brief_attention(d.sessions, none, D.broken_sessions(d.sessions), DAY_FROM, DAY_TO, 12).select("kind", "message", "session_id")
 
     @q.add(
         "A18_Q15_report_sessions",
@@ -832,7 +900,7 @@ def register_views(q: Registry) -> None:
 
     @q.add("A18_report_areas", f"SELECT {category} AS name, count(*) AS files FROM outcomes WHERE {in_period} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
     def _(d):
-        return V.report_areas(d.sessions, d.outcomes, FROM_MS, TO_MS)
+        return V.report_areas(d.sessions, d.outcomes, FROM_MS, TO_MS, 5)
 
     @q.add(
         "A18_report_loops",
@@ -868,4 +936,6 @@ def register_views(q: Registry) -> None:
         """SELECT loop_key, '{"loop_key":' || to_json(loop_key) || ',"lines":' || lines || ',"state":"' || state || '"}' AS value FROM loops""",
     )
     def _(d):
-        return d.loops.select("loop_key", F.to_json(F.struct("loop_key", "lines", "state")).alias("value"))
+        path = f"{checkpoint_dir(d.spark)}/export-{uuid.uuid4().hex}"
+        V.export_json(d.loops.select("loop_key", "lines", "state"), path)
+        return d.spark.read.text(path).select(F.get_json_object("value", "$.loop_key").alias("loop_key"), "value")

@@ -60,7 +60,7 @@ def list_tokens() -> Column:
 
 def sessions_list(
     sessions: DataFrame, now_ms: int, *, from_ms=None, to_ms=None, provider=None, repo_id=None,
-    status=None, subagents=False, with_files=False, limit=100, offset=0,
+    status=None, subagents=False, with_files=False, limit: int, offset=0,
 ) -> DataFrame:
     rows = active_between(sessions, from_ms, to_ms)
     for col, value in (("provider", provider), ("repo_id", repo_id), ("status", status)):
@@ -231,7 +231,7 @@ def thread_mix(threads: DataFrame, members: DataFrame, outcomes: DataFrame) -> D
     return threads.join(mix, "thread_id", "left").fillna(0, KNOWN)
 
 
-def threads_list(threads: DataFrame, members: DataFrame, outcomes: DataFrame, status=None, limit=500) -> DataFrame:
+def threads_list(threads: DataFrame, members: DataFrame, outcomes: DataFrame, limit: int, status=None) -> DataFrame:
     rows = threads if status is None else threads.where(F.col("status") == status)
     page = rows.orderBy(F.desc("last_ms"), "thread_id").limit(limit)
     return thread_mix(page, members, outcomes)
@@ -269,7 +269,7 @@ def insights_list(insights: DataFrame, session_id=None, include_dismissed=False)
 
 def recent_work(
     sessions: DataFrame, patches: DataFrame, outcomes: DataFrame, repo_id: str, now_ms: int, *,
-    path: str | None = None, days: int = 7, limit: int = 20, files: int = 25,
+    path: str | None = None, days: int = 7, limit: int, files: int,
 ) -> DataFrame:
     """Latest sessions of a repository (sub-agents folded in), one row per shown file."""
     active = active_between(sessions.where(F.col("repo_id") == repo_id), now_ms - days * DAY)
@@ -338,7 +338,7 @@ def active_conflicts(
 
 def prior_attempts(
     fields: DataFrame, threads: DataFrame, members: DataFrame, outcomes: DataFrame, terms: list[str],
-    limit: int = 10,
+    limit: int,
 ) -> DataFrame:
     """Best matching threads with their outcome mix and verdict."""
     found = search_threads(fields, terms).join(
@@ -407,7 +407,7 @@ def resume_files(members: DataFrame, sessions: DataFrame, patches: DataFrame, ou
     ).select("thread_id", "rel_path", "f.*")
 
 
-def resume_failures(members: DataFrame, groups: DataFrame, n: int = 5) -> DataFrame:
+def resume_failures(members: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     rows = groups.join(members.select("session_id", "thread_id"), "session_id")
     return top_n(rows, ["thread_id"], [F.desc("last_ms"), F.asc("signature"), F.asc("session_id")], n)
 
@@ -453,7 +453,7 @@ def brief_mix(sessions: DataFrame, outcomes: DataFrame, from_ms: int, to_ms: int
     return rows.groupBy("class").agg(F.count("*").alias("n"))
 
 
-def brief_left_off(threads: DataFrame, from_ms: int, to_ms: int, n: int = 8) -> DataFrame:
+def brief_left_off(threads: DataFrame, from_ms: int, to_ms: int, n: int) -> DataFrame:
     rows = threads.where(F.col("status").isin("dangling", "active", "unknown")).where(
         _within("last_ms", from_ms - 2 * DAY, to_ms)
     )
@@ -469,7 +469,7 @@ def brief_loops(loops: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     )
 
 
-def brief_top_loops(loops: DataFrame, to_ms: int, n: int = 6) -> DataFrame:
+def brief_top_loops(loops: DataFrame, to_ms: int, n: int) -> DataFrame:
     age = F.greatest(F.lit(1.0), (F.lit(to_ms) - F.col("since_ms")) / DAY)
     rows = loops.where("state = 'open'").withColumn("severity", F.coalesce("lines", F.lit(0)) * age)
     return rows.orderBy(F.desc("severity"), "since_ms", "loop_key").limit(n)
@@ -485,7 +485,7 @@ def brief_landed(outcomes: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
 
 
 def brief_attention(
-    sessions: DataFrame, collisions: DataFrame, insights: DataFrame, from_ms: int, to_ms: int, n: int = 12
+    sessions: DataFrame, collisions: DataFrame, insights: DataFrame, from_ms: int, to_ms: int, n: int
 ) -> DataFrame:
     """What needs a look: broken and waiting sessions, then collisions, then warnings."""
     a = active_between(sessions, from_ms, to_ms).where(F.col("last_ms") >= from_ms)
@@ -542,7 +542,7 @@ def report_outcomes(sessions: DataFrame, outcomes: DataFrame, from_ms: int, to_m
 
 
 def report_areas(
-    sessions: DataFrame, outcomes: DataFrame, from_ms: int, to_ms: int, n: int = 5, area: Column | None = None
+    sessions: DataFrame, outcomes: DataFrame, from_ms: int, to_ms: int, n: int, area: Column | None = None
 ) -> DataFrame:
     s = sessions.where(_within("started_ms", from_ms, to_ms)).select("session_id")
     rows = outcomes.where("class <> 'unknown'").join(s, "session_id", "left_semi")

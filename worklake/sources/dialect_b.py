@@ -11,7 +11,7 @@ from worklake.functions.text import fingerprint_diff, nfc, split_lines
 from worklake.operators.usage import counter_deltas
 from worklake.sources import variants as V
 from worklake.sources.dialect_a import Logs
-from worklake.sources.files import sticky
+from worklake.sources.files import first_lines, sticky
 
 PROVIDER = "codex"
 # Line, message and item types without use; the line head layout of the dialect.
@@ -62,13 +62,16 @@ def triage(lines: DataFrame) -> DataFrame:
     )
 
 
-def headers(triaged: DataFrame) -> DataFrame:
-    """The session header of each file: only its very first line counts."""
+def headers(triaged: DataFrame, lines: DataFrame) -> DataFrame:
+    """The session header of each file: only the very first of its `lines` counts.
+
+    Few lines are headers; they meet one small row per file.
+    """
     doc = F.col("doc")
     p = lambda path: V.text(doc, f"$.payload.{path}")
     start = V.count(doc, "$.payload.subagent_history_start_ordinal")
     own_ms = F.coalesce(V.instant_ms(p("timestamp")), F.col("ts_ms"))
-    return triaged.where("disposition = 'header' and ordinal = 0").select(
+    return triaged.where("disposition = 'header'").join(first_lines(lines), ["file", "ordinal"]).select(
         "file",
         F.coalesce(F.col("session_from_name"), p("id")).alias("session_id"),
         F.coalesce(p("parent_thread_id"), p("source.subagent.thread_spawn.parent_thread_id")).alias(
@@ -408,7 +411,7 @@ def thread_names(lines: DataFrame) -> DataFrame:
 def read(lines: DataFrame, key: bytes) -> Logs:
     """`lines` carry file, ordinal, value and session_from_name (null when the name has none)."""
     triaged = triage(lines)
-    heads = headers(triaged)
+    heads = headers(triaged, lines)
     own = with_context(own_lines(triaged, heads))
     completed = own.where(
         (F.col("disposition") == "known")

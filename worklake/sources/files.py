@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worklake.operators.ordered import fill_last
+from worklake.operators.ordered import ROW_BITS, fill_last
 
 SESSION_ID_IN_NAME = (
     r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\.jsonl$"
 )
 
 
+def line_place(block: str, block_length: str) -> Column:
+    """A line's place in its file as one long: number of its block, then row number in the task.
+
+    Lines of a block are read by one task in order, so places rise along the file, with gaps. All
+    blocks of a file but the last have one length; dividing by a shorter last one only gives a larger
+    number. Works in batches and in micro-batches, on lines as they are scanned.
+    """
+    length = F.greatest(F.col(block_length), F.lit(1))
+    number = F.least(F.floor(F.col(block) / length), F.lit((1 << (62 - ROW_BITS)) - 1))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return F.shiftleft(number, ROW_BITS).bitwiseOR(row)
+
+
 def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """All lines under a folder: file, file_time, line number and text.
+    """All lines under a folder: file, file_time, ordinal and text. One scan, no shuffle.
 
-    Text files split at block borders, so line numbers come from the byte offsets Spark exposes per
-    block and the row order inside it: (block start, row) is the order, made dense per file.
+    The ordinal orders the lines of a file (`line_place`); `line_numbers` makes it a line number for
+    the rows that need one.
     """
-    raw = (
+    return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .text(root)
@@ -26,21 +39,34 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_modification_time").alias("file_time"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
+            F.col("_metadata.file_block_length").alias("block_length"),
             "value",
         )
+        .select("file", "file_time", line_place("block", "block_length").alias("ordinal"), "value")
     )
-    # Rows of one block stay in one partition in order; the smallest row id of a block is its base.
-    base = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shift = base.select(
-        "file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")
+
+
+def line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds line_no (from 0) to rows that carry file and ordinal, from counts per file and block."""
+    block = F.shiftright("ordinal", ROW_BITS)
+    base = lines.groupBy("file", block.alias("__block")).agg(
+        F.min("ordinal").alias("__first"), F.count("*").alias("__n")
     )
-    return raw.join(shift, ["file", "block"]).select(
-        "file", "file_time", (F.col("row") - F.col("first") + F.col("skip")).alias("ordinal"), "value"
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = base.select("file", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__skip"))
+    return (
+        rows.withColumn("__block", block)
+        .join(shift, ["file", "__block"])
+        .withColumn("line_no", F.col("ordinal") - F.col("__first") + F.col("__skip"))
+        .drop("__block", "__first", "__skip")
     )
 
 
+def first_lines(lines: DataFrame) -> DataFrame:
+    """file and the ordinal of its first line, reduced where the lines are read."""
+    return lines.groupBy("file").agg(F.min("ordinal").alias("ordinal"))
+
+
 def transcript_order(lines: DataFrame) -> DataFrame:
     """Dialect A precedence: main files before sub-agent files, each oldest first.
 

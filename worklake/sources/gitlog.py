@@ -72,17 +72,20 @@ def added_lines(commits: DataFrame, touched: DataFrame, key: bytes) -> DataFrame
     )
 
 
-def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Files under a folder as text: binary ones (NUL byte) are left out."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-    )
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select(F.col("path").alias("file"), text.alias("content")).where(
-        F.instr("content", "\0") == 0
-    )
+    return files.select(F.col("path").alias("file"), text.alias("content"))
+
+
+def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """Files under a folder as text, whole. Binary ones (NUL byte) are in `skipped_snapshots`."""
+    return _files(spark, root).where(F.instr("content", "\0") == 0)
+
+
+def skipped_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """Files that `read_snapshots` leaves out, with the reason."""
+    return _files(spark, root).where(F.instr("content", "\0") > 0).select("file", F.lit("binary").alias("reason"))
 
 
 def snapshot_lines(snapshots: DataFrame, key: bytes) -> DataFrame:

@@ -6,18 +6,20 @@ watermarks only bound the state of the two window queries.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from worklake.config import HOUR, LoopRules
+from worklake.config import DAY, HOUR, LoopRules
 from worklake.functions.text import content_hash
 from worklake.operators.collisions import detect_collisions
 from worklake.operators.ingest import insert_new
-from worklake.operators.ordered import activity_runs
+from worklake.operators.ordered import spread_runs
 from worklake.operators.sessions import session_status
+from worklake.sources.files import line_place
 
 NOTICE = ["kind", "notice_key", "session_id", "rel_path", "message"]
 
@@ -49,9 +51,11 @@ def fingerprints(events: DataFrame) -> DataFrame:
 
 
 def merge_signals(log_events: DataFrame, hook_events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Log and hook events as one stream, each fingerprint once within the watermark."""
+    """Log and hook events as one, each fingerprint once; within the watermark if they are streams."""
     common = [c for c in log_events.columns if c in hook_events.columns]
     both = log_events.select(*common).unionByName(hook_events.select(*common))
+    if not both.isStreaming:
+        return fingerprints(both).dropDuplicates(["fingerprint"])
     return (
         fingerprints(both)
         .withColumn("ts", F.timestamp_millis("ts_ms"))
@@ -103,20 +107,21 @@ def new_notices(candidates: DataFrame, raised: DataFrame) -> DataFrame:
     )
 
 
-def raise_notices(candidates: DataFrame, raised_path: str, silent: bool = False) -> DataFrame:
-    """Appends new notices to the raised table; `silent` marks history as known at start.
+def raise_notices(candidates: DataFrame, raised_path: str, silent: bool = False, run: str | None = None) -> DataFrame:
+    """Adds new notices to the raised table; `silent` marks history as known at start.
 
-    Returns what was raised, read back from the table, so a retry cannot raise it twice.
+    A run owns one folder of the table. A retry under the same `run` (a micro-batch passes its id)
+    compares with the other runs only and writes its folder anew, so it returns what the first try
+    raised, even where that failed between the write and the notification.
     """
     spark = candidates.sparkSession
+    run = run or uuid.uuid4().hex
     schema = "kind string, notice_key string, session_id string, rel_path string, message string, silent boolean, run string"
     raised = spark.read.schema(schema).parquet(raised_path) if _exists(spark, raised_path) else spark.createDataFrame([], schema)
-    run = str(spark.range(1).select(F.expr("uuid()")).first()[0])
-    fresh = new_notices(candidates, raised).select(
-        "kind", "notice_key", "session_id", "rel_path", "message",
-        F.lit(silent).alias("silent"), F.lit(run).alias("run"),
+    fresh = new_notices(candidates, raised.where(F.col("run") != run)).select(
+        "kind", "notice_key", "session_id", "rel_path", "message", F.lit(silent).alias("silent")
     )
-    fresh.write.mode("append").parquet(raised_path)
+    fresh.write.mode("overwrite").parquet(f"{raised_path}/run={run}")
     return spark.read.schema(schema).parquet(raised_path).where(F.col("run") == run)
 
 
@@ -126,14 +131,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_new_events(batch: DataFrame, table: str) -> None:
-    """Keyed idempotent append of one micro-batch."""
+    """Keyed idempotent append of one micro-batch to a table in folders per day.
+
+    A fingerprint covers the time, so equal events share their day: only the days between the batch's
+    first and last are compared.
+    """
     spark = batch.sparkSession
-    rows = fingerprints(batch).withColumn("event_id", F.col("fingerprint"))
+    rows = fingerprints(batch).select(
+        "*", F.col("fingerprint").alias("event_id"), F.floor(F.col("ts_ms") / DAY).cast("int").alias("day")
+    )
+    stored = rows.where("false")
     if _exists(spark, table):
-        rows = insert_new(rows, spark.read.parquet(table), ["fingerprint"], ["file", "ordinal", "seq"])
-    else:
-        rows = insert_new(rows, rows.where("false"), ["fingerprint"], ["file", "ordinal", "seq"])
-    rows.write.mode("append").parquet(table)
+        first, last = rows.agg(F.min("day"), F.max("day")).first()
+        days = F.lit(False) if first is None else F.col("day").between(first, last)
+        stored = spark.read.parquet(table).where(days | F.col("day").isNull())
+    fresh = insert_new(rows, stored, ["fingerprint"], ["file", "ordinal", "seq"])
+    fresh.write.mode("append").partitionBy("day").parquet(table)
 
 
 def import_stream(
@@ -154,11 +167,15 @@ def import_stream(
         spark.readStream.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.jsonl")
         .text(root)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
+        .select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_block_length").alias("block_length"), "value",
+        )
     )
 
     def load(batch: DataFrame, _: int) -> None:
-        events = normalize(batch.withColumn("ordinal", F.monotonically_increasing_id())).persist()
+        lines = batch.select("file", line_place("block", "block_length").alias("ordinal"), "value")
+        events = normalize(lines).persist()
         append_new_events(events, table)
         if after is not None:
             after(events.select("session_id").distinct())
@@ -182,17 +199,14 @@ def refresh_status(events: DataFrame, touched: DataFrame) -> DataFrame:
 def activity_windows(events: DataFrame, keys: list[str], gap_ms: int, late: str = "10 minutes") -> DataFrame:
     """Stretches of activity per key that end after a gap without events; batch or stream.
 
-    With a 10-minute gap per session this is the running-session tracker; with two minutes and one
-    key for all, the end of a stretch is the signal to derive everything again. A stream keeps its
-    open stretches as state; a batch reduces events to slots first, so that a key with most of the
-    rows never sits in one task.
+    With a 10-minute gap per session this is the running-session tracker; with two minutes, the end of
+    a stretch is the signal to derive again what the key covers. A stream keeps the open stretches of a
+    key in one task, so give it keys that spread, such as the repository; a batch may use any key, as
+    no task there holds more than a bounded piece of it.
     """
     if not events.isStreaming:
-        runs = activity_runs(events, keys, ["ts_ms"], gap_ms - 1)
-        return runs.select(
-            *keys, F.col("first.ts_ms").alias("start_ms"),
-            (F.col("last.ts_ms") + gap_ms).alias("end_ms"), "events",
-        )
+        runs = spread_runs(events, keys, "ts_ms", gap_ms - 1)
+        return runs.select(*keys, F.col("first").alias("start_ms"), (F.col("last") + gap_ms).alias("end_ms"), "events")
     timed = events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", late)
     window = F.session_window("ts", f"{gap_ms} milliseconds")
     return timed.groupBy(*keys, window.alias("w")).agg(F.count("*").alias("events")).select(
