@@ -189,7 +189,7 @@ def test_git_log_and_snapshots(spark, tmp_path):
     assert [r["file"].rsplit("/", 1)[1] for r in snaps.collect()] == ["big", "a.txt"]
     assert [(r["file"].rsplit("/", 1)[1], r["reason"]) for r in G.skipped_snapshots(spark, str(tree)).collect()] == [("bin", "binary")]
     named = snaps.select(F.lit("r").alias("repo_id"), F.lit("a.txt").alias("rel_path"), F.lit("head").alias("kind"), "content")
-    assert G.snapshot_lines(named, KEY).count() == 1
+    assert G.snapshot_lines(named, KEY).count() == 2
 
 
 def test_hooks(spark):
