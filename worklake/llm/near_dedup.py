@@ -51,7 +51,7 @@ SKETCH = "d long, x long, n_shingles long, sid binary, registers binary"
 def shingles(batch: pa.RecordBatch):
     """Row number and sorted distinct shingle hashes of each row."""
     raw, at = hashing.utf8(batch.column("text"))
-    for first, last in hashing.row_blocks(at, 4 * hashing.BLOCK):
+    for first, last in hashing.row_blocks(at):
         part, begin = hashing.LOWER[raw[at[first] : at[last]]], at[first : last + 1] - at[first]
         starts, ends, before = hashing.word_spans(part, begin)
         h = hashing.spans_hash(part, starts, ends)
