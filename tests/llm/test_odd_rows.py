@@ -124,6 +124,17 @@ def test_pages(spark):
     ], key=lambda r: (r[0], r[1]))
 
 
+def test_pages_with_long_urls(spark):
+    urls = {1: "http://x/" + "a" * 100_000, 2: "http://x/" + "\u65e5" * 100_000, 3: "data:text/html," + "a%20" * 25_000, 4: "http://x/4"}
+    pages = spark.createDataFrame([(k, u, "same" if k != 3 else "other") for k, u in urls.items()], "page_id long, url string, html string")
+    out = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.report(pages).collect())
+    assert out == [(1, 4, "revisit", 4), (2, 4, "revisit", 4), (3, 5, "response", None), (4, 4, "response", None)]
+    one = warc.record(1, urls[1], b"x")
+    for bad in (one[:-100], one[:60_000], b"WARC/1.1\r\nno colon\r\n\r\n", b"WARC/1.1\r\n", b"WARC/1.1"):
+        with pytest.raises(warc.Damaged):
+            warc.parse(bad)
+
+
 def test_pairs(spark):
     rows = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 1, "assistant", "no"), (1, 0, "user", "hi"), (2, None, None, None),

@@ -100,22 +100,22 @@ def member(data: bytes) -> bytes:
 
 def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at `at` and where it ends; Damaged if a check fails."""
-    if not data.startswith(b"WARC/1.", at):
+    if not data.startswith(b"WARC/1.", at) or (stop := data.find(b"\r\n", at)) < 0:
         raise Damaged("no version line")
-    split = data.find(b"\r\n\r\n", at, at + CHUNK)
-    if split < 0:
-        raise Damaged("no end of header")
-    head = {}
-    for line in data[at:split].split(b"\r\n")[1:]:
-        key, colon, value = line.partition(b":")
+    head, pos = {}, stop + 2
+    while (stop := data.find(b"\r\n", pos)) != pos:  # lines of any length and number, up to an empty one
+        if stop < 0:
+            raise Damaged("no end of header")
+        key, colon, value = data[pos:stop].partition(b":")
         if not colon:
             raise Damaged("header line")
         head[key.strip().lower().decode("latin-1")] = value.strip().decode("latin-1")
+        pos = stop + 2
     try:
         size = int(head["content-length"])
     except (KeyError, ValueError):
         raise Damaged("no length") from None
-    block, end = data[split + 4 : split + 4 + size], split + 4 + size
+    block, end = data[pos + 2 : pos + 2 + size], pos + 2 + size
     if size < 0 or len(block) < size or data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("length does not fit")
     told = head.get("warc-block-digest", "")
