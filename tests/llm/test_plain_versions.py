@@ -52,6 +52,29 @@ def test_personal_data(docs):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == n for _, k, _ in base) for n in range(4))
 
 
+def test_secrets_are_covered_to_their_last_character(docs):
+    model, rnd, plain = pii.fit(docs), random.Random(6), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (201, 300, 800, 2000, 5000):
+        for signs in (plain, plain + "-_.", plain + "-_.!#$%&*+/:;<=>?@^~(){}[]"):
+            secret = "".join(rnd.choice(signs) for _ in range(n))
+            text = f"set api_key = {secret} and go on"
+            held = {k for a, _, b in pii.spans(text, model)[1] for k in range(a, b)}
+            assert set(range(14, 14 + n)) <= held <= set(range(4, 14 + n))
+            told = pii.redact(text, pii.spans(text, model)[1])
+            assert told.endswith("> and go on") and len(told) < 60
+
+
+def test_disguised_addresses_are_whole():
+    for address in (
+        "a (at) mail.example.com", "a.b[at]x.example.co.uk", "a (at) mail [dot] example [dot] com", "a(at)mail(dot)1x(dot)com", "a (at) e.x.org",
+        "a (at) mail . example . com", "a (at) x. com", "a (at) x.museum1.c0m", f"a (at) {'x' * 63}.{'y' * 63}.example",
+    ):
+        for text in (address, f"to {address}. Then we", f"({address}), and"):
+            start = text.index(address)
+            assert (start, 6, start + len(address)) in pii.candidates(text), text
+    assert not pii.DISGUISED.search("at 5 (at) 10.5 or so")
+
+
 def test_trees_learn_and_leave_ordinary_words():
     rnd = random.Random(2)
     hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))

@@ -47,11 +47,14 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _WORDS = r"(?:password|passwd|passwort|pwd|token|secret|api[_-]?key|access[_-]?key|auth|bearer)"
-ASSIGNED = re.compile(rf"(?i)(?<![a-z0-9]){_WORDS}\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"']{{6,200}})")
+ASSIGNED = re.compile(rf"(?i)(?<![a-z0-9]){_WORDS}\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"']{{6,}}+)")
 DENSE = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{12,}+")
 GROUPS = re.compile(r"(?<![0-9A-Za-z.,])[+(]?[0-9][0-9 ().-]{5,30}[0-9](?![0-9A-Za-z])")
+# Between labels; a dot with one space beside it may end a sentence, so it counts after the first label only.
+_DOT = r"(?:\.|\s\.\s|\s?(?:\[dot\]|\(dot\))\s?)"
 DISGUISED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\))\s?[A-Za-z0-9-]{1,63}\s?(?:\[dot\]|\(dot\)|\.)\s?[A-Za-z]{2,24}"
+    rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}\s?(?:\[at\]|\(at\))\s?{_DOMAIN}++"
+    rf"(?:(?:{_DOT}{_DOMAIN}++)*{_DOT}|\s?\.\s?)[A-Za-z]{{2}}{_DOMAIN}*+(?:{_DOT}{_DOMAIN}++)*+"
 )
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 ORDINARY = re.compile(r"[^\W\d_]{4,}")
@@ -270,21 +273,24 @@ _LABELLED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("kind", p
 
 
 def spans(text: str, model: Trees) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: those and the accepted candidates, the likeliest of overlapping ones."""
+    """Base spans, and all spans: those and the accepted candidates, without those that lie within longer ones.
+
+    Spans may overlap: what an accepted candidate holds is covered to its last character.
+    """
     if not _HINT.search(text):
         return [], []
     base = base_spans(text)
     held = bytearray(len(text))
     for start, _, end in base:
         held[start:end] = b"\1" * (end - start)
-    free = [c for c in candidates(text) if 1 not in held[c[0] : c[2]]]
+    free = [c for c in candidates(text) if 0 in held[c[0] : c[2]]]
     if not free:
         return base, base
     chance = model.chance(np.array([features(text, *c) for c in free], float))
     taken: list[tuple[int, int, int]] = []
-    for k in sorted(range(len(free)), key=lambda k: (-chance[k], free[k][0] - free[k][2], free[k])):
+    for k in sorted(range(len(free)), key=lambda k: (free[k][0] - free[k][2], -chance[k], free[k])):
         c = free[k]
-        if chance[k] >= PRECISION and 1 not in held[c[0] : c[2]]:
+        if chance[k] >= PRECISION and 0 in held[c[0] : c[2]]:
             held[c[0] : c[2]] = b"\1" * (c[2] - c[0])
             taken.append(c)
     return base, sorted(base + taken)
