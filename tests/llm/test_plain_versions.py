@@ -1,6 +1,7 @@
 """Operators and the pipeline against plain versions in Python."""
 
 import hashlib
+import heapq
 import random
 import re
 import zlib
@@ -141,6 +142,37 @@ def test_patterns_hold_every_length():
         assert used == histogram
 
 
+def test_patterns_pack_piece_by_piece():
+    """As many packs, as full, as when each piece goes to the least filled pack with room, else into a new one."""
+    rnd = random.Random(8)
+    odd = [{100: 2000}, {700: 400, 300: 800}, {2048: 3, 1: 5000}, {1025: 50, 1024: 51, 1023: 49}, {37: 9000, 1500: 3, 900: 40}]
+    for histogram in odd + [{rnd.randint(1, 2048): rnd.randint(1, 60) for _ in range(rnd.randint(1, 30))} for _ in range(20)]:
+        packs = []
+        for length in sorted(histogram, reverse=True):
+            for _ in range(histogram[length]):
+                if packs and packs[0] + length <= 2048:
+                    heapq.heapreplace(packs, packs[0] + length)
+                else:
+                    heapq.heappush(packs, length)
+        got = packing.patterns(histogram)
+        assert Counter(packs) == Counter([sum(lengths) for lengths, n in got for _ in range(n)]), histogram
+    for histogram, least in (({100: 100_000}, 0.97), ({700: 10_000, 300: 20_000}, 0.95), ({300: 50_000} | {k: 20 for k in range(1, 2049)}, 0.97)):
+        ids, n = sum(k * v for k, v in histogram.items()), sum(n for _, n in packing.patterns(histogram))
+        assert ids >= least * n * packing.SIZE, histogram
+
+
+def test_hot_length_is_packed_densely(spark):
+    rows = [(k, 0, 300 if k % 3 else 700, k, 1) for k in range(3000)]
+    pieces = packing.materialize(spark.createDataFrame(rows, packing.PIECES))
+    by_sequence = defaultdict(list)
+    for p in packing.pack(pieces).collect():
+        by_sequence[p.sequence_id].append((p.offset, p.length))
+    assert sorted(by_sequence) == list(range(len(by_sequence))) and len(by_sequence) < 700
+    for ps in by_sequence.values():
+        ends = [0, *(a + n for a, n in sorted(ps))]
+        assert [a for a, _ in sorted(ps)] == ends[:-1] and ends[-1] <= packing.SIZE
+
+
 def test_whole_sequences(docs):
     packed = packing.pack(packing.materialize(packing.cut(docs, tokens.vocabulary("word_bpe_49k.json"), with_ids=True)))
     for r in packing.sequences(packed).collect():

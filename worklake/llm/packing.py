@@ -2,7 +2,7 @@
 
 Documents are tokenized and cut into pieces of at most SIZE ids. The counts per length (at most SIZE
 numbers) go to the driver, where lengths are placed longest first: always into the pack pattern with
-the least in it, while it has room, else into new packs. Patterns carry counts, so the work follows
+the least in it, while it has room, else into a new pack. Patterns carry counts, so the work follows
 the number of lengths, not of documents. The patterns' places form a table per length; a piece finds
 its own by its rank among the pieces of its length. Ranks come from counts per (length, salt), so a
 length that a third of the pieces share is no single task.
@@ -71,7 +71,11 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[in
         left = histogram[length]
         while left:
             if not levels or levels[0] + length > size:
-                put(length, (length,), left)
+                each = size // length  # a new pack is the least filled one while it has room
+                if left >= each:
+                    put(each * length, (length,) * each, left // each)
+                if left % each:
+                    put(left % each * length, (length,) * (left % each), 1)
                 break
             level = levels[0]
             pack = filled[level][-1]
