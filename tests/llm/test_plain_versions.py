@@ -225,6 +225,45 @@ def test_salvage(spark, tmp_path):
     assert gzip.decompress(squeezed[0]) == recs[0] and squeezed[0][-1] == 0
 
 
+def test_salvage_within_members():
+    rnd = random.Random(11)
+    load = [bytes(rnd.randrange(256) for _ in range(3000)) + b"%d" % k for k in range(60)]
+    recs = [warc.record(k, f"http://a/{k}", v) for k, v in enumerate(load)]
+    starts = [sum(map(len, recs[:k])) for k in range(61)]
+
+    def pages(data):
+        rows = list(warc.salvage(data))
+        good = [(at, inner, int(one["warc-record-id"].split(":")[2])) for at, _, inner, one in rows if isinstance(one, dict)]
+        return good, [(at, inner, one) for at, _, inner, one in rows if isinstance(one, str)]
+
+    whole = warc.member(b"".join(recs))
+    good, gaps = pages(whole)
+    assert good == [(0, starts[k], k) for k in range(60)] and not gaps
+    bad = [r.replace(load[k][:9], b"different", 1) if k in (3, 30) else r for k, r in enumerate(recs)]
+    lone = warc.member(recs[7])
+    good, gaps = pages(warc.member(b"".join(bad)) + lone)  # sound gzip, two bad records
+    size = len(warc.member(b"".join(bad)))
+    assert good == [(0, starts[k], k) for k in range(60) if k not in (3, 30)] + [(size, 0, 7)]
+    assert gaps == [(0, starts[3], "block digest"), (0, starts[30], "block digest")]
+    cut = whole[: len(whole) * 2 // 3]  # the stream ends early, another member follows or not
+    for tail in (b"", lone):
+        good, gaps = pages(cut + tail)
+        assert [k for at, _, k in good if at == 0] == list(range(len(good) - bool(tail))) and 35 < len(good) < 42
+        assert len(gaps) == 1 and gaps[0][0] == 0 and gaps[0][2].startswith("gzip") and (not tail or good[-1] == (len(cut), 0, 7))
+    for level in (0, 6):  # a flipped byte; level 0 stores records as they are
+        squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
+        hit = bytearray(squeeze.compress(b"".join(recs)) + squeeze.flush())
+        hit[len(hit) // 2] ^= 0xFF
+        good, gaps = pages(bytes(hit) + lone)
+        found = [k for at, _, k in good[:-1]]
+        assert found[:28] == list(range(28)) and len(set(found)) == len(found) and good[-1] == (len(hit), 0, 7)
+        assert any(problem.startswith("gzip") for _, _, problem in gaps)
+    hit = bytearray(whole)
+    hit[-6] ^= 1  # only the checksum: every record is proven by its digest
+    assert [k for _, _, k in pages(bytes(hit))[0]] == list(range(60))
+    assert len(pages(bytes(hit))[1]) == 1
+
+
 def labels_plainly(sets):
     parent = {i: i for i in sets}
 

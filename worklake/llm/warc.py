@@ -8,6 +8,8 @@ separator.
 The reader checks every member (gzip checksum) and record (version line, length, block digest).
 After a failed check it looks for the next place where a member or a version line begins that can be
 read, goes on from there, and logs the bytes between as a gap. Archives may be compressed or plain.
+A member may hold several records; the same is done with its unpacked bytes, also with those before an
+error. Such rows share `offset` and `length` and differ in `inner`, the place in the unpacked bytes.
 
 Null html is an empty payload, a null url leaves the record without target. Pages are written row by
 row, repeated ids too. Among rows with equal payloads (of at least `least` bytes) those with the
@@ -18,6 +20,7 @@ no records.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import urllib.parse
@@ -36,17 +39,19 @@ DATE = "2024-01-01T00:00:00Z"
 #: Records in an archive; a page's html must fit in a worker's memory anyway.
 PER_ARCHIVE = 2_000
 CHUNK = 1 << 16
+CUT_OFF = "gzip: cut off"
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 READ = (
     "file string, offset long, length long, kind string, problem string, page_id long, record_type string,"
-    " payload_digest string, payload_bytes long, refers_to long, payload binary"
+    " payload_digest string, payload_bytes long, refers_to long, payload binary, inner long"
 )
 _FIELDS = pa.schema(
     [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("problem", pa.string()),
      ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
-     ("refers_to", pa.int64()), ("payload", pa.binary())]
+     ("refers_to", pa.int64()), ("payload", pa.binary()), ("inner", pa.int64())]
 )
 
 
@@ -98,8 +103,8 @@ def member(data: bytes) -> bytes:
     return out if out[-1] == 0 else out + member(b"")
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record at `at` and where it ends; Damaged if a check fails."""
+def parse(data: bytes, at: int = 0, proven: bool = False) -> tuple[dict, int]:
+    """The record at `at` and where it ends; Damaged if a check fails, or if `proven` and no digest is told."""
     if not data.startswith(b"WARC/1.", at) or (stop := data.find(b"\r\n", at)) < 0:
         raise Damaged("no version line")
     head, pos = {}, stop + 2
@@ -119,13 +124,13 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     if size < 0 or len(block) < size or data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("length does not fit")
     told = head.get("warc-block-digest", "")
-    if told.startswith("sha1:") and told[5:] != digest32(block):
+    if (proven or told.startswith("sha1:")) and told.removeprefix("sha1:") != digest32(block):
         raise Damaged("block digest")
     return head | {"block": block}, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member at `at`, unpacked, and where it ends."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at `at` unpacks to, where it ends, and the error that ended it before."""
     tool, out, pos = zlib.decompressobj(31), [], at
     try:
         while not tool.eof and pos < len(data):
@@ -133,44 +138,85 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
             out.append(tool.decompress(part))
             pos += len(part)
     except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
+        tool = zlib.decompressobj(31)  # again, as the failed call gave nothing of what it unpacked
+        for k in range(at, pos, CHUNK):
+            tool.decompress(data[k : k + CHUNK])
+        with contextlib.suppress(zlib.error):
+            for pos in range(pos, len(data)):
+                out.append(tool.decompress(data[pos : pos + 1]))
+        return b"".join(out), pos, f"gzip: {e}"
     if not tool.eof:
-        raise Damaged("gzip: cut off")
-    return b"".join(out), pos - len(tool.unused_data)
+        return b"".join(out), len(data), CUT_OFF
+    return b"".join(out), pos - len(tool.unused_data), None
 
 
-def _at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """Records of the member or plain record at `at`, and where it ends."""
-    if data.startswith(b"\x1f\x8b", at):
-        inner, end = _inflate(data, at)
-        found, pos = [], 0
-        while pos < len(inner):
-            one, pos = parse(inner, pos)
-            found.append(one)
-        return found, end
-    one, end = parse(data, at)
-    return [one], end
+def _same(one: dict) -> tuple[str | None, str]:
+    return one.get("warc-record-id"), digest32(one["block"])
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """Offset, length and content of each record; of each gap, the problem that opened it."""
+def _plain(data: bytes, proven: bool) -> Iterator[tuple[int, int, dict | str]]:
+    """Offset, end and content of the records in a member's bytes, and of the gaps between them."""
     at = 0
     while at < len(data):
         try:
-            found, end = _at(data, at)
+            one, end = parse(data, at, proven)
         except Damaged as e:
-            problem, end = str(e), len(data)
-            for m in _START.finditer(data, at + 1):
+            one, end = str(e), len(data)
+            for m in _VERSION.finditer(data, at + 1):
                 try:
-                    _at(data, m.start())
+                    parse(data, m.start(), proven)
                 except Damaged:
                     continue
                 end = m.start()
                 break
-            yield at, end - at, problem
-        else:
-            for one in found:
-                yield at, end - at, one
+        yield at, end, one
+        at = end
+
+
+def _at(data: bytes, at: int) -> tuple[list[tuple[int, int, dict | str]], int, str | None]:
+    """What the member or plain record at `at` holds, where it ends, and why that end is not certain."""
+    if not data.startswith(b"\x1f\x8b", at):
+        try:
+            one, end = parse(data, at)
+        except Damaged as e:
+            return [], at, str(e)
+        return [(0, end - at, one)], end, None
+    inner, end, problem = _inflate(data, at)
+    # Bytes before a bad one may be wrong already: there, records need a digest that proves them.
+    found = list(_plain(inner, problem is not None and problem != CUT_OFF))
+    if problem is None:
+        return found, end, None
+    if not any(isinstance(one, dict) for _, _, one in found):
+        return [], end, problem
+    start = found.pop()[0] if isinstance(found[-1][2], str) else len(inner)
+    return [*found, (start, len(inner), problem)], end, problem
+
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, int, dict | str]]:
+    """Offset and length of a member or plain record, offset in the unpacked member, and the record found there.
+
+    Gaps come likewise, with the problem that opened them. Of a damaged member, the records unpacked
+    before the damage count; all its rows have the length up to the next place that can be read.
+    """
+    at, ready = 0, None
+    while at < len(data):
+        found, end, problem = ready or _at(data, at)
+        ready = None
+        if problem:
+            past, end = end, len(data)
+            # Deflate may store bytes as they are: what was unpacked is not to be found again.
+            known = {_same(one) for _, _, one in found if isinstance(one, dict)}
+            for m in _START.finditer(data, at + 1):
+                ready = _at(data, m.start())
+                ones = [one for _, _, one in ready[0]]
+                good = [one for one in ones if isinstance(one, dict)]
+                plain = data.startswith(b"W", m.start())
+                if (good or not (ones or ready[2])) and not (plain and m.start() < past and _same(good[0]) in known):
+                    end = m.start()
+                    break
+                ready = None
+        for inner, _, one in found or [(0, 0, problem)] * bool(problem):
+            yield at, end - at, inner, one
         at = end
 
 
@@ -220,8 +266,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows: list[tuple] = []
-                for offset, length, one in salvage(content.as_py()):
-                    rows.append(_row(file.as_py(), offset, length, one))
+                for offset, length, inner, one in salvage(content.as_py()):
+                    rows.append(_row(file.as_py(), offset, length, inner, one))
                     if len(rows) == 256:
                         yield _batch(rows)
                         rows = []
@@ -232,17 +278,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(scan, READ)
 
 
-def _row(file: str, offset: int, length: int, one: dict | str) -> tuple:
+def _row(file: str, offset: int, length: int, inner: int, one: dict | str) -> tuple:
     if isinstance(one, str):
-        return (file, offset, length, "gap", one, *[None] * 6)
+        return (file, offset, length, "gap", one, *[None] * 6, inner)
     try:
         head, _, payload = one["block"].partition(b"\r\n\r\n")
         size = int(re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)[1])
         kind, digest = one["warc-type"], one["warc-payload-digest"].removeprefix("sha1:")
         refers = _page(one["warc-refers-to"]) if kind == "revisit" else None
-        return (file, offset, length, "record", None, _page(one["warc-record-id"]), kind, digest, size, refers, payload if kind == "response" else None)
+        return (file, offset, length, "record", None, _page(one["warc-record-id"]), kind, digest, size, refers, payload if kind == "response" else None, inner)
     except (KeyError, IndexError, TypeError, ValueError):
-        return (file, offset, length, "gap", "record of another kind", *[None] * 6)
+        return (file, offset, length, "gap", "record of another kind", *[None] * 6, inner)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
