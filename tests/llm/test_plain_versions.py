@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from worklake.llm import near_dedup, packing, pii, quality, records, tokens, warc
+from worklake.llm import decontaminate, near_dedup, packing, pii, quality, records, tokens, warc
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -318,6 +318,34 @@ def test_components(spark):
     assert {r.node: r.label for r in got} == {i: root(i) for i in parent}
 
 
+def test_proximity(spark):
+    """Passages with eight of a window's ten words are near, whichever two were changed; far words are not."""
+    rnd = random.Random(12)
+    items = {k: [f"i{k}w{j}" for j in range(rnd.choice((10, 12, 25)))] + ["the"] * (k % 2) for k in range(12)}
+    items[12] = ["a", "b", "a", "b", "c", "c", "d", "d", "e", "e"]  # five different words
+    texts, want = [], []
+    for k, words in items.items():
+        for gone in ([0, 1], [0, 9], [4, 5], [8, 9], [3]) if k < 12 else ([4, 5], [8]):
+            passage = [f"typo{len(texts)}x{j}" if j in gone else w for j, w in enumerate(words[:10])]
+            passage = passage[::-1] if rnd.random() < 0.3 else passage
+            texts.append([f"f{rnd.randrange(99)}" for _ in range(20)] + passage + ["the"] * 20)
+            want.append({k})
+        texts.append([w for a in words[:10] for w in [a] + ["far"] * 25] if k < 12 else ["a", "b", "c"])
+        want.append(set())
+    for k in (0, 1):  # makes the rarest word another one, in every way
+        texts += [items[k][0:1] * 9, items[k][1:3] * 9, items[k][0:10]]
+        want += [set(), set(), {k}]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+            got = {r.doc_id: r for r in decontaminate.report(docs, bench).collect()}
+        met = {i for i, t in enumerate(texts) for w in items.values() if any(t[a : a + 10] == w[b : b + 10] for a in range(len(t) - 9) for b in range(len(w) - 9))}
+        assert {i for i, r in got.items() if r.contaminated} == met
+        assert [got[i].n_near + got[i].n_items for i in range(len(texts))] == [len(w) for w in want]
+
+
 def test_pipeline(spark, docs):
     """Documents and their token counts against a plain run of all stages."""
     rows = [r.asDict() for r in docs.collect()]

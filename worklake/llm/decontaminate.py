@@ -3,9 +3,10 @@
 Windows of SIZE words (a shorter item is one window) are sought in the training texts:
 
 1. Occurrences of each benchmark word are counted over all training texts; a window with a word that
-   never occurs can't occur.
-2. Postings (word, document, position) of each remaining window's rarest word are stored, each with the
-   words around it, as far as a window that holds it can reach.
+   never occurs can't occur, but may be near if NEAR of its words do.
+2. Postings (word, document, position) of each remaining window's rarest words are stored, each with the
+   words around it, as far as a window that holds it can reach: of the rarest one for phrases; for
+   proximity, of so many (three of ten different ones) that NEAR of the words can't be without them all.
 3. The rarest word's list is joined with the windows, positions adjusted by the word's offset. The lists
    of the window's other words are intersected in place, the second rarest first: the stored
    surroundings say which word stands at each adjusted position. All equal: a phrase match. At least
@@ -59,9 +60,12 @@ def windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
-def _plan(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase, its rarest word and offset, the second rarest (null in windows of one word) and offset."""
-    terms = phrases.select("phrase", F.posexplode("phrase").alias("o", "term"))
+def _plan(docs: DataFrame, phrases: DataFrame, size: int, near: bool) -> DataFrame:
+    """phrase, its words to look up with offsets, the second rarest and offset, `whole` for the word that finds phrases.
+
+    The second rarest is null in windows of one word. Without `near`, only the rarest word is looked up.
+    """
+    terms = phrases.select("phrase", F.posexplode("phrase").alias("o", "term")).groupBy("phrase", "term").agg(F.min("o").alias("o"))
     wanted = broadcast_if_small(materialize(terms.select("term").distinct(), "terms"), BROADCAST_ROWS)
     seen = (
         docs.select(F.explode(words(F.col("text"))).alias("term"))
@@ -72,17 +76,22 @@ def _plan(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     ranked = (
         terms.join(seen, "term", "left")
         .groupBy("phrase")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("r"))
-        .filter(F.col("r")[0]["n"] > 0)
+        .agg(
+            F.count("*").alias("words"),
+            F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "o", "term")))).alias("r"),
+        )
+        .withColumn("whole", F.size("r") == F.col("words"))
     )
+    spare = F.size("r") - F.ceil(F.col("words") * NEAR / 10).cast("int") + 1  # so many words meet every set of NEAR
+    spare = F.when(F.lit(near) & (F.size("phrase") >= size), F.greatest(spare, F.lit(0))).otherwise(0)
     second = F.get(F.col("r"), F.lit(1))
     return ranked.select(
         "phrase",
-        F.col("r")[0]["term"].alias("term"),
-        F.col("r")[0]["o"].alias("o"),
+        "whole",
         second["term"].alias("term2"),
         second["o"].alias("o2"),
-    )
+        F.posexplode(F.slice("r", F.lit(1), F.greatest(spare, F.col("whole").cast("int")))).alias("rank", "a"),
+    ).select("phrase", F.col("a.term").alias("term"), F.col("a.o").alias("o"), "term2", "o2", (F.col("whole") & (F.col("rank") == 0)).alias("whole"))
 
 
 def _around(w: Column, pos: Column, size: int) -> Column:
@@ -91,10 +100,10 @@ def _around(w: Column, pos: Column, size: int) -> Column:
     return F.slice(w, first + 1, pos - first + size)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """(d, x, phrase, start, kind) of every phrase and proximity match, and (item_id, phrase); both written."""
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, near: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(d, x, phrase, start, kind) of every phrase and (if `near`) proximity match, and (item_id, phrase); both written."""
     held = materialize(windows(benchmark, size), "windows")
-    plan = materialize(_plan(docs, held.select("phrase").distinct()), "window-plan")
+    plan = materialize(_plan(docs, held.select("phrase").distinct(), size, near), "window-plan")
     anchors = plan.select("term").distinct()
     small = broadcast_if_small(anchors, BROADCAST_ROWS)
     texts = docs.select(*_keys(), words(F.col("text")).alias("w"))
@@ -107,10 +116,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tuple[Da
 
     left = F.least(F.col("pos"), F.lit(size - 1))  # index of the posting's own word in `near`
     first = left - F.col("o")  # index at which the window would start
-    phrase, near = F.col("phrase"), F.col("near")
-    second = F.col("term2").isNull() | (F.get(near, first + F.col("o2")) == F.col("term2"))
-    exact = (first >= 0) & second & (F.slice(near, F.greatest(first, F.lit(0)) + 1, F.size(phrase)) == phrase)
-    close = (F.size(phrase) >= size) & (F.size(F.array_intersect(near, phrase)) * 10 >= F.size(F.array_distinct(phrase)) * NEAR)
+    phrase, around = F.col("phrase"), F.col("near")
+    second = F.col("term2").isNull() | (F.get(around, first + F.col("o2")) == F.col("term2"))
+    exact = F.col("whole") & (first >= 0) & second & (F.slice(around, F.greatest(first, F.lit(0)) + 1, F.size(phrase)) == phrase)
+    common = F.size(F.array_intersect(around, phrase))
+    close = F.lit(near) & (F.size(phrase) >= size) & (common * 10 >= F.size(F.array_distinct(phrase)) * NEAR)
     found = (
         postings.join(broadcast_if_small(plan, BROADCAST_ROWS), "term")
         .withColumn("kind", F.when(F.coalesce(exact, F.lit(False)), "phrase").when(close, "near"))
@@ -130,9 +140,9 @@ def _union(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(zero.alias("n"), zero.alias("to")), step, lambda a: a["n"])
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, near: bool = True) -> DataFrame:
     """d, x, and for documents with a match: n_hit, items (sorted ids), n_near (items near but not met)."""
-    found, held = matches(docs, benchmark, size)
+    found, held = matches(docs, benchmark, size, near)
     met = found.filter("kind = 'phrase'")
     ends = met.groupBy("d", "x", "start").agg(F.max(F.col("start") + F.size("phrase")).alias("end"))
     hits = (
@@ -167,7 +177,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window occurs, with their own columns."""
-    hit = judge(docs, benchmark).filter("n_hit > 0").select("d", "x")
+    hit = judge(docs, benchmark, near=False).filter("n_hit > 0").select("d", "x")
     return (
         docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys())
         .join(hit, ["d", "x"], "left_anti")
