@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, and SQL where SQL can say the same."""
+"""The operators over their whole tables, and SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from worklake.llm import (
     decontaminate,
+    exact_dedup,
     near_dedup,
     packing,
     pii,
@@ -64,11 +65,16 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_personal_data, op3_substring_dedup, op4_packing, op5_preference_pairs,
         op6_token_records, op7_decontamination, op8_near_duplicates, op9_url_rules, op10_warc_round_trip,
+        op11_exact_dedup,
     )
 }
 
@@ -250,5 +256,11 @@ m as (select *, max(page_id) over (partition by html) as best from d)
 select page_id, cast(strlen(html) as bigint) as payload_bytes, payload_digest,
   case when page_id < best then 'revisit' else 'response' end as record_type, case when page_id < best then best end as refers_to
 from m
+""",
+    "op11_exact_dedup": r"""
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
+  row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
+from t window w as (partition by t)
 """,
 }
