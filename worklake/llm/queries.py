@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from worklake.llm import (
+    alignment,
+    collocations,
     decontaminate,
     exact_dedup,
     near_dedup,
@@ -69,12 +71,21 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.report(docs, tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_personal_data, op3_substring_dedup, op4_packing, op5_preference_pairs,
         op6_token_records, op7_decontamination, op8_near_duplicates, op9_url_rules, op10_warc_round_trip,
-        op11_exact_dedup,
+        op11_exact_dedup, op12_token_alignment, op13_collocations,
     )
 }
 
@@ -262,5 +273,39 @@ with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
   row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
 from t window w as (partition by t)
+""",
+    "op13_collocations": r"""
+with w as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws
+  from documents where text is not null
+),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+f as (
+  select lang, list_slice(ws, i, i + k - 1) as g, k, count(*) as f
+  from w, unnest(generate_series(1, 4)) as s(k), unnest(generate_series(1, len(ws) - k + 1)) as u(i)
+  group by all having count(*) >= 30
+),
+m as (
+  select lang, list_slice(g, i, i + j - 1) as g, max(f) as f
+  from f, unnest(generate_series(2, k - 1)) as s(j), unnest(generate_series(1, k - j + 1)) as u(i) group by all
+),
+c as (
+  select f.lang, f.g, f.k, f.f as a from f left join m on m.lang = f.lang and m.g = f.g
+  where f.k > 1 and (m.f is null or 100 * m.f < 80 * f.f)
+),
+x as (
+  select c.lang, c.g, c.a, l.f as l, r.f as r, i, cast(cast(2000000 as hugeint) * c.a // (l.f + r.f) as bigint) as score
+  from c, unnest(generate_series(1, c.k - 1)) as u(i)
+  join f as l on l.lang = c.lang and l.g = list_slice(c.g, 1, i)
+  join f as r on r.lang = c.lang and r.g = list_slice(c.g, i + 1, c.k)
+),
+y as (select * from x qualify row_number() over (partition by lang, g order by score, i) = 1),
+z as (
+  select *, array_to_string(g, ' ') as phrase,
+    row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank
+  from y
+)
+select z.lang, rank, phrase, a, l, r, n, score from z join n on n.lang = z.lang where rank <= 2000
 """,
 }
