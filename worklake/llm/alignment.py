@@ -6,9 +6,9 @@ end there are linked. An array over A's vocabulary names the B id of the same by
 token each that the array foretells is exact: its links are counted in a vector as long as the
 vocabulary. Only links of other groups become rows of pairs and are shuffled.
 
-Both tokenizers treat a run of white space and the word behind it alike wherever they stand, so texts
-are cut there, and each worker aligns a segment once (a table bounded by bytes, found by two 64-bit
-hashes). Texts with white space beyond ASCII are one segment.
+Texts are cut where A starts a piece of its own and where no piece of B holds the bytes on either side
+next to each other, so that neither tokenizer looks across; each worker aligns such a segment once (a
+table bounded by bytes, found by two 64-bit hashes). Texts with white space beyond ASCII are one segment.
 
 Texts are encoded once; what they give is written and read again for counting and for the sums. A
 document's numbers do not depend on how its rows are dealt. Null or empty text, and text that tokens of
@@ -20,7 +20,8 @@ an empty one, and other columns, whatever their names, are left alone.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from worklake.llm.hashing import BLOCK, row_blocks, spans_hash, utf8
 from worklake.llm.tables import materialize
 
 #: Bytes of a worker's table of segments; beyond, it starts anew.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 64 << 20
 #: Pairs that a task counts before it passes them on.
 FLUSH = 1 << 20
 SPACE_SIGN = "▁"
@@ -70,80 +71,77 @@ class Segments(tokens.Encoder):
         import sentencepiece
 
         super().__init__(a_path)
-        self.inner = tokens.Encoder(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {c: bytes([k]) for k, c in enumerate(self.signs)}
-        vocabulary = sorted((i, t) for t, i in self.library.get_vocab(with_added_tokens=True).items())
-        self.a_bytes = [b""] * (vocabulary[-1][0] + 1)
-        for i, t in vocabulary:
-            self.a_bytes[i] = b"".join(byte.get(c, c.encode()) for c in t)
+        vocabulary = dict(sorted((i, t) for t, i in self.library.get_vocab(with_added_tokens=True).items()))
+        a_bytes = [b"".join(byte.get(c, c.encode()) for c in vocabulary.get(i, "")) for i in range(max(vocabulary) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)
-        ]
-        crossing = [p for p in pieces if any(x != SPACE_SIGN and y == SPACE_SIGN for x, y in zip(p, p[1:], strict=False))]
-        white = [i for i, p in enumerate(self.b_bytes) if any(c in p for c in b"\t\n\x0b\x0c\r") and not self.b.is_byte(i)]
-        self.whole = bool(crossing or white)  # B joins what is cut apart here: every text is one segment
+        alone = [self.b.is_byte(i) for i in range(len(pieces))]
+        b_bytes = [bytes([int(p[3:5], 16)]) if one else p.replace(SPACE_SIGN, " ").encode() for p, one in zip(pieces, alone, strict=True)]
+        self.joins = joins(x for x, one in zip(b_bytes, alone, strict=True) if not one)
         self.lead = self.b.encode("\n")
-        self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.same = identity_map(self.a_bytes, self.b_bytes, [self.b.is_byte(i) for i in range(len(pieces))])
+        self.whole = bool(self.joins[0x0A].any() or self.joins[:, 0x0A].any())
+        self.joins |= self.whole  # nothing is cut within a text
+        self.a_spelt, self.b_spelt = Spelling(a_bytes), Spelling(b_bytes)
+        self.same = identity_map(a_bytes, b_bytes, alone)
+        self.narrow = max(len(a_bytes), len(b_bytes)) <= 1 << 16
+        self.digits = Spelling([str(i).encode() for i in range(max(len(a_bytes), len(b_bytes)))])
 
     def _clear(self) -> None:
         super()._clear()
         self.texts: list[bytes] = []
         self.counts, self.exact, self.odd, self.held = Ragged(np.int32), Ragged(np.uint32), Ragged(np.uint64), 0
 
-    def _encode_b(self, pieces: list[str]) -> list[list[int]]:
-        if self.whole:
-            return self.b.encode([p[1:] for p in pieces])
+    def _encode_b(self, pieces: list[bytes]) -> list[list[int]]:
+        if self.whole:  # texts begin with the space that B adds
+            return self.b.encode([p[1:].decode() for p in pieces])
         skip = len(self.lead)  # of the added space and a line end that no piece joins with
-        return [x[skip:] for x in self.b.encode(["\n" + p for p in pieces], num_threads=1)]
+        return [x[skip:] for x in self.b.encode(["\n" + p.decode() for p in pieces], num_threads=1)]
 
     def align(self, raw: np.ndarray, at: np.ndarray) -> None:
         """Files the segments whose bytes begin at `at` as new entries."""
-        a_ids, a_at = self.inner.block(raw, at)
-        pieces = [raw[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        found = self._encode_b([p.decode() for p in pieces])
-        b_at = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
-        b_ids = np.fromiter((i for x in found for i in x), np.int64, int(b_at[-1]))
-        spelt_a, spelt_b = self.a_bytes, self.b_bytes
-        good = np.array([
-            b"".join([spelt_b[i] for i in y]) == p and b"".join([spelt_a[i] for i in x]) == p
-            for p, x, y in zip(pieces, np.split(a_ids, a_at[1:-1]), found, strict=True)
-        ], bool)
+        whole = raw.tobytes()
+        pieces = [whole[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        a_ids, a_at = _flat(self._learn(pieces))
+        b_ids, b_at = _flat(self._encode_b(pieces))
+        good = self.a_spelt.spells(a_ids, a_at, raw, at) & self.b_spelt.spells(b_ids, b_at, raw, at)
         if not good.all():
             a_ids, a_at = _only(a_ids, a_at, good)
             b_ids, b_at = _only(b_ids, b_at, good)
-        a_ids = a_ids.astype(np.int64)
-        a_end, b_end = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
+        a_end, b_end = np.cumsum(self.a_spelt.sizes[a_ids]), np.cumsum(self.b_spelt.sizes[b_ids])
         ends = np.intersect1d(a_end, b_end, assume_unique=True)
         i, j = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
         segment = np.searchsorted(a_at, i, "right") - 1
-        alone = (np.diff(np.r_[-1, i]) == 1) & (np.diff(np.r_[-1, j]) == 1) & (self.same[a_ids[i]] == b_ids[j])
+        n_a, n_b = np.diff(np.r_[-1, i]), np.diff(np.r_[-1, j])
+        alone = (n_a == 1) & (n_b == 1) & (self.same[a_ids[i]] == b_ids[j])
         n = len(pieces)
         counts = np.stack([np.diff(a_at), np.diff(b_at), np.bincount(segment, minlength=n), ~good], 1)
         self.counts.add(np.full(n, 4), counts.ravel())
         self.exact.add(np.bincount(segment[alone], minlength=n), a_ids[i[alone]])
-        self.odd.add(
-            np.bincount(segment[~alone], minlength=n),
-            (a_ids[i[~alone]].astype(np.uint64) << np.uint64(32)) | b_ids[j[~alone]].astype(np.uint64),
-        )
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        groups = [
-            a_text[x - 1] + "|" + b_text[y - 1] if x - u == 1 and y - v == 1 else ",".join(a_text[u:x]) + "|" + ",".join(b_text[v:y])
-            for u, x, v, y in zip(np.r_[0, i[:-1] + 1].tolist(), (i + 1).tolist(), np.r_[0, j[:-1] + 1].tolist(), (j + 1).tolist(), strict=True)
-        ] if len(i) else []
-        cut = np.searchsorted(segment, np.arange(n + 1)).tolist()
-        texts = [";".join(groups[x:y]).encode() for x, y in zip(cut, cut[1:], strict=False)]
+        pairs = (a_ids[i[~alone]].astype(np.uint64) << np.uint64(32)) | b_ids[j[~alone]].astype(np.uint64)
+        self.odd.add(np.bincount(segment[~alone], minlength=n), pairs)
+        texts = self._written(a_ids, b_ids, i, j, n_a, n_b, np.searchsorted(segment, np.arange(n + 1)))
         self.texts += texts
-        self.held += sum(map(len, texts)) + 160 * n + 8 * len(i)
+        self.held += len(whole) + sum(map(len, texts)) + 150 * n + 8 * len(i)
+
+    def _written(self, a_ids, b_ids, i, j, n_a, n_b, cut) -> list[bytes]:
+        """`a1,a2|b1;a3|b2` of each segment: every id is followed by the sign between it and the next."""
+        total = len(a_ids) + len(b_ids)
+        ids, sign = np.empty(total, np.int64), np.full(total, ord(","), np.uint8)
+        before = np.r_[0, np.cumsum(n_a + n_b)]  # ids before each group; its ids of A come first
+        a_place = np.repeat(before[:-1] - np.r_[0, np.cumsum(n_a)][:-1], n_a) + np.arange(len(a_ids))
+        b_place = np.repeat(before[:-1] + n_a - np.r_[0, np.cumsum(n_b)][:-1], n_b) + np.arange(len(b_ids))
+        ids[a_place], ids[b_place] = a_ids, b_ids
+        sign[a_place[i]], sign[b_place[j]] = ord("|"), ord(";")
+        raw, at = self.digits.written(ids, sign)
+        text, at = raw.tobytes(), np.r_[at, len(raw)][before[cut]].tolist()
+        return [text[x : max(x, y - 1)] for x, y in zip(at, at[1:], strict=False)]
 
     def entries(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry of each segment of a block of rows, and where each row's begin."""
         if self.held > TABLE_BYTES:
             self._clear()
-        starts = _cuts(raw, at, self.whole)
+        starts = self._starts(raw, at)
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
         ends = np.r_[starts[1:], len(raw)]
@@ -164,6 +162,12 @@ class Segments(tokens.Encoder):
             self.held = TABLE_BYTES + 1  # its entries are not those of the table any more
         return e, np.searchsorted(starts, at)
 
+    def _starts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where segments start: at rows, and where A begins a piece that B joins with nothing before it."""
+        starts = tokens._cuts(raw, at)
+        row = np.isin(starts, at)
+        return starts[row | ~self.joins[raw[starts - 1], raw[starts]]]
+
     def rows(self, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, bytes, bytes, bytes]]:
         """For each row: counts (tokens of A, of B, groups), digest, ids of exact groups, other pairs."""
         for first, last in row_blocks(at):
@@ -192,7 +196,63 @@ class Segments(tokens.Encoder):
     def _row(self, sums, digest, exact, odd):
         if sums[3] or not sums[0]:
             return np.zeros(3, np.int64), "", b"", b""
-        return sums[:3], digest.hexdigest(), np.concatenate(exact).astype("<u4").tobytes(), np.concatenate(odd).astype("<u8").tobytes()
+        return sums[:3], digest.hexdigest(), *self._packed(np.concatenate(exact), np.concatenate(odd))
+
+
+    def _packed(self, exact: np.ndarray, odd: np.ndarray) -> tuple[bytes, bytes]:
+        if not self.narrow:
+            return exact.astype("<u4").tobytes(), odd.astype("<u8").tobytes()
+        return exact.astype("<u2").tobytes(), ((odd >> np.uint64(16)) | (odd & np.uint64(0xFFFF))).astype("<u4").tobytes()
+
+
+class Spelling:
+    """The bytes of each id."""
+
+    def __init__(self, spelt: list[bytes]):
+        self.sizes = np.array([len(x) for x in spelt], np.int64)
+        self.at = np.r_[0, np.cumsum(self.sizes)]
+        self.raw = np.frombuffer(b"".join(spelt), np.uint8)
+
+    def spells(self, ids: np.ndarray, ids_at: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the ids of each row spell its bytes."""
+        total = np.r_[0, np.cumsum(self.sizes[ids])][ids_at]
+        out = np.diff(total) == np.diff(at)
+        mine, its = (ids, raw) if out.all() else (ids[np.repeat(out, np.diff(ids_at))], raw[np.repeat(out, np.diff(at))])
+        spelt, _ = _gather(self.raw, self.at[mine], self.at[mine + 1])
+        wrong = np.flatnonzero(spelt != its)
+        if len(wrong):
+            rows = np.flatnonzero(out)
+            ends = np.cumsum(np.diff(at)[rows])
+            out[rows[np.searchsorted(ends, wrong, "right")]] = False
+        return out
+
+    def written(self, ids: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids, a sign after each, and where each begins."""
+        size = self.sizes[ids] + 1
+        at = np.r_[0, np.cumsum(size)]
+        out = np.empty(int(at[-1]), np.uint8)
+        last = at[1:] - 1
+        inner = np.ones(len(out), bool)
+        inner[last] = False
+        out[inner] = _gather(self.raw, self.at[ids], self.at[ids + 1])[0]
+        out[last] = sign
+        return out, at[:-1]
+
+
+def joins(pieces: Iterable[bytes]) -> np.ndarray:
+    """Which byte stands before which inside some piece; texts may be cut between all others."""
+    out = np.zeros((256, 256), bool)
+    out[0x80:, 0x80:0xC0] = True  # within a character
+    for piece in pieces:
+        x = np.frombuffer(piece, np.uint8)
+        out[x[:-1], x[1:]] = True
+    return out
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)), out=at[1:])
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(at[-1])), at
 
 
 def identity_map(a_bytes: list[bytes], b_bytes: list[bytes], b_is_byte: list[bool]) -> np.ndarray:
@@ -212,23 +272,6 @@ def _gather(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return raw[np.repeat(starts - at[:-1], ends - starts) + np.arange(int(at[-1]))], at
 
 
-def _cuts(raw: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
-    """Where segments start: at rows, and where white space follows something else."""
-    n = len(raw)
-    cut = np.zeros(n + 1, bool)
-    if not whole and n:
-        white = tokens._IS_WHITE[raw]
-        cut[1:n] = white[1:] & ~white[:-1]
-        lead = np.flatnonzero(tokens._LEADS[raw])
-        if len(lead):
-            for row in np.unique(np.searchsorted(at, lead, "right") - 1):
-                x, y = int(at[row]), int(at[row + 1])
-                if tokens._WIDE.search(raw[x:y].tobytes()):
-                    cut[x:y] = False
-    cut[at[:-1][at[1:] > at[:-1]]] = True
-    return np.flatnonzero(cut[:n])
-
-
 _SEGMENTS: dict[tuple[str, str], Segments] = {}
 
 
@@ -265,7 +308,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", t
     return rows.mapInArrow(encode, schema)
 
 
-def _packed(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Numbers packed in a binary column, and where each row's begin."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
@@ -274,13 +317,26 @@ def _packed(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]].copy().view(kind), (offsets - offsets[0]) // size
 
 
-def exact_counts(parts: DataFrame, size: int) -> np.ndarray:
+def ids_of(column: pa.Array, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of exact groups, and where each row's begin."""
+    return _unpacked(column, "<u2" if narrow else "<u4")
+
+
+def pairs_of(column: pa.Array, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as a * 2^32 + b, and where each row's begin."""
+    pairs, at = _unpacked(column, "<u4" if narrow else "<u8")
+    if narrow:
+        pairs = (pairs.astype(np.uint64) >> np.uint64(16) << np.uint64(32)) | (pairs & np.uint32(0xFFFF)).astype(np.uint64)
+    return pairs, at
+
+
+def exact_counts(parts: DataFrame, size: int, narrow: bool) -> np.ndarray:
     """How many exact groups each A id has: a vector as long as the vocabulary."""
 
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(_packed(batch.column(0), "<u4")[0], minlength=size)
+            total += np.bincount(ids_of(batch.column(0), narrow)[0], minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["a", "n"])
 
@@ -290,13 +346,13 @@ def exact_counts(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def pair_counts(parts: DataFrame) -> DataFrame:
+def pair_counts(parts: DataFrame, narrow: bool) -> DataFrame:
     """Pairs (pair = a * 2^32 + b, n) of links outside exact groups, over all rows."""
 
     def count(batches):
         held, size = [], 0
         for batch in batches:
-            held.append(_packed(batch.column(0), "<u8")[0])
+            held.append(pairs_of(batch.column(0), narrow)[0])
             size += len(held[-1])
             if size > FLUSH:
                 yield _counted(held)
@@ -314,10 +370,10 @@ def pair_counts(parts: DataFrame) -> DataFrame:
 def counted(parts: DataFrame, a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """Counts of exact pairs by A id, whether they are their B id's highest, and the other pairs (pair, n, best)."""
     spark, table = parts.sparkSession, segments(a_path, b_path)
-    exact = exact_counts(parts, len(table.same))
-    others = materialize(pair_counts(parts), "pairs")
+    exact = exact_counts(parts, len(table.same), table.narrow)
+    others = materialize(pair_counts(parts, table.narrow), "pairs")
     b = F.col("pair").bitwiseAND((1 << 32) - 1)
-    highest = np.zeros(len(table.b_sizes), np.int64)
+    highest = np.zeros(len(table.b_spelt.sizes), np.int64)
     for row in others.groupBy(b.alias("b")).agg(F.max("n").alias("n")).collect():  # a row for each B id at most
         highest[row.b] = row.n
     known = np.flatnonzero((table.same >= 0) & (exact > 0))
@@ -333,19 +389,20 @@ def report(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row a document: tokens, groups, links, links that are the best of their B id, sum of the links' counts."""
     parts = materialize(aligned(docs, a_path, b_path), "aligned")
     exact, best, others = counted(parts, a_path, b_path)
+    narrow = segments(a_path, b_path).narrow
     sent = parts.sparkSession.sparkContext.broadcast((exact, best))
 
     def add_exact(batches):
         exact, best = sent.value
         for batch in batches:
-            ids, at = _packed(batch.column(batch.schema.get_field_index("exact")), "<u4")
+            ids, at = ids_of(batch.column(batch.schema.get_field_index("exact")), narrow)
             sums = [np.diff(np.r_[0, np.cumsum(v[ids], dtype=np.int64)][at]) for v in (exact, best)]
             plain = batch.drop_columns(["exact"])
             yield pa.RecordBatch.from_arrays([*plain.columns, *map(pa.array, sums)], [*plain.schema.names, "e_sum", "e_best"])
 
     def links(batches):
         for batch in batches:
-            pairs, at = _packed(batch.column(1), "<u8")
+            pairs, at = pairs_of(batch.column(1), narrow)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(at))
             order = np.lexsort((pairs, rows))
             pairs, rows = pairs[order], rows[order]
