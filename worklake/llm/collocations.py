@@ -225,7 +225,10 @@ def _slices(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatc
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
-    """Stripes of equal prefix (and part) added element by element: rows (g, f) of phrases with f >= least."""
+    """Stripes of equal prefix (and part) added element by element: rows (g, f, key) of phrases with f >= least.
+
+    `key` is the place of a phrase of two words in the bitmap.
+    """
 
     def merge(batches):
         held, size = [], 0
@@ -269,7 +272,8 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
         flat, at = _phrases(k, length, last)
         if len(total):
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _long(flat)), pa.array(total)], ["g", "f"]
+                [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _long(flat)), pa.array(total), _long(_pair_key(k[0], last))],
+                ["g", "f", "key"],
             )
         return rows.slice(rest).to_batches(), int(size[rest:].sum())
 
@@ -283,7 +287,7 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
         )
 
     dealt = parts.repartition("p", "part").sortWithinPartitions("p", "part")
-    return dealt.mapInArrow(merge, "g array<long>, f long")
+    return dealt.mapInArrow(merge, "g array<long>, f long, key long")
 
 
 def _phrases(prefix: list[np.ndarray], length: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,10 +308,13 @@ def spellings(texts: DataFrame, seed: int, frequent) -> DataFrame:
         bits, told = frequent.value, np.zeros(0, np.uint64)
         for batch in batches:
             for _, block in _blocks(batch, seed):
-                w, first = np.unique(block.id, return_index=True)
-                new = _has(bits, w) & ~np.isin(w, told)
-                w, first = w[new], first[new]
-                told = np.union1d(told, w) if len(told) < FLUSH else w
+                new = np.flatnonzero(_has(bits, block.id))
+                if len(told):
+                    at = np.minimum(np.searchsorted(told, block.id[new]), len(told) - 1)
+                    new = new[told[at] != block.id[new]]
+                w, first = np.unique(block.id[new], return_index=True)
+                first = new[first]
+                told = np.sort(np.r_[told, w]) if len(told) < FLUSH else w
                 s, e = block.starts[first], block.ends[first]
                 spelt = [block.raw[x:y].tobytes().decode() for x, y in zip(s.tolist(), e.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([_long(w), pa.array(spelt, pa.string())], ["w", "word"])
@@ -345,8 +352,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text: str = "text", la
         return block.runs(2) & ok[:n] & ok[1:]
 
     pairs = materialize(merged(stripes(texts, seed, (2,), both_frequent, hot_prefixes(singles, total, 1)), least), "pairs")
-    keys = pairs.mapInArrow(_pair_keys, "key long")
-    linked = spark.sparkContext.broadcast(bitmap(keys))
+    linked = spark.sparkContext.broadcast(bitmap(pairs))
 
     def all_linked(block, size):
         ids = block.id
@@ -359,17 +365,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text: str = "text", la
 
     longer = tuple(range(3, LONGEST + 1))
     more = merged(stripes(texts, seed, longer, all_linked, hot_prefixes(pairs, total, 2)), least)
-    phrases = materialize(singles.unionByName(pairs).unionByName(more), "phrases")
+    phrases = materialize(singles.unionByName(pairs.drop("key")).unionByName(more.drop("key")), "phrases")
     known = one.select("w", "lang").join(spellings(texts, seed, frequent), "w")
     return phrases, known, langs
 
 
-def _pair_keys(batches):
-    for batch in batches:
-        flat = np.asarray(batch.column(0).flatten()).view(np.uint64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([_long(_pair_key(flat[:, 0].copy(), flat[:, 1].copy()))], ["key"])
-
-
 def _decimal(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)")
 
