@@ -282,9 +282,9 @@ def labels_plainly(sets):
     return {i: root(i) for i in ids}
 
 
-def shingles_plainly(text):
+def shingles_plainly(text, size=2):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), text or ""))
-    return set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
 
 
 def test_families_of_near_copies(spark):
@@ -297,6 +297,8 @@ def test_families_of_near_copies(spark):
     rows = list(enumerate(texts))
     got = {r.doc_id: r.component_id for r in near_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == labels_plainly({i: shingles_plainly(t) for i, t in rows})
+    got = {r.doc_id: r.component_id for r in near_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), size=5).collect()}
+    assert got == labels_plainly({i: shingles_plainly(t, 5) for i, t in rows})
 
 
 def test_components(spark):
@@ -351,7 +353,7 @@ def test_pipeline(spark, docs):
     rows = [r.asDict() for r in docs.collect()]
     verdict = {r.doc_id: r.kept for r in quality.report(docs).collect()}
     rows = [r for r in rows if verdict[r["doc_id"]]]
-    label = labels_plainly({r["doc_id"]: shingles_plainly(r["text"]) for r in rows})
+    label = labels_plainly({r["doc_id"]: shingles_plainly(r["text"], 5) for r in rows})
     rows = [r for r in rows if label[r["doc_id"]] == r["doc_id"]]
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))
     grams = {}

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes handled at once; temporaries take about 60 bytes for each.
 BLOCK = 1 << 20
+#: Bytes whose hashes come from one running sum; powers are kept up to about as many.
+SPAN_BLOCK = 1 << 17
 
 _WHITE = [0x20, *range(0x09, 0x0E)]
 SPACES = np.isin(np.arange(256), _WHITE)
@@ -83,7 +85,7 @@ def spans_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
     i = 0
     while i < len(starts):
         base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, base + SPAN_BLOCK, "right")))
         size = int(ends[j - 1]) - base
         up, down = powers.upto(size + 1)
         total = np.zeros(size + 1, np.uint64)

@@ -1,6 +1,6 @@
 """Near duplicates by HyperMinHash sketches, banded.
 
-A document is its set of different 2-word shingles (hashed to 64 bits). The hashes fall into BUCKETS
+A document is its set of different shingles of `size` words (hashed to 64 bits; fewer words are one shingle). The hashes fall into BUCKETS
 buckets; a register keeps of the smallest hash in its bucket the number of leading zeros and
 MANTISSA bits after them, in 16 bits. An empty bucket takes the register of a bucket that a fixed
 random order names. BANDS bands of registers are candidates' keys: at a similarity of 0.8 a pair
@@ -13,7 +13,10 @@ band's members are then still in several components, those outside the largest o
 in blocks of bounded size. So every candidate pair is verified or already connected.
 
 Null text, or one without words, has an empty set and no links. A row without doc_id has no links
-either (component null, kept). Rows with equal doc_id are one node.
+either (component null, kept). In `report`, rows with equal doc_id are one node. In `keep`, each row is
+one: of repeated rows one stays, rows with one id and unlike texts all stay. The smallest id of a
+component stands for it (ties: any). Very long texts are sets like others, an empty table gives an
+empty one, and other columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from worklake.llm import hashing
 from worklake.llm.tables import broadcast_if_small, materialize, repeated_ids, shared_rows
 
+#: Words of a shingle, unless the caller says otherwise.
 SHINGLE = 2
 LEAST, OF = 80, 100  # similarity, as a fraction
 BANDS, ROWS = 48, 6
@@ -48,17 +52,17 @@ _ORDER = np.random.default_rng(7).permuted(np.tile(np.arange(BUCKETS), (BUCKETS,
 SKETCH = "d long, x long, n_shingles long, sid binary, registers binary"
 
 
-def shingles(batch: pa.RecordBatch):
+def shingles(batch: pa.RecordBatch, size: int):
     """Row number and sorted distinct shingle hashes of each row."""
     raw, at = hashing.utf8(batch.column("text"))
     for first, last in hashing.row_blocks(at):
         part, begin = hashing.LOWER[raw[at[first] : at[last]]], at[first : last + 1] - at[first]
         starts, ends, before = hashing.word_spans(part, begin)
         h = hashing.spans_hash(part, starts, ends)
-        pairs = hashing.windows(h, SHINGLE)
+        found = hashing.windows(h, size)
         for k in range(last - first):
             a, b = int(before[k]), int(before[k + 1])
-            yield first + k, np.unique(pairs[a : b - SHINGLE + 1]) if b - a >= SHINGLE else hashing.windows(h[a:b], 1)
+            yield first + k, np.unique(found[a : b - size + 1]) if b - a >= size else hashing.windows(h[a:b], max(1, b - a))
 
 
 def registers(values: np.ndarray) -> np.ndarray:
@@ -78,10 +82,10 @@ def registers(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(batches):
+def _sketch(batches, size):
     for batch in batches:
         rows = []
-        for k, values in shingles(batch):
+        for k, values in shingles(batch, size):
             n = len(values)
             total = hashing.mix(values).sum(dtype=np.uint64) if n else np.uint64(0)
             mixed = np.bitwise_xor.reduce(hashing.mix(values, 99)) if n else np.uint64(0)
@@ -94,9 +98,9 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays(columns, names=["d", "x", "n_shingles", "sid", "registers"])
 
 
-def sketch(texts: DataFrame, repeated: bool) -> DataFrame:
+def sketch(texts: DataFrame, repeated: bool, size: int = SHINGLE) -> DataFrame:
     """Sketch of each row (d, text); x tells sets of one id apart, 0 where ids are unique."""
-    return texts.select("d", F.lit(repeated).alias("x"), "text").mapInArrow(_sketch, SKETCH)
+    return texts.select("d", F.lit(repeated).alias("x"), "text").mapInArrow(lambda batches: _sketch(batches, size), SKETCH)
 
 
 def _estimate(batches):
@@ -106,9 +110,9 @@ def _estimate(batches):
         yield batch.select(["d", "x", "e", "y"]).filter(pa.array(near))
 
 
-def _sets(batches):
+def _sets(batches, size):
     for batch in batches:
-        found = [values.tobytes() for _, values in shingles(batch)]
+        found = [values.tobytes() for _, values in shingles(batch, size)]
         yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("x"), pa.array(found, pa.binary())], names=["d", "x", "s"])
 
 
@@ -150,10 +154,10 @@ def _block(rows: pa.Table) -> pa.Table:
 class Links:
     """Verified links between the sets of a corpus."""
 
-    def __init__(self, texts: DataFrame):
+    def __init__(self, texts: DataFrame, size: int = SHINGLE):
         """`texts`: d (not null), text."""
         self.repeated = repeated_ids(texts.select("d"))
-        self.sketches = materialize(sketch(texts, self.repeated), "sketches")
+        self.sketches = materialize(sketch(texts, self.repeated, size), "sketches")
         some = self.sketches.filter("n_shingles > 0")
         firsts = some.groupBy("sid").agg(F.min(F.struct("d", "x")).alias("f"), F.count("*").alias("n")).filter("n > 1")
         copies = materialize(
@@ -168,9 +172,9 @@ class Links:
         self.registers = materialize(sets.join(few, ["d", "x"]).select("d", "x", "n_shingles", "registers").dropDuplicates(["d", "x"]), "registers")
         if self.repeated:
             keyed = texts.select("d", F.lit(True).alias("x"), "text")
-            full = keyed.mapInArrow(_keyed_sets, "d long, x long, s binary").join(few, ["d", "x"]).dropDuplicates(["d", "x"])
+            full = keyed.mapInArrow(lambda b: _keyed_sets(b, size), "d long, x long, s binary").join(few, ["d", "x"]).dropDuplicates(["d", "x"])
         else:
-            full = texts.join(few, "d").select("d", "x", "text").mapInArrow(_sets, "d long, x long, s binary")
+            full = texts.join(few, "d").select("d", "x", "text").mapInArrow(lambda b: _sets(b, size), "d long, x long, s binary")
         self.full = materialize(full, "full-sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -259,11 +263,11 @@ def _stars(bands: DataFrame, order: Column) -> DataFrame:
     return bands.join(lead, "band").filter(other).select("d", "x", F.col("l.d").alias("e"), F.col("l.x").alias("y"))
 
 
-def _keyed_sets(batches):
+def _keyed_sets(batches, size):
     """Sets of rows whose ids repeat, with the tie of the sketch."""
     for batch in batches:
         ties, found = [], []
-        for _, values in shingles(batch):
+        for _, values in shingles(batch, size):
             ties.append(int(hashing.mix(values).sum(dtype=np.uint64).view(np.int64)) if len(values) else 0)
             found.append(values.tobytes())
         columns = [batch.column("d"), pa.array(ties, pa.int64()), pa.array(found, pa.binary())]
@@ -294,33 +298,36 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(labels, "labels")
 
 
-def _find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _find(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).filter("d is not null")
-    links = Links(texts)
+    links = Links(texts, size)
     return links.sketches, links.components()
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row a document: size of its set, its component, whether it stands for it."""
-    sketches, labels = _find(docs)
+    sketches, labels = _find(docs, size)
     label = F.coalesce("label", "d")
     rows = sketches.join(labels, sketches.d == labels.node, "left").select(
         F.col("d").alias("doc_id"), "n_shingles", label.alias("component_id"), (F.col("d") == label).alias("kept")
     )
     unnamed = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("d"), F.col("text").cast("string").alias("text"))
-    loose = sketch(unnamed, False).select(
+    loose = sketch(unnamed, False, size).select(
         "d", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")
     )
     return rows.unionByName(loose.withColumnRenamed("d", "doc_id"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of `docs`; of rows with its id, the smallest text."""
-    _, labels = _find(docs)
-    gone = labels.filter("node != label").select(F.col("node").alias("__d"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rest = docs.select(row, F.col("doc_id").cast("long").alias("__d")).join(gone, "__d", "left_anti")
-    named = rest.filter("__d is not null")
-    if repeated_ids(named.select(F.col("__d").alias("d"))):
-        named = named.groupBy("__d").agg(F.min_by("row", F.coalesce(F.col("row.text"), F.lit(""))).alias("row"))
-    return named.select("row").union(rest.filter("__d is null").select("row")).select("row.*")
+def keep(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One document of each component, with the columns of `docs`."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*at.values())  # names of any kind
+    plain = plain.withColumn("d", F.col(at["doc_id"]).cast("long"))
+    if repeated_ids(plain.select("d").filter("d is not null")):  # each row is a node: numbered in the order of ids
+        ordered = plain.repartitionByRange("d", F.xxhash64(at["text"])).sortWithinPartitions("d")
+        numbered = F.when(F.col("d").isNotNull(), F.monotonically_increasing_id())
+        plain = materialize(ordered.withColumn("d", numbered), "numbered")
+    _, labels = _find(plain.select(F.col("d").alias("doc_id"), F.col(at["text"]).alias("text")), size)
+    gone = materialize(labels.filter("node != label").select(F.col("node").alias("d")), "gone")
+    rest = plain.join(broadcast_if_small(gone, BROADCAST_ROWS), "d", "left_anti")
+    return rest.select(*at.values()).toDF(*docs.columns)

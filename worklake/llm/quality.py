@@ -6,7 +6,8 @@ The counts (words, characters, symbols, stop words, lines) come from built-in fu
 are split once a row and kept in a lambda variable.
 
 Null text has no words, so it fails the base rule (`n_words < 10`). An empty table gives an empty
-one. Repeated rows and ids are judged row by row. Windows are compared by 64-bit hashes within one
+one. Repeated rows and ids, and so ties, are judged row by row. Very long texts are judged whole. Other
+columns are carried whatever their names. Windows are compared by 64-bit hashes within one
 text.
 """
 
@@ -98,9 +99,9 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, let(windows, _covered)).otherwise(F.lit(0).cast("long"))
 
 
-def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with a struct column `__m` of METRICS."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def _metrics(text: Column) -> Column:
+    """An array of one struct of METRICS."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
     words = F.array_remove(F.split(t, "[\\x20\\x09-\\x0D]+"), "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(WHITE)) != "")
     stops = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
@@ -123,46 +124,52 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             ).alias("n_bullet_lines"),
         )
 
-    found = F.transform(F.array(F.struct(words.alias("w"), lines.alias("l"), t.alias("t"))), counts)
-    return docs.withColumn("__m", F.explode(found))
+    return F.transform(F.array(F.struct(words.alias("w"), lines.alias("l"), t.alias("t"))), counts)
 
 
-def _passes(rule: Rule, lang: Column) -> Column:
-    m = lambda name: F.col("__m")[name]
+def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with a struct column `__m` of METRICS."""
+    return docs.withColumn("__m", F.explode(_metrics(F.col(text))))
+
+
+def _passes(rule: Rule, lang: Column, m: Column) -> Column:
     ok = F.lit(True)
     if rule.low is not None:
-        ok = ok & ((m(rule.part) + rule.grace) * 1000 >= m(rule.whole) * rule.low)
+        ok = ok & ((m[rule.part] + rule.grace) * 1000 >= m[rule.whole] * rule.low)
     if rule.high is not None:
-        ok = ok & (m(rule.part) * 1000 <= m(rule.whole) * rule.high)
+        ok = ok & (m[rule.part] * 1000 <= m[rule.whole] * rule.high)
     return ok | ~F.coalesce(lang.isin(*rule.languages), F.lit(False)) if rule.languages else ok
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
-    """`docs` with `__m` and the booleans `__base_failed` and `__kept`, one row for each row."""
-    language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
-    m = F.col("__m")
-    base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
-    verdict = F.lit(True)
+def _verdict(m: Column, rules: tuple[Rule, ...], lang: Column) -> tuple[Column, Column]:
+    """Whether the base rule fails, and whether all rules pass."""
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
+    kept = ~failed
     for rule in rules:
-        verdict = verdict & _passes(rule, language)
-    return metrics(docs, text).withColumn("__base_failed", base).withColumn("__kept", ~base & verdict)
+        kept = kept & _passes(rule, lang, m)
+    return failed, kept
 
 
-def _needed(docs: DataFrame, *more: str | Column) -> DataFrame:
-    """What the rules read, apart from the other columns, whatever their names."""
-    lang = [F.col("lang")] if "lang" in docs.columns else []
-    return docs.select(*more, "text", *lang)
+def _language(docs: DataFrame, lang: str) -> Column:
+    return F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
+
+
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
+    """`docs` with `__m` and the booleans `__base_failed` and `__kept`, one row for each row."""
+    failed, kept = _verdict(F.col("__m"), rules, _language(docs, lang))
+    return metrics(docs, text).withColumn("__base_failed", failed).withColumn("__kept", kept)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: its counts, `base_failed` and `kept`."""
     m = [F.col("__m")[name].alias(name) for name in METRICS]
-    return judge(_needed(docs, "doc_id")).select(
+    lang = [F.col("lang")] if "lang" in docs.columns else []
+    return judge(docs.select("doc_id", "text", *lang)).select(
         "doc_id", *m, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept")
     )
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return judge(_needed(docs, row)).filter("__kept").select("__row.*")
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that pass, with their own columns: one condition, so that no row is copied beside its text."""
+    passes = F.transform(_metrics(F.col(text)), lambda m: _verdict(m, rules, _language(docs, lang))[1])
+    return docs.filter(F.get(passes, F.lit(0)))

@@ -56,7 +56,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.report(table(spark, sf_dir, "documents"))
+    return near_dedup.report(table(spark, sf_dir, "documents"), size=2)
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

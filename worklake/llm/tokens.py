@@ -18,9 +18,9 @@ import numpy as np
 
 from worklake.llm.hashing import BLOCK, row_blocks, spans_hash
 
-#: Pieces and ids kept by a worker; beyond, its table starts anew.
-MAX_PIECES = 1_500_000
-MAX_IDS = 12_000_000
+#: Pieces and ids kept by a worker, in about 64 MB; beyond, its table starts anew.
+MAX_PIECES = 800_000
+MAX_IDS = 4_000_000
 
 SPACE, WHITE, LETTER, MARK, DIGIT = 1, 2, 3, 4, 5
 _CLASS = np.zeros(256, np.uint8)
@@ -169,7 +169,7 @@ class Encoder:
         self.ids[int(self.begin[a]) : end] = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
         self.n = b
         if 2 * b > len(self.keys):
-            self.keys = np.zeros(4 * (1 << b.bit_length()), np.uint64)
+            self.keys = np.zeros(2 * (1 << b.bit_length()), np.uint64)
             self.entry = np.zeros(len(self.keys), np.int32)
             self._file(self.first[:b], np.arange(b))
         else:
