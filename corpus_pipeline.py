@@ -6,20 +6,37 @@ the next one's `docs`. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from worklake.llm import decontaminate, near_dedup, packing, pii, quality, tokens
 from worklake.llm.tables import materialize
 
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(stage):
+    """The stage in a session whose Arrow batches are bounded by bytes, as texts may be of any length."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules."""
     return quality.keep(docs)
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.keep(docs)
+    """One document of each group of near duplicates: four fifths of their five-word shingles in common."""
+    return near_dedup.keep(docs, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +44,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@in_small_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by the name of its kind."""
     return pii.clean(docs)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences."""
     return packing.report(docs, tokens.vocabulary("word_bpe_49k.json"))
