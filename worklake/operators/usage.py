@@ -10,14 +10,18 @@ from worklake.operators.ordered import fill_last
 TOKENS = ["input_tokens", "output_tokens", "cached_tokens", "reasoning_tokens"]
 
 
-def counter_deltas(counters: DataFrame, chunk: int = 65_536) -> DataFrame:
+def counter_deltas(counters: DataFrame, chunk_bits: int = 16, before: DataFrame | None = None) -> DataFrame:
     """Cumulative counters to usage rows: file, session_id, ordinal, ts_ms, model, total, parts.
 
     A repeated total adds nothing; a grown one adds its difference; a first or smaller one counts
     the call's own usage. Repeats go first, so each kept line is compared with the last kept one.
+    `before` has the last counters (file, total, parts) of files whose earlier lines were counted already.
     """
     parts = ["input", "cached", "output", "reasoning"]
-    slot = F.floor(F.col("ordinal") / chunk)
+    slot = F.shiftright("ordinal", chunk_bits)
+    if before is not None:
+        last = before.select("file", "total", *parts, F.lit(-1).cast("long").alias("ordinal"))
+        counters = counters.unionByName(last, allowMissingColumns=True)
     seen = fill_last(counters, ["file"], slot, ["ordinal"], {"before": F.col("total")}, strict=True)
     fresh = seen.where(F.col("before").isNull() | (F.col("total") != F.col("before"))).drop("before")
     kept = fill_last(
@@ -27,7 +31,7 @@ def counter_deltas(counters: DataFrame, chunk: int = 65_536) -> DataFrame:
     delta = lambda p: F.when(
         F.coalesce(grown, F.lit(False)), F.greatest(F.lit(0), F.col(p) - F.col(f"prev.{p}"))
     ).otherwise(F.col(f"last_{p}"))
-    return kept.select(
+    return kept.where("ordinal >= 0").select(
         "session_id",
         F.concat_ws(":", "session_id", F.lit("cum"), "total").alias("usage_key"),
         "ts_ms",

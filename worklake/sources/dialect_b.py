@@ -45,8 +45,15 @@ def triage(lines: DataFrame) -> DataFrame:
         type=F.coalesce(V.text(doc, "$.type"), F.lit("<none>")),
         ts=V.text(doc, "$.timestamp"),
         message=V.text(doc, "$.payload.type"),
+        log_ordinal=V.count(doc, "$.ordinal"),
+    )
+    context = F.col("type") == "turn_context"
+    parsed = V.pinned(
+        parsed.drop("value"),
+        ts_ms=V.instant_ms(F.col("ts")),
+        ctx_cwd=F.when(context, V.text(doc, "$.payload.cwd")),
+        ctx_model=F.when(context, V.text(doc, "$.payload.model")),
     )
-    parsed = V.pinned(parsed.drop("value"), ts_ms=V.instant_ms(F.col("ts")))
     return V.pinned(
         parsed,
         disposition=F.when(doc.isNull(), "invalid-json")
@@ -87,13 +94,16 @@ def headers(triaged: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def own_lines(triaged: DataFrame, heads: DataFrame) -> DataFrame:
-    """Lines of the file's own session: copied parent history at a fork's top is removed.
+#: What tells where a line belongs; rows that carry these can be placed without their documents.
+PLACE = ["file", "session_from_name", "ordinal", "ts_ms", "type", "disposition", "log_ordinal", "ctx_cwd", "ctx_model"]
+
+
+def own_lines(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows of the file's own session: copied parent history at a fork's top is removed.
 
     One small header row per file joins back by file.
     """
-    rows = triaged.where(F.col("disposition").isin("context", "known", "unknown"))
-    rows = V.pinned(rows, log_ordinal=V.count(F.col("doc"), "$.ordinal"))
+    rows = rows.where(F.col("disposition").isin("context", "known", "unknown"))
     joined = rows.join(heads, "file", "left")
     copied = (
         F.col("fork_start").isNotNull()
@@ -106,17 +116,24 @@ def own_lines(triaged: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def with_context(lines: DataFrame) -> DataFrame:
-    """Adds cwd and model as set by the nearest turn context at or before each line."""
-    ctx = F.col("type") == "turn_context"
-    filled = sticky(
-        lines,
-        {
-            "ctx_cwd": F.when(ctx, V.text(F.col("doc"), "$.payload.cwd")),
-            "model": F.when(ctx, V.text(F.col("doc"), "$.payload.model")),
-        },
+def with_context(rows: DataFrame) -> DataFrame:
+    """Adds cwd and model as set by the nearest turn context at or before each row.
+
+    Before the first context of these rows holds what the log's header row carries: what earlier
+    chunks have set, then the header's own folder.
+    """
+    filled = sticky(rows, {"near_cwd": F.col("ctx_cwd"), "near_model": F.col("ctx_model")})
+    carried = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    return (
+        filled.withColumn("cwd", F.coalesce("near_cwd", carried("carried_cwd"), "head_cwd"))
+        .withColumn("model", F.coalesce("near_model", carried("carried_model")))
+        .drop("near_cwd", "near_model", "carried_cwd", "carried_model", "ctx_cwd", "ctx_model")
     )
-    return filled.withColumn("cwd", F.coalesce("ctx_cwd", "head_cwd")).drop("ctx_cwd")
+
+
+def _placed(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Own rows with session, cwd and model. Context lines are among them; documents are not."""
+    return with_context(own_lines(rows, heads))
 
 
 def command_text(item: Column) -> Column:
@@ -134,22 +151,23 @@ def _absolute(path: Column, cwd: Column) -> Column:
     )
 
 
-def file_changes(lines: DataFrame, key: bytes) -> DataFrame:
-    """One row per changed path of completed file-change items, with operation and fingerprints."""
-    item = V.node(F.col("doc"), "$.payload.item")
-    changes = F.coalesce(
-        F.try_variant_get(item, "$.changes", "map<string,variant>"),
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")),
+def _change_fields(triaged: DataFrame, key: bytes) -> DataFrame:
+    """One row per path of completed file-change items, with operation and fingerprints; and context lines."""
+    doc = F.col("doc")
+    item = V.node(doc, "$.payload.item")
+    completed = (
+        (F.col("disposition") == "known")
+        & (F.col("message") == "item_completed")
+        & (V.text(doc, "$.payload.item.type") == "FileChange")
+        & (V.text(doc, "$.payload.item.status") == "completed")
     )
-    rows = lines.select("*", F.posexplode(F.map_entries(changes)).alias("change_no", "entry"))
+    rows = triaged.where((F.col("disposition") == "context") | F.coalesce(completed, F.lit(False)))
+    changes = F.map_entries(F.try_variant_get(item, "$.changes", "map<string,variant>"))
+    rows = rows.select(*PLACE, V.text(item, "$.id").alias("item_id"), F.posexplode_outer(changes).alias("change_no", "entry"))
     rows = V.pinned(rows, change=F.col("entry.value"), raw_path=F.col("entry.key")).drop("entry")
     change = F.col("change")
     rows = V.pinned(rows, change_kind=V.text(change, "$.type"), moved=V.text(change, "$.move_path"))
     kind, moved = F.col("change_kind"), F.col("moved")
-    original = _absolute(F.col("raw_path"), F.col("cwd"))
-    target = F.when(moved.isNull(), original).otherwise(
-        F.coalesce(_absolute(moved, F.col("cwd")), original)
-    )
     diff = split_lines(F.coalesce(V.text(change, "$.unified_diff"), F.lit("")))
     body = split_lines(
         F.coalesce(V.text(change, "$.content"), V.text(change, "$.unified_diff"), F.lit(""))
@@ -162,18 +180,16 @@ def file_changes(lines: DataFrame, key: bytes) -> DataFrame:
     none = F.array().cast("array<string>")
     rows = V.pinned(
         rows,
-        original=original,
-        path=target,
         operation=F.when(kind == "add", "create")
         .when((kind == "update") & moved.isNotNull(), "rename")
         .when(kind == "update", "modify")
         .when(kind == "delete", "delete"),
         __added=F.when(kind == "add", whole).when(kind == "update", side("+")).otherwise(none),
         __removed=F.when(kind == "update", side("-")).otherwise(none),
-    ).where("original is not null and operation is not null")
+    ).where("disposition = 'context' or operation is not null")
     composed = lambda c: F.split(nfc(F.array_join(c, "\n")), "\n")
     rows = V.pinned(
-        rows,
+        rows.drop("change", "change_kind"),
         added_raw=F.size("__added"),
         removed_raw=F.size("__removed"),
         __added=composed("__added"),
@@ -182,14 +198,23 @@ def file_changes(lines: DataFrame, key: bytes) -> DataFrame:
     rows = V.pinned(rows, fps=fingerprint_diff(F.col("__added"), F.col("__removed"), key))
     return rows.select(
         "*", F.col("fps.added").alias("added_fps"), F.col("fps.removed").alias("removed_fps")
-    ).drop("__added", "__removed", "fps", "change", "change_kind", "moved", "original", "raw_path")
+    ).drop("__added", "__removed", "fps")
+
+
+def file_changes(triaged: DataFrame, heads: DataFrame, key: bytes) -> DataFrame:
+    """One row per changed path of completed file-change items of own lines, paths made absolute."""
+    rows = _placed(_change_fields(triaged, key), heads).where("operation is not null")
+    original = _absolute(F.col("raw_path"), F.col("cwd"))
+    moved = F.coalesce(_absolute(F.col("moved"), F.col("cwd")), original)
+    path = F.when(F.col("moved").isNull(), original).otherwise(moved)
+    return rows.where(original.isNotNull()).withColumn("path", path).drop("raw_path", "moved")
 
 
-def _simple_events(lines: DataFrame) -> DataFrame:
-    """All messages that stand for one event, file changes of completed items excepted."""
+def _event_fields(triaged: DataFrame) -> DataFrame:
+    """Fields of all messages that stand for one event, file changes of completed items excepted; and context lines."""
     doc, item = F.col("doc"), F.col("item")
-    rows = lines.where("disposition in ('known', 'unknown')").where(
-        "disposition = 'unknown' or not (message <=> 'token_count')"
+    rows = triaged.where("disposition in ('known', 'unknown', 'context')").where(
+        "disposition <> 'known' or not (message <=> 'token_count')"
     )
     is_item = (F.col("disposition") == "known") & (F.col("message") == "item_completed")
     rows = V.pinned(rows, item=F.when(is_item, V.node(doc, "$.payload.item")))
@@ -227,9 +252,11 @@ def _simple_events(lines: DataFrame) -> DataFrame:
     failed, turn_error = F.col("failed"), F.col("turn_error")
     m = F.col("message")
     known = F.col("disposition") == "known"
+    context = F.col("disposition") == "context"
     done = lambda family: F.when(failed, f"{family}.failed").otherwise(f"{family}.completed")
     event_type = (
-        F.when(~known, "unknown")
+        F.when(context, F.lit(None).cast("string"))
+        .when(~known, "unknown")
         .when((m == "task_complete") & turn_error, "error")
         .when(m == "task_complete", "turn.completed")
         .when(m == "turn_aborted", "agent.interrupted")
@@ -291,31 +318,30 @@ def _simple_events(lines: DataFrame) -> DataFrame:
     )
     has_call = k.isNotNull() & tool.isNotNull() & (k != "SubAgentActivity")
     return rows.select(
+        *PLACE,
         vendor_type.alias("provider_event_type"),
-        "session_id",
-        "parent_session_id",
         vendor_id.alias("provider_event_id"),
-        "provider_version",
-        "ts_ms",
         event_type.alias("event_type"),
         outcome.alias("status"),
-        F.when(k == "CommandExecution", F.coalesce(V.text(item, "$.cwd"), F.col("cwd")))
-        .otherwise(F.col("cwd"))
-        .alias("cwd"),
-        F.lit(None).cast("string").alias("git_branch"),
-        "model",
+        F.when(k == "CommandExecution", V.text(item, "$.cwd")).alias("own_cwd"),
         tool.alias("tool_name"),
         category.alias("tool_category"),
         F.when(has_call, F.col("item_id")).alias("call_id"),
         "executable",
         "display",
         "redactions",
-        F.lit(None).cast("string").alias("file_path"),
-        F.lit(None).cast("string").alias("file_operation"),
-        F.when(event_type == "error", "turn-error").alias("error_code"),
-        "file",
-        "ordinal",
-        F.lit(0).alias("seq"),
+    )
+
+
+def _simple_events(triaged: DataFrame, heads: DataFrame) -> DataFrame:
+    """Events of own lines that stand for one each."""
+    rows = _placed(_event_fields(triaged), heads).where("event_type is not null and session_id is not null")
+    return rows.select(
+        "provider_event_type", "session_id", "parent_session_id", "provider_event_id", "provider_version", "ts_ms",
+        "event_type", "status", F.coalesce("own_cwd", "cwd").alias("cwd"), _null("git_branch"), "model",
+        "tool_name", "tool_category", "call_id", "executable", "display", "redactions", _null("file_path"),
+        _null("file_operation"), F.when(F.col("event_type") == "error", "turn-error").alias("error_code"),
+        "file", "ordinal", F.lit(0).alias("seq"),
     )
 
 
@@ -324,7 +350,7 @@ def _null(name: str, kind: str = "string") -> Column:
 
 
 def _edit_events(changes: DataFrame) -> DataFrame:
-    call = V.text(F.col("doc"), "$.payload.item.id")
+    call = F.col("item_id")
     return changes.select(
         F.col("type").alias("provider_event_type"), "session_id", "parent_session_id",
         call.alias("provider_event_id"), "provider_version", "ts_ms",
@@ -350,28 +376,39 @@ def _start_events(heads: DataFrame) -> DataFrame:
     )
 
 
-def token_counters(lines: DataFrame) -> DataFrame:
-    """Cumulative and last-call counters of each token report."""
+#: Names of the counters' parts, here and in the reports.
+COUNTERS = {
+    "input": "input_tokens", "cached": "cached_input_tokens", "output": "output_tokens",
+    "reasoning": "reasoning_output_tokens",
+}
+
+
+def _counter_fields(triaged: DataFrame) -> DataFrame:
+    """Cumulative and last-call counters of token reports; and context lines."""
     doc = F.col("doc")
     total = lambda n: V.count(doc, f"$.payload.info.total_token_usage.{n}")
     last = lambda n: V.count(doc, f"$.payload.info.last_token_usage.{n}")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    parts = {
-        "input": "input_tokens", "cached": "cached_input_tokens", "output": "output_tokens",
-        "reasoning": "reasoning_output_tokens",
-    }
-    return lines.where((F.col("disposition") == "known") & (F.col("message") == "token_count")).where(
-        total("total_tokens").isNotNull()
-    ).select(
-        "file", "session_id", "ordinal", "ts_ms", "model",
-        total("total_tokens").alias("total"),
-        *[zero(total(v)).alias(k) for k, v in parts.items()],
-        *[zero(last(v)).alias(f"last_{k}") for k, v in parts.items()],
+    report = (F.col("disposition") == "known") & (F.col("message") == "token_count")
+    return triaged.where((F.col("disposition") == "context") | report).select(
+        *PLACE,
+        F.when(report, total("total_tokens")).alias("total"),
+        *[zero(total(v)).alias(k) for k, v in COUNTERS.items()],
+        *[zero(last(v)).alias(f"last_{k}") for k, v in COUNTERS.items()],
     )
 
 
-def session_facts(lines: DataFrame, heads: DataFrame) -> DataFrame:
+def token_counters(triaged: DataFrame, heads: DataFrame) -> DataFrame:
+    """Counters of each token report of own lines."""
+    parts = [*COUNTERS, *[f"last_{k}" for k in COUNTERS]]
+    return _placed(_counter_fields(triaged), heads).where("total is not null and session_id is not null").select(
+        "file", "session_id", "ordinal", "ts_ms", "model", "total", *parts
+    )
+
+
+def session_facts(triaged: DataFrame, heads: DataFrame) -> DataFrame:
     place = F.struct("ordinal")
+    lines = _placed(triaged.select(*PLACE), heads)
     spans = lines.where("session_id is not null").groupBy("file", "session_id").agg(
         F.min("ts_ms").alias("first_ms"),
         F.max("ts_ms").alias("last_ms"),
@@ -408,33 +445,77 @@ def thread_names(lines: DataFrame) -> DataFrame:
     )
 
 
-def read(lines: DataFrame, key: bytes) -> Logs:
-    """`lines` carry file, ordinal, value and session_from_name (null when the name has none)."""
+#: What a log carries from one chunk to the next: place, header, context and counter.
+STATE = (
+    "file string, next_ordinal long, session_id string, parent_session_id string, provider_version string, "
+    "head_cwd string, git_branch string, git_head string, head_line_ms long, head_ms long, fork_start long, "
+    "carried_cwd string, carried_model string, total long, input long, cached long, output long, reasoning long"
+)
+_HEAD = [
+    "session_id", "parent_session_id", "provider_version", "head_cwd", "git_branch", "git_head", "head_line_ms",
+    "head_ms", "fork_start",
+]
+
+
+def _heads(triaged: DataFrame, lines: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Headers that these lines bring, and those of all their logs; a log that began before brings none."""
+    fresh = headers(triaged, lines)
+    if state is None:
+        return fresh, fresh
+    fresh = fresh.join(state.select("file"), "file", "left_anti")
+    carried = ["carried_cwd", "carried_model"]
+    return fresh, fresh.select("*", *[_null(c) for c in carried]).unionByName(state.select("file", *_HEAD, *carried))
+
+
+def carry(lines: DataFrame, state: DataFrame) -> DataFrame:
+    """State after these lines: one row a log, whether it has lines here or not."""
     triaged = triage(lines)
-    heads = headers(triaged, lines)
-    own = with_context(own_lines(triaged, heads))
-    completed = own.where(
-        (F.col("disposition") == "known")
-        & (F.col("message") == "item_completed")
-        & (V.text(F.col("doc"), "$.payload.item.type") == "FileChange")
-        & (V.text(F.col("doc"), "$.payload.item.status") == "completed")
-    )
-    changes = file_changes(completed, key)
-    ready = own.where("session_id is not null")
+    _, heads = _heads(triaged, lines, state)
+    latest = lambda value, known: F.max_by(value, F.when(known, F.col("ordinal")))
+    counter = F.struct("total", *COUNTERS)
+    counts = F.col("total").isNotNull() & F.col("session_id").isNotNull()
+    news = own_lines(_counter_fields(triaged), heads).groupBy("file").agg(
+        latest("ctx_cwd", F.col("ctx_cwd").isNotNull()).alias("new_cwd"),
+        latest("ctx_model", F.col("ctx_model").isNotNull()).alias("new_model"),
+        latest(counter, counts).alias("new_counter"),
+    )
+    seen = lines.groupBy("file").agg((F.max("ordinal") + 1).alias("next_ordinal"))
+    kept = state.withColumn("old_counter", counter).drop("next_ordinal", *_HEAD, "total", *COUNTERS)
+    numbers = ["total", *COUNTERS]
+    return (
+        state.select("file", F.col("next_ordinal").alias("old_next")).join(seen, "file", "full_outer")
+        .join(heads.select("file", *_HEAD), "file", "left").join(kept, "file", "left")
+        .join(news, "file", "left")
+        .select(
+            "file", F.coalesce("next_ordinal", "old_next").alias("next_ordinal"), *_HEAD,
+            F.coalesce("new_cwd", "carried_cwd").alias("carried_cwd"), F.coalesce("new_model", "carried_model").alias("carried_model"),
+            *[F.coalesce(f"new_counter.{c}", f"old_counter.{c}").alias(c) for c in numbers],
+        )
+    )
+
+
+def read(lines: DataFrame, key: bytes, state: DataFrame | None = None) -> Logs:
+    """`lines` carry file, ordinal, value and session_from_name (null when the name has none).
+
+    With `state` (see `carry`), lines go on where earlier chunks of their logs ended.
+    """
+    triaged = triage(lines)
+    fresh, heads = _heads(triaged, lines, state)
+    changes = file_changes(triaged, heads, key)
     events = (
-        _simple_events(ready)
+        _simple_events(triaged, heads)
         .unionByName(_edit_events(changes.where("session_id is not null")))
-        .unionByName(_start_events(heads))
+        .unionByName(_start_events(fresh))
         .withColumn("provider", F.lit(PROVIDER))
     )
     patches = changes.where(
         "session_id is not null and (added_raw > 0 or removed_raw > 0)"
     ).select(
-        F.lit(PROVIDER).alias("provider"), "session_id",
-        V.text(F.col("doc"), "$.payload.item.id").alias("call_id"), "ts_ms", "path", "operation",
+        F.lit(PROVIDER).alias("provider"), "session_id", F.col("item_id").alias("call_id"), "ts_ms", "path", "operation",
         "added_fps", "removed_fps", "added_raw", "removed_raw", "file", "ordinal",
         F.col("change_no").alias("pos"),
     )
+    lost = own_lines(triaged.select(*PLACE), heads).where("session_id is null")
     failures = (
         triaged.where(
             F.col("disposition").isin(
@@ -442,16 +523,13 @@ def read(lines: DataFrame, key: bytes) -> Logs:
             )
         )
         .select("file", "ordinal", F.col("disposition").alias("reason"))
-        .unionByName(
-            own.where("session_id is null").select(
-                "file", "ordinal", F.lit("missing-field").alias("reason")
-            )
-        )
+        .unionByName(lost.select("file", "ordinal", F.lit("missing-field").alias("reason")))
     )
     unknown = (
         events.where("event_type = 'unknown'")
         .groupBy(F.col("provider_event_type").alias("type"))
         .agg(F.count("*").alias("n"))
     )
-    usage = counter_deltas(token_counters(ready)).withColumn("provider", F.lit(PROVIDER))
-    return Logs(events, patches, usage, session_facts(ready, heads), failures, unknown)
+    before = None if state is None else state.where("total is not null").select("file", "total", *COUNTERS)
+    usage = counter_deltas(token_counters(triaged, heads), before=before).withColumn("provider", F.lit(PROVIDER))
+    return Logs(events, patches, usage, session_facts(triaged, heads), failures, unknown)

@@ -113,6 +113,6 @@ def plan_reads(listing: DataFrame, ingested: DataFrame, parser_version: str) ->
     )
 
 
-def sticky(lines: DataFrame, values: dict, chunk: int = 65_536) -> DataFrame:
+def sticky(lines: DataFrame, values: dict, chunk_bits: int = 16) -> DataFrame:
     """Last non-null values at or before each line of its file, for files of any length."""
-    return fill_last(lines, ["file"], F.floor(F.col("ordinal") / chunk), ["ordinal"], values)
+    return fill_last(lines, ["file"], F.shiftright("ordinal", chunk_bits), ["ordinal"], values)
