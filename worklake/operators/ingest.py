@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from worklake.operators.ordered import join_known
 
@@ -207,13 +208,37 @@ def place_patches(patches: DataFrame, repos: DataFrame, session_repos: DataFrame
     )
 
 
-def scan_report(counts: dict[str, DataFrame]) -> DataFrame:
-    """name, n per stage output."""
-    rows = None
-    for name, frame in counts.items():
-        one = frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+def counted(df: DataFrame, **counters: Column) -> tuple[DataFrame, Observation]:
+    """`df` whose counters are taken by the action that reads it, without a scan of their own."""
+    seen = Observation()
+    return df.observe(seen, *[c.alias(name) for name, c in counters.items()]), seen
+
+
+def scan_report(spark: SparkSession, seen: list[Observation]) -> DataFrame:
+    """name, n of what was counted; waits for the actions that count."""
+    rows = [(name, n or 0) for one in seen for name, n in one.get.items()]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
+class StreamCounters(StreamingQueryListener):
+    """Totals of the counters that a stream's frames were given by `observe`, over all its batches."""
+
+    def __init__(self):
+        self.totals: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        for row in event.progress.observedMetrics.values():
+            for name, n in row.asDict().items():
+                self.totals[name] = self.totals.get(name, 0) + (n or 0)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
 
 
 def duplicate_calls(patches: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def sync_loops(stored: DataFrame, detected: DataFrame, now_ms: int) -> DataFrame:
@@ -100,9 +101,31 @@ def replace_all(rows: DataFrame, key: list[str], path: str) -> None:
     rows.groupBy(*key).agg(F.min(value).alias("r")).select("r.*").write.parquet(folder)
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The last complete version of a derived table."""
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of complete versions, oldest first."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     folders = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [s.getPath().getParent().toString() for s in folders.globStatus(hadoop(f"{path}/*/_SUCCESS"))]
-    return spark.read.parquet(max(done))
+    found = folders.globStatus(hadoop(f"{path}/*/_SUCCESS"))
+    return sorted(s.getPath().getParent().toString() for s in found or [])
+
+
+def current(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """The last complete version of a derived table; where there is none yet, an empty table of `schema`."""
+    done = _versions(spark, path)
+    if not done and schema is not None:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(done[-1])
+
+
+def drop_versions(spark: SparkSession, path: str, keep_ms: int, now_ms: int) -> int:
+    """Deletes complete versions that were replaced over `keep_ms` ago; returns how many.
+
+    A version is in use until the next one is complete, so what counts is the age of its successor.
+    """
+    done = _versions(spark, path)
+    made = [int(folder.rsplit("/", 1)[1].split("-", 1)[0]) // 1_000_000 for folder in done]
+    gone = [folder for folder, next_ms in zip(done, made[1:], strict=False) if next_ms < now_ms - keep_ms]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in gone:
+        hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(folder), True)
+    return len(gone)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from worklake.bindings import KEY, Domain
 from worklake.functions.text import squeeze
 from worklake.operators import ingest as I
 from worklake.operators import usage as U
+from worklake.operators.incremental import refresh_rows
+from worklake.operators.ordered import checkpoint_dir
 from worklake.plans import log_lines
 from worklake.plans.registry import Registry
 from worklake.plans.text_queries import sql_norm, sql_significant
@@ -93,10 +97,10 @@ def register(q: Registry) -> None:
     @q.add(
         "S03_thread_names",
         """SELECT 'u' || user_id AS session_id, max_by('k' || K[props], event_id) AS title, 'generated' AS title_provenance
-          FROM events WHERE event_type = 'signup' GROUP BY user_id""",
+          FROM events GROUP BY user_id""",
     )
     def _(d):
-        index = d.events.where("event_type = 'signup'").select(
+        index = d.events.select(
             F.lit("session_index.jsonl").alias("file"), F.col("event_id").alias("ordinal"),
             F.to_json(
                 F.struct(
@@ -123,6 +127,20 @@ def register(q: Registry) -> None:
         )
         return S.plan_reads(listing, done, "p@2").groupBy("action").agg(F.count("*").alias("n"))
 
+    @q.add("S04_incremental_events", f"WITH {EVENTS_A} SELECT event_type, count(*) AS n FROM ev GROUP BY 1")
+    def _(d):
+        # Transcripts as files in two folders: the second run finds one grown, one new and one rewritten.
+        run = f"{checkpoint_dir(d.spark)}/logs-{uuid.uuid4().hex}"
+        lines = log_lines.transcripts(d).withColumn("part", F.pmod(F.xxhash64("file"), F.lit(6)))
+        blank = F.when(F.col("part") == 1, F.lit("")).otherwise(F.col("value"))
+        first = lines.where("part < 5 and (part <> 2 or ordinal < 3)").withColumn("value", blank)
+        for written in (first, lines.where("part in (1, 2, 5)")):
+            files = written.repartition("part").sortWithinPartitions("file", "ordinal").select("part", "value").write
+            files = files.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part")
+            files.format("text").save(f"{run}/in")
+            refresh_rows(d.spark, f"{run}/in", f"{run}/store", "1", lambda rows: A.read(rows, KEY).events, 16, "*.txt")
+        return d.spark.read.parquet(f"{run}/store/rows").groupBy("event_type").agg(F.count("*").alias("n"))
+
     @q.add(
         "N01_skip_heavy_lines",
         f"WITH {EVENTS_B} SELECT session_id, count(*) + count(*) FILTER (t IN ('purchase', 'click')) + 1 AS kept FROM e GROUP BY 1",

@@ -13,14 +13,16 @@ from worklake.config import DAY, MINUTE
 from worklake.functions.text import agent_name
 from worklake.operators import detect as D
 from worklake.operators import ingest as I
+from worklake.operators import matching as M
 from worklake.operators import search as R
 from worklake.operators import sessions as S
 from worklake.operators import sync as Y
 from worklake.operators import threads as T
 from worklake.operators import validate as N
-from worklake.operators.ordered import checkpoint_dir
+from worklake.operators.collisions import detect_collisions
+from worklake.operators.ordered import checkpoint_dir, materialize
 from worklake.plans import views as V
-from worklake.plans.match_queries import main_branches
+from worklake.plans.match_queries import SELF_CHECK, SQL_COLLISIONS, collision_frames, main_branches, patch_frames
 from worklake.plans.registry import Registry
 
 FROM_MS, TO_MS = 946_684_800_000, 978_307_200_000  # the year 2000
@@ -554,8 +556,12 @@ def register_storage(q: Registry) -> None:
           UNION ALL SELECT 'failed', count(*) FROM log_events WHERE status = 'failure'""",
     )
     def _(d):
-        ev = d.log_events
-        return I.scan_report({"events": ev, "sessions": ev.select("session_id").distinct(), "failed": ev.where("status = 'failure'")})
+        # What a scan writes is counted as it is written.
+        events, of_events = I.counted(d.log_events, events=F.count(F.lit(1)), failed=F.count_if(F.col("status") == "failure"))
+        stored = materialize(events, "events")
+        sessions, of_sessions = I.counted(stored.groupBy("session_id").agg(F.max("ts_ms").alias("last_ms")), sessions=F.count(F.lit(1)))
+        materialize(sessions, "sessions")
+        return I.scan_report(d.spark, [of_events, of_sessions])
 
     @q.add(
         "A22_duplicate_calls",
@@ -867,18 +873,19 @@ def register_views(q: Registry) -> None:
 
     @q.add(
         "A19_brief_attention",
-        f"""WITH {active}, m AS (SELECT 0 AS section, -started_ms AS pos, 'failure' AS kind, coalesce(title, 'A session') || ' in ' || coalesce(repo_id, 'no repo') || CASE status WHEN 'failed' THEN ' ended with an error' ELSE ' was interrupted' END AS message, session_id
+        f"""WITH {active}, {SQL_COLLISIONS}, met AS (SELECT * FROM result WHERE kind = 'overwrite' OR NOT EXISTS (SELECT 1 FROM result o WHERE o.kind = 'overwrite'
+            AND o.repo_id = result.repo_id AND o.rel_path = result.rel_path AND o.session_a = result.session_a AND o.session_b = result.session_b)),
+          m AS (SELECT 0 AS section, -started_ms AS pos, 'failure' AS kind, coalesce(title, 'A session') || ' in ' || coalesce(repo_id, 'no repo') || CASE status WHEN 'failed' THEN ' ended with an error' ELSE ' was interrupted' END AS message, session_id
           FROM act WHERE status IN ('failed', 'interrupted') AND parent_session_id IS NULL
           UNION ALL SELECT 0, -started_ms, 'awaiting-user', coalesce(title, 'A session') || ' in ' || coalesce(repo_id, 'no repo') || ' is waiting for your answer', session_id FROM act WHERE status = 'awaiting-user'
+          UNION ALL SELECT 1, -end_ms, 'collision', CASE WHEN kind = 'overwrite' THEN 'One agent overwrote another''s unlanded edit in ' ELSE 'Two agents edited ' END || rel_path || ' (' || repo_id || ')', session_b
+            FROM met WHERE end_ms >= {DAY_FROM} AND end_ms < {DAY_TO}
           UNION ALL SELECT 2, -last_ms, 'insight', 'Session ended with an error', session_id FROM act WHERE status = 'failed' AND parent_session_id IS NULL)
-        SELECT kind, message, session_id FROM m ORDER BY section, pos, session_id, message LIMIT 12""",
+        SELECT kind, message, session_id FROM m ORDER BY section, pos, session_id, message LIMIT 5000""",
     )
     def _(d):
-        none = d.loops.where("false").select(
-            F.lit("overwrite").alias("kind"), "repo_id", F.lit("x").alias("rel_path"), F.lit("s").alias("session_b"),
-            F.col("since_ms").alias("end_ms"),
-        )
-        return V.brief_attention(d.sessions, none, D.broken_sessions(d.sessions), DAY_FROM, DAY_TO, 12).select("kind", "message", "session_id")
+        met = detect_collisions(*collision_frames(d))
+        return V.brief_attention(d.sessions, met, D.broken_sessions(d.sessions), DAY_FROM, DAY_TO, 5000).select("kind", "message", "session_id")
 
     @q.add(
         "A18_Q15_report_sessions",
@@ -924,11 +931,13 @@ def register_views(q: Registry) -> None:
 
     @q.add(
         "A23_health_checks",
-        """SELECT 'last-scan' AS name, 'WARN' AS status, CAST(9 AS BIGINT) AS n UNION ALL SELECT 'parser-coverage', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*) FROM log_events WHERE status = 'failure'
-          UNION ALL SELECT 'outcome-self-check', 'PASS', 0""",
+        f"""WITH RECURSIVE {SELF_CHECK} SELECT 'last-scan' AS name, 'WARN' AS status, CAST(9 AS BIGINT) AS n UNION ALL SELECT 'parser-coverage', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*) FROM log_events WHERE status = 'failure'
+          UNION ALL SELECT 'outcome-self-check', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*) FROM checks WHERE confidence = 'low'""",
+        recursive=True,
     )
     def _(d):
-        checks = d.outcomes.select("repo_id", F.lit("normal").alias("confidence"))
+        _, lines, _ = patch_frames(d)
+        checks = M.self_check(lines, d.hits)
         return V.health_checks(d.sessions, d.log_events.where("status = 'failure'"), checks, NOW_MS - 9 * DAY, NOW_MS)
 
     @q.add(
