@@ -59,11 +59,57 @@ def work_branches(sessions: DataFrame, defaults: DataFrame, rules: ThreadRules =
     )
 
 
-def link_keys(sessions: DataFrame, branches: DataFrame, patches: DataFrame, patch_lines: DataFrame) -> DataFrame:
+def rare_files(sessions: DataFrame, patches: DataFrame, rules: ThreadRules = ThreadRules()) -> DataFrame:
+    """(session_id, repo_id, rel_path, n): of each session's n files, those by which a similar one can be found.
+
+    Files are put in one order per repository, the least used first. Sets with a Jaccard similarity of
+    t or more share one of their first n - ceil(t * n) + 1 files, so the rest, the files that most
+    sessions use, need not be looked at.
+    """
+    files = (
+        patches.where("rel_path is not null").select("session_id", "rel_path").distinct()
+        .join(sessions.select("session_id", "repo_id"), "session_id")
+    )
+    used = files.groupBy("repo_id", "rel_path").agg(F.count("*").alias("__used"))
+    sizes = files.groupBy("session_id").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("session_id").orderBy("__used", "rel_path")
+    ranked = files.join(used, ["repo_id", "rel_path"]).withColumn("__rank", F.row_number().over(first)).join(sizes, "session_id")
+    needed = F.col("n") - F.ceil(F.col("n") * rules.min_jaccard - 1e-9) + 1
+    return ranked.where(F.col("__rank") <= needed).select("session_id", "repo_id", "rel_path", "n")
+
+
+def similar_sessions(sessions: DataFrame, patches: DataFrame, rules: ThreadRules = ThreadRules()) -> DataFrame:
+    """(session_id, candidate, shared_files, jaccard) of earlier sessions, not over for long, with similar files.
+
+    A join on rare files, sizes that allow the similarity, and time slots as wide as the longest gap
+    (a later session has one, an earlier one all that it reaches) proposes pairs; whole sets decide.
+    """
+    slot = lambda c: F.floor(F.col(c) / rules.max_gap_ms)
+    rare = rare_files(sessions, patches, rules).join(sessions.select("session_id", "started_ms", "last_ms"), "session_id")
+    later = rare.withColumn("__slot", slot("started_ms"))
+    reach = F.sequence(slot("started_ms"), F.floor((F.greatest("last_ms", "started_ms") + rules.max_gap_ms) / rules.max_gap_ms))
+    earlier = rare.select(
+        F.col("session_id").alias("candidate"), "repo_id", "rel_path", F.col("n").alias("__n"),
+        F.col("started_ms").alias("__start"), F.col("last_ms").alias("__last"), F.explode(reach).alias("__slot"),
+    )
+    before = (F.col("__start") < F.col("started_ms")) | ((F.col("__start") == F.col("started_ms")) & (F.col("candidate") > F.col("session_id")))
+    sized = F.least("n", "__n") >= F.greatest("n", "__n") * rules.min_jaccard - 1e-9
+    pairs = (
+        later.join(earlier, ["repo_id", "rel_path", "__slot"])
+        .where(before & sized & (F.col("started_ms") - F.col("__last") <= rules.max_gap_ms))
+        .select("session_id", "candidate").distinct()
+    )
+    own = patches.where("rel_path is not null").join(sessions.select("session_id"), "session_id", "left_semi")
+    return similar_files(materialize(pairs, "similar-pairs"), own, rules).where(F.col("jaccard") >= rules.min_jaccard)
+
+
+def link_keys(
+    sessions: DataFrame, branches: DataFrame, patches: DataFrame, patch_lines: DataFrame, rules: ThreadRules = ThreadRules()
+) -> DataFrame:
     """Who offers and who needs which key: (kind, key, role, session).
 
-    Branches and files are offered and needed by the same sessions; of lines, the added ones are
-    offered and the removed ones needed.
+    Branches and files (those by which similar sessions are found) are offered and needed by the same
+    sessions; of lines, the added ones are offered and the removed ones needed.
     """
     s = sessions.select("session_id", "repo_id", "started_ms", "last_ms")
     both = F.explode(F.array(F.lit("offer"), F.lit("need"))).alias("role")
@@ -71,7 +117,7 @@ def link_keys(sessions: DataFrame, branches: DataFrame, patches: DataFrame, patc
     out = None
     for kind, rows, col in (
         ("branch", branches.select("session_id", "branch").distinct(), "branch"),
-        ("file", patches.where("rel_path is not null").select("session_id", "rel_path").distinct(), "rel_path"),
+        ("file", rare_files(sessions, patches, rules).select("session_id", "rel_path"), "rel_path"),
     ):
         part = s.join(rows, "session_id").select(
             F.lit(kind).alias("kind"), key(kind, col), both, "session_id", "started_ms", "last_ms"
@@ -236,7 +282,7 @@ def link_sessions(
         "session_id", F.col("parent_session_id").alias("pred")
     )
     subs = materialize(subs, "subs")
-    keys = link_keys(base, work_branches(base, defaults, rules), patches, patch_lines)
+    keys = link_keys(base, work_branches(base, defaults, rules), patches, patch_lines, rules)
     offers, needs = number_offers(keys)
     offers = materialize(offers, "offers")
     needs = materialize(needs.join(subs, "session_id", "left_anti"), "needs")

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from worklake.bindings import KEY, Domain
-from worklake.config import ThreadRules
 from worklake.operators import collisions as C
 from worklake.operators import history as G
 from worklake.operators import ingest as I
@@ -169,6 +168,41 @@ SQL_COLLISIONS = """
         CASE WHEN kind <> 'overwrite' THEN CAST(floor((f.tb - f.ta) / 60000 + 0.5) AS BIGINT) END AS minutes_apart FROM firsts)"""
 
 
+#: Sessions in order with their qualifying candidates, and the walk that picks a predecessor for one after the other.
+SQL_LINKS = """
+    s AS (SELECT x.session_id, coalesce(x.repo_id, p.repo_id) AS repo_id, x.parent_session_id, x.started_ms, x.last_ms, x.git_branch_start AS b1, x.git_branch_end AS b2,
+        p.started_ms AS pstart
+      FROM sessions x LEFT JOIN sessions p ON p.session_id = x.parent_session_id
+      WHERE coalesce(x.repo_id, p.repo_id) IS NOT NULL),
+    uses AS (SELECT session_id, repo_id, started_ms, last_ms, unnest([b1, b2]) AS branch, unnest([0, 1]) AS branch_no FROM s),
+    spans AS (SELECT repo_id, branch FROM uses WHERE branch IS NOT NULL AND branch NOT IN ('HEAD', 'main') GROUP BY 1, 2 HAVING max(last_ms) - min(started_ms) <= 1209600000),
+    wb AS (SELECT session_id, u.branch, min(branch_no) AS branch_no FROM uses u JOIN spans USING (repo_id, branch) GROUP BY 1, 2),
+    files AS (SELECT DISTINCT session_id, rel_path FROM patches), sizes AS (SELECT session_id, count(*) AS n FROM files GROUP BY 1),
+    added AS (SELECT DISTINCT session_id, fp FROM patch_lines WHERE side = 'added'), removed AS (SELECT DISTINCT session_id, fp FROM patch_lines WHERE side = 'removed'),
+    pairs AS (SELECT s.session_id, c.session_id AS cand, c.started_ms AS cstart FROM s JOIN s c ON c.repo_id = s.repo_id
+        AND (c.started_ms < s.started_ms OR (c.started_ms = s.started_ms AND c.session_id > s.session_id)) AND s.started_ms - c.last_ms <= 259200000),
+    shared AS (SELECT p.session_id, cand, count(*) AS n FROM pairs p JOIN files a ON a.session_id = p.session_id JOIN files b ON b.session_id = cand AND b.rel_path = a.rel_path GROUP BY 1, 2),
+    good AS (SELECT p.session_id, cand FROM pairs p JOIN wb a ON a.session_id = p.session_id JOIN wb b ON b.session_id = cand AND b.branch = a.branch
+      UNION SELECT p.session_id, cand FROM pairs p JOIN removed a ON a.session_id = p.session_id JOIN added b ON b.session_id = cand AND b.fp = a.fp
+      UNION SELECT h.session_id, cand FROM shared h JOIN sizes x ON x.session_id = h.session_id JOIN sizes y ON y.session_id = cand WHERE h.n / (x.n + y.n - h.n) >= 0.3),
+    inorder AS (SELECT session_id, repo_id, started_ms, CASE WHEN parent_session_id IN (SELECT session_id FROM s) AND (pstart < started_ms OR (pstart = started_ms AND parent_session_id > s.session_id)) THEN parent_session_id END AS parent
+      FROM s)"""
+#: A session is settled once all it may follow are; those that just were settled (walk) make others ready.
+SQL_THREADS = f"""{SQL_LINKS},
+    deps AS (SELECT session_id, started_ms, parent AS dep, CAST(0 AS BIGINT) AS cstart, true AS is_parent FROM inorder WHERE parent IS NOT NULL
+      UNION ALL SELECT o.session_id, o.started_ms, cand, cstart, false FROM inorder o JOIN pairs USING (session_id) JOIN good USING (session_id, cand) WHERE parent IS NULL),
+    totals AS (SELECT session_id, count(*) AS n FROM deps GROUP BY 1),
+    walk(session_id, pred, root, t) USING KEY (session_id) AS (
+      SELECT session_id, CAST(NULL AS VARCHAR), session_id, started_ms FROM inorder WHERE session_id NOT IN (SELECT session_id FROM deps)
+      UNION
+      SELECT session_id, f.dep, coalesce(f.root, session_id), coalesce(f.t, started_ms) FROM (
+        SELECT d.session_id, any_value(d.started_ms) AS started_ms, count(*) AS n,
+          arg_min({{'dep': d.dep, 'root': r.root, 't': r.t}}, {{'s': -d.cstart, 'c': d.dep}}) FILTER (d.is_parent OR d.started_ms - r.t <= 604800000) AS f
+        FROM deps d JOIN recurring.walk r ON r.session_id = d.dep
+        WHERE d.session_id IN (SELECT x.session_id FROM walk w JOIN deps x ON x.dep = w.session_id) GROUP BY d.session_id) AS ready
+      JOIN totals USING (session_id, n))"""
+
+
 SELF_CHECK = f"""{PATCH_LINES},
         files AS (SELECT DISTINCT repo_id, rel_path FROM pl),
         f(rel_path, i, h) AS (SELECT DISTINCT rel_path, 0, CAST(2166136261 AS BIGINT) FROM files
@@ -358,32 +392,25 @@ def register(q: Registry) -> None:
         _, lines, _ = patch_frames(d)
         return M.match_snapshots(lines, d.snapshots).select("patch_id", "fp", "in_tree", "in_head")
 
+    @q.add("J08_J09_latest_candidates", f"WITH RECURSIVE {SQL_THREADS} SELECT session_id, pred FROM walk", recursive=True)
+    def _(d):
+        return T.link_sessions(d.sessions, d.patches, d.patch_lines, main_branches(d)).select("session_id", "pred")
+
     @q.add(
-        "J08_J09_latest_candidates",
-        """WITH s AS (SELECT x.session_id, coalesce(x.repo_id, p.repo_id) AS repo_id, x.parent_session_id, x.started_ms, x.last_ms, x.git_branch_start AS b1, x.git_branch_end AS b2,
-            p.started_ms AS pstart
-          FROM sessions x LEFT JOIN sessions p ON p.session_id = x.parent_session_id
-          WHERE coalesce(x.repo_id, p.repo_id) IS NOT NULL),
-        uses AS (SELECT session_id, repo_id, started_ms, last_ms, unnest([b1, b2]) AS branch FROM s),
-        spans AS (SELECT repo_id, branch FROM uses WHERE branch IS NOT NULL AND branch NOT IN ('HEAD', 'main') GROUP BY 1, 2 HAVING max(last_ms) - min(started_ms) <= 1209600000),
-        wb AS (SELECT DISTINCT session_id, u.branch FROM uses u JOIN spans USING (repo_id, branch)),
-        files AS (SELECT DISTINCT session_id, rel_path FROM patches), sizes AS (SELECT session_id, count(*) AS n FROM files GROUP BY 1),
-        added AS (SELECT DISTINCT session_id, fp FROM patch_lines WHERE side = 'added'), removed AS (SELECT DISTINCT session_id, fp FROM patch_lines WHERE side = 'removed'),
-        pairs AS (SELECT s.session_id, c.session_id AS cand, c.started_ms AS cstart FROM s JOIN s c ON c.repo_id = s.repo_id
-            AND (c.started_ms < s.started_ms OR (c.started_ms = s.started_ms AND c.session_id > s.session_id)) AND s.started_ms - c.last_ms <= 259200000),
-        shared AS (SELECT p.session_id, cand, count(*) AS n FROM pairs p JOIN files a ON a.session_id = p.session_id JOIN files b ON b.session_id = cand AND b.rel_path = a.rel_path GROUP BY 1, 2),
-        good AS (SELECT p.session_id, cand FROM pairs p JOIN wb a ON a.session_id = p.session_id JOIN wb b ON b.session_id = cand AND b.branch = a.branch
-          UNION SELECT p.session_id, cand FROM pairs p JOIN removed a ON a.session_id = p.session_id JOIN added b ON b.session_id = cand AND b.fp = a.fp
-          UNION SELECT h.session_id, cand FROM shared h JOIN sizes x ON x.session_id = h.session_id JOIN sizes y ON y.session_id = cand WHERE h.n / (x.n + y.n - h.n) >= 0.3),
-        ok AS (SELECT p.* FROM pairs p JOIN good USING (session_id, cand)),
-        best AS (SELECT session_id, arg_min(cand, {'s': -cstart, 'c': cand}) AS cand FROM ok GROUP BY 1)
-        SELECT s.session_id, CASE WHEN parent_session_id IN (SELECT session_id FROM s) AND (pstart < started_ms OR (pstart = started_ms AND parent_session_id > s.session_id))
-          THEN parent_session_id ELSE cand END AS pred FROM s LEFT JOIN best USING (session_id)""",
+        "J08_J09_similar_sessions",
+        """WITH files AS (SELECT DISTINCT p.repo_id, p.session_id, rel_path FROM patches p JOIN sessions s ON s.session_id = p.session_id AND s.repo_id = p.repo_id),
+        sizes AS (SELECT session_id, count(*) AS n FROM files GROUP BY 1),
+        shared AS (SELECT a.session_id, b.session_id AS candidate, count(*) AS shared_files FROM files a JOIN files b ON b.repo_id = a.repo_id AND b.rel_path = a.rel_path GROUP BY 1, 2)
+        SELECT h.session_id, candidate, shared_files, round(shared_files / (x.n + y.n - shared_files), 6) AS jaccard
+        FROM shared h JOIN sizes x ON x.session_id = h.session_id JOIN sizes y ON y.session_id = candidate
+          JOIN sessions s ON s.session_id = h.session_id JOIN sessions c ON c.session_id = candidate
+        WHERE (c.started_ms < s.started_ms OR (c.started_ms = s.started_ms AND c.session_id > s.session_id))
+          AND s.started_ms - c.last_ms <= 259200000 AND shared_files / (x.n + y.n - shared_files) >= 0.3""",
     )
     def _(d):
-        rules = ThreadRules(max_span_ms=10**15)
-        linked = T.link_sessions(d.sessions, d.patches, d.patch_lines, main_branches(d), rules)
-        return linked.select("session_id", "pred")
+        sessions = d.sessions.where("repo_id is not null")
+        found = T.similar_sessions(sessions, d.patches)
+        return found.withColumn("jaccard", F.round("jaccard", 6))
 
     @q.add("J10_J13_D06_collisions", f"WITH {SQL_COLLISIONS} SELECT * FROM result WHERE kind = 'overwrite' OR NOT EXISTS (SELECT 1 FROM result o WHERE o.kind = 'overwrite' AND o.repo_id = result.repo_id AND o.rel_path = result.rel_path AND o.session_a = result.session_a AND o.session_b = result.session_b)")
     def _(d):
@@ -487,12 +514,25 @@ def register_graph(q: Registry) -> None:
     def _(d):
         return G.reverted_commits(d.commits)
 
-    @q.add("G01_threads")
+    @q.add("G01_threads", f"WITH RECURSIVE {SQL_THREADS} SELECT session_id, pred, root FROM walk", recursive=True)
     def _(d):
         linked = T.link_sessions(d.sessions, d.patches, d.patch_lines, main_branches(d))
         return linked.select("session_id", "pred", "root")
 
-    @q.add("G01_link_evidence")
+    @q.add(
+        "G01_link_evidence",
+        f"""WITH RECURSIVE {SQL_THREADS}, l AS (SELECT w.session_id, w.pred, o.parent FROM walk w JOIN inorder o USING (session_id) WHERE w.pred IS NOT NULL),
+        b AS (SELECT l.session_id, arg_min(x.branch, x.branch_no) AS branch FROM l JOIN wb x ON x.session_id = l.session_id JOIN wb y ON y.session_id = l.pred AND y.branch = x.branch GROUP BY 1),
+        r AS (SELECT l.session_id, count(*) AS lines FROM l JOIN removed x ON x.session_id = l.session_id JOIN added y ON y.session_id = l.pred AND y.fp = x.fp GROUP BY 1),
+        f AS (SELECT l.session_id, count(*) AS shared_files FROM l JOIN files x ON x.session_id = l.session_id JOIN files y ON y.session_id = l.pred AND y.rel_path = x.rel_path GROUP BY 1),
+        e AS (SELECT l.*, branch, lines, shared_files, shared_files / (p.n + q.n - shared_files) AS jaccard,
+            CASE WHEN parent = pred THEN 'continuation' WHEN branch IS NOT NULL THEN 'same-branch' WHEN lines > 0 THEN 'line-overlap' ELSE 'file-overlap' END AS kind
+          FROM l LEFT JOIN b USING (session_id) LEFT JOIN r USING (session_id) LEFT JOIN f USING (session_id)
+            LEFT JOIN sizes p ON p.session_id = l.session_id LEFT JOIN sizes q ON q.session_id = l.pred)
+        SELECT pred AS from_session_id, session_id AS to_session_id, kind, CASE WHEN kind = 'same-branch' THEN branch END AS branch, CASE WHEN kind = 'line-overlap' THEN lines END AS lines,
+          CASE WHEN kind = 'file-overlap' THEN round(jaccard, 2) END AS jaccard, CASE WHEN kind = 'file-overlap' THEN shared_files END AS shared_files FROM e""",
+        recursive=True,
+    )
     def _(d):
         linked = T.link_sessions(d.sessions, d.patches, d.patch_lines, main_branches(d))
         return T.link_evidence(linked, d.sessions, d.patches, d.patch_lines, main_branches(d))
