@@ -138,11 +138,18 @@ def test_pages_with_long_urls(spark):
 def test_pairs(spark):
     rows = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 1, "assistant", "no"), (1, 0, "user", "hi"), (2, None, None, None),
-        (4, 0, "user", "q"), (5, 0, "user", "q"), (None, 0, "user", "lost"), (4, 0, "user", "q"),
+        (4, 0, "user", "q"), (4, 0, "user", "q"), (5, 0, "assistant", "a"), (5, 1, "user", "more"), (6, 0, "assistant", None),
+        (None, 0, "user", "lost"), (None, 0, "user", "lost"), (None, 1, "assistant", "x" * 100_000),
     ]
-    turns = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, pair_id int")
-    got = {r.pair_id: r for r in preferences.report(turns).collect()}
+    turns = spark.createDataFrame([(*r, 7, 8) for r in rows], "conv_id long, turn long, role string, text string, pair_id int, lone int")
+    out = preferences.report(turns).collect()
+    got = {r.pair_id: r for r in out if r.pair_id is not None}
     assert got[0].prompt == "<|user|>\nhi<|end|>\n" and got[0].chosen == "<|assistant|>\nyes<|end|>\n"
-    assert got[0].rejected_mask == "14:0,10:1" and not got[0].same
-    assert got[1].chosen == "<|unknown|>\n<|end|>\n" and got[1].rejected == ""
-    assert got[2].n_prompt_turns == 1 and got[2].chosen.count("q") == 1 and got[None].chosen.count("lost") == 1
+    assert got[0].rejected == "<|assistant|>\nno<|end|>\n" and got[0].rejected_mask == "14:0,10:1" and not got[0].same
+    assert got[1].same and got[1].prompt.endswith("no<|end|>\n") and got[2].prompt == "<|unknown|>\n<|end|>\n"  # no next, no assistant
+    assert got[4].n_prompt_turns == 2 and got[4].same
+    assert got[5].n_prompt_turns == 0 and got[5].rejected == "<|assistant|>\n<|end|>\n<|user|>\nmore<|end|>\n"
+    lost = [r for r in out if r.pair_id is None]  # each turn without a conversation is one of its own
+    assert sorted(len(r.prompt) for r in lost) == [23, 23, 100_022] and all(r.same and r.n_prompt_turns == 1 for r in lost)
+    pairs = spark.createDataFrame([(1, "chosen", 0, "user", "a"), (1, "rejected", 0, "user", "b"), (None, "rejected", 0, "user", "c")], "pair_id long, side string, turn long, role string, text string")
+    assert sorted((str(r.pair_id), r.chosen[-9:], r.rejected[-9:]) for r in preferences.format_pairs(pairs).collect()) == [("1", "a<|end|>\n", "b<|end|>\n"), ("None", "", "c<|end|>\n")]

@@ -51,8 +51,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("n_near")
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,15 +145,17 @@ from w left join k on k.doc_id = w.doc_id
 """,
     "op5_preference_pairs": r"""
 with t as (
-  select cast(floor(conv_id / 2.0) as bigint) as pair_id, ((conv_id % 2) + 2) % 2 as side,
+  select conv_id, case when conv_id is null then row_number() over () end as lone,
     {'turn': turn, 'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')} as t
   from conversations
 ),
-p as (
-  select pair_id, coalesce(list_sort(list(t) filter (side is distinct from 1)), []) as c,
-    coalesce(list_sort(list(t) filter (side = 1)), []) as r
-  from t group by pair_id
+e as (select conv_id, max({'turn': t.turn, 'text': t.text}) as e from t where t.role = 'assistant' and conv_id is not null group by conv_id),
+x as (
+  select t.conv_id as pair_id, lone, t as c, case when t.role = 'assistant' and t.turn is not distinct from e.e.turn and t.text = e.e.text
+    and o.e is not null then {'turn': t.turn, 'role': t.role, 'text': o.e.text} else t end as r
+  from t left join e on e.conv_id = t.conv_id left join e as o on o.conv_id = t.conv_id + 1
 ),
+p as (select pair_id, list_sort(list(c)) as c, list_sort(list(r)) as r from x group by pair_id, lone),
 k as (
   select pair_id, c, r, coalesce(list_min(list_filter(generate_series(0, least(len(c), len(r)) - 1),
     lambda i: c[i + 1].role <> r[i + 1].role or c[i + 1].text <> r[i + 1].text)), least(len(c), len(r))) as k
@@ -194,10 +195,27 @@ h as (select doc_id, count(distinct i + j) as n_hit from f, unnest(generate_seri
 m as (
   select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
   from (select distinct doc_id, cast(item_id as varchar) as item_id from f) group by doc_id
+),
+tm as (select k, t, min(o) as o from (select k, unnest(k) as t, generate_subscripts(k, 1) as o from (select distinct k from k)) group by k, t),
+sn as (select t, count(*) as n from (select unnest(ws) as t from d) where t in (select t from tm) group by t),
+rk as (
+  select k, tm.t, row_number() over (partition by k order by n, o, tm.t) as rn, count(n) over (partition by k) as present, words
+  from (select *, count(*) over (partition by k) as words from tm) as tm left join sn on sn.t = tm.t
+  where len(k) >= 10 qualify n is not null
+),
+an as (select k, t, words from rk where rn <= present - ceil(words * 0.8) + 1),
+ps as (
+  select doc_id, ws[i] as t, list_slice(ws, greatest(i - 9, 1), i + 9) as around
+  from d, unnest(generate_series(1, len(ws))) as u(i) where ws[i] in (select t from an)
+),
+nr as (select distinct doc_id, k from ps join an using (t) where 10 * len(list_intersect(around, k)) >= 8 * words),
+nn as (
+  select doc_id, count(distinct item_id) as n_near from nr join k using (k)
+  where (doc_id, item_id) not in (select (doc_id, item_id) from f) group by doc_id
 )
 select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join h on h.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from d left join h on h.doc_id = d.doc_id left join m on m.doc_id = d.doc_id left join nn on nn.doc_id = d.doc_id
 """,
     "op8_near_duplicates": r"""
 with recursive w as (
