@@ -2,83 +2,120 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklake.config import TRUNK_SPAN_MS
-from worklake.operators.ordered import materialize
+from worklake.operators.ordered import asof, materialize
 
 REVERT = r"This reverts commit ([0-9a-f]{7,40})"
 
 
-def jump_tables(parents: DataFrame, doublings: int = 4) -> list[DataFrame]:
-    """Per level k, each commit's first-parent ancestors at distances 1..15 times 16^k.
+@dataclass(frozen=True)
+class History:
+    """A reachability index: first-parent chains, and where one chain leads into another.
 
-    One join per level then closes a chain of any length; a level holds at most 15 rows a commit.
+    `commits` has one row a commit: repo_id, sha, chain, place (from the chain's oldest commit, 0).
+    `crossings` are the parents outside a commit's own chain: repo_id, chain, place, to_chain, to_place.
+    Reaching a commit means reaching all lower places of its chain, so a set of reached commits is one
+    highest place per chain.
     """
-    tables = []
-    unit = parents.where("parent_no = 0").select(
-        "repo_id", "sha", F.col("parent_sha").alias("up"), F.lit(1).alias("dist")
+
+    commits: DataFrame
+    crossings: DataFrame
+
+
+def history_index(parents: DataFrame) -> History:
+    """Index of (repo_id, sha, parent_sha, parent_no); written.
+
+    Of a commit's first-parent children one goes on with its chain, the others start chains of their own.
+    Chains and places come from pointer doubling: one row a commit and round, and as many rounds as the
+    binary logarithm of the longest chain. All joins are on (repo_id, sha), so one giant repository
+    spreads over all tasks.
+    """
+    parents = parents.where("parent_sha is not null")
+    first = parents.where("parent_no = 0").select("repo_id", "sha", "parent_sha")
+    heirs = first.groupBy("repo_id", "parent_sha").agg(F.min("sha").alias("sha")).select("repo_id", "sha", F.col("parent_sha").alias("down"))
+    shas = parents.select("repo_id", "sha").unionByName(parents.select("repo_id", F.col("parent_sha").alias("sha"))).distinct()
+    steps = shas.join(heirs, ["repo_id", "sha"], "left").select(
+        "repo_id", "sha", F.coalesce("down", "sha").alias("chain"), F.when(F.col("down").isNull(), 0).otherwise(1).cast("long").alias("place")
     )
+    steps = materialize(steps, "chains")
     while True:
-        level = unit
-        for i in range(doublings):
-            far = level.where(F.col("dist") == 2**i).select(
-                "repo_id", "sha", F.col("up").alias("mid")
-            )
-            rest = level.select("repo_id", F.col("sha").alias("mid"), "up", "dist")
-            longer = far.join(rest, ["repo_id", "mid"]).select(
-                "repo_id", "sha", "up", (F.col("dist") + 2**i).alias("dist")
-            )
-            level = materialize(level.unionByName(longer), "jump")
-            if i == 0 and level.isEmpty():
-                return tables
-        tables.append(level.where(F.col("dist") < 2**doublings).select("repo_id", "sha", "up"))
-        unit = level.where(F.col("dist") == 2**doublings).withColumn("dist", F.lit(1))
-
-
-def _lowest(df: DataFrame) -> DataFrame:
-    return df.groupBy("repo_id", "sha").agg(F.min("label").alias("label"))
-
-
-def propagate_labels(
-    seeds: DataFrame, parents: DataFrame, jumps: list[DataFrame] | None = None
-) -> DataFrame:
-    """Smallest seed label that reaches each commit: (repo_id, sha, label).
+        below = steps.select("repo_id", F.col("sha").alias("chain"), F.col("chain").alias("__chain"), F.col("place").alias("__place"))
+        steps = materialize(
+            steps.join(below, ["repo_id", "chain"]).select(
+                "repo_id", "sha", F.col("__chain").alias("chain"), (F.col("place") + F.col("__place")).alias("place"),
+                (F.col("__place") > 0).alias("moved"),
+            ),
+            "chains",
+        )
+        if steps.where("moved").isEmpty():
+            break
+        steps = steps.drop("moved")
+    commits = steps.drop("moved")
+    to = commits.select("repo_id", F.col("sha").alias("parent_sha"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
+    outside = parents.join(heirs.withColumnRenamed("down", "parent_sha"), ["repo_id", "sha", "parent_sha"], "left_anti").unionByName(
+        parents.where("parent_no > 0"), allowMissingColumns=True
+    )
+    crossings = outside.select("repo_id", "sha", "parent_sha").distinct().join(commits, ["repo_id", "sha"]).join(to, ["repo_id", "parent_sha"])
+    return History(commits, materialize(crossings.select("repo_id", "chain", "place", "to_chain", "to_place"), "crossings"))
+
+
+def _stairs(reached: DataFrame) -> DataFrame:
+    """Per chain the labels that are the smallest at some place: the smaller a label, the lower it ends."""
+    best = reached.groupBy("repo_id", "chain", "label").agg(F.max("place").alias("place"))
+    smaller = Window.partitionBy("repo_id", "chain").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.max("place").over(smaller)
+    return best.withColumn("__covered", covered).where("__covered is null or place > __covered").drop("__covered")
 
-    `seeds` are (repo_id, sha, label); `parents` (repo_id, sha, parent_sha, parent_no). Following a
-    history of n commits one step at a time would take n jobs. First parents form chains, so labels
-    run down whole chains by `jump_tables` in log16(length) joins; a round then crosses the merge
-    parents of what changed. Rounds are as many as merges are nested. Each join is on (repo, sha),
-    so one giant repository spreads over all tasks.
+
+def reach(seeds: DataFrame, index: History) -> DataFrame:
+    """(repo_id, chain, label, place): up to which place of which chain each seed's label gets; written.
+
+    `seeds` are (repo_id, sha, label). A label that no commit would have as its smallest is dropped, as
+    it can't be the smallest of their ancestors either. Rounds are as many as merges are nested, and
+    work on chains, not commits.
     """
-    jumps = jump_tables(parents) if jumps is None else jumps
-    side = parents.where("parent_no > 0").select("repo_id", "sha", "parent_sha")
-    known = None
-    frontier = _lowest(seeds.select("repo_id", "sha", "label"))
+    start = seeds.join(index.commits, ["repo_id", "sha"], "left").select(
+        "repo_id", F.coalesce("chain", "sha").alias("chain"), "label", F.coalesce("place", F.lit(0)).cast("long").alias("place")
+    )
+    known = materialize(_stairs(start), "reached")
+    news = known.withColumn("was", F.lit(-1).cast("long"))
     while True:
-        for jump in jumps:
-            down = frontier.join(jump, ["repo_id", "sha"]).select(
-                "repo_id", F.col("up").alias("sha"), "label"
-            )
-            frontier = materialize(_lowest(frontier.unionByName(down)), "labels")
-        merged = frontier if known is None else _lowest(known.unionByName(frontier))
-        crossed = frontier.join(side, ["repo_id", "sha"]).select(
-            "repo_id", F.col("parent_sha").alias("sha"), "label"
+        crossed = news.join(index.crossings.withColumnRenamed("place", "__at"), ["repo_id", "chain"]).where("__at <= place and __at > was")
+        crossed = crossed.select("repo_id", F.col("to_chain").alias("chain"), "label", F.col("to_place").alias("place"))
+        now = materialize(_stairs(known.unionByName(crossed)), "reached")
+        was = known.withColumnRenamed("place", "was")
+        news = materialize(
+            now.join(was, ["repo_id", "chain", "label"], "left").where("was is null or place > was").withColumn("was", F.coalesce("was", F.lit(-1).cast("long"))),
+            "reached-news",
         )
-        known = materialize(merged, "labels")
-        old = known.withColumnRenamed("label", "__old")
-        frontier = materialize(
-            _lowest(crossed)
-            .join(old, ["repo_id", "sha"], "left")
-            .where("__old is null or label < __old")
-            .drop("__old"),
-            "labels",
-        )
-        if frontier.isEmpty():
+        known = now
+        if news.isEmpty():
             return known
 
 
+def labels_of(reached: DataFrame, seeds: DataFrame, index: History) -> DataFrame:
+    """(repo_id, sha, label) of every commit that is reached: the label that ends at the nearest place above."""
+    at = index.commits.select("repo_id", "chain", "place").join(reached.select("repo_id", "chain").distinct(), ["repo_id", "chain"], "left_semi")
+    found = asof(at, reached, ["repo_id", "chain"], ["place"], ["label"], 65_536, forward=True).where("label is not null")
+    alone = seeds.join(index.commits, ["repo_id", "sha"], "left_anti").groupBy("repo_id", "sha").agg(F.min("label").alias("label"))
+    return index.commits.join(found, ["repo_id", "chain", "place"]).select("repo_id", "sha", "label").unionByName(alone)
+
+
+def propagate_labels(seeds: DataFrame, parents: DataFrame, index: History | None = None) -> DataFrame:
+    """Smallest seed label that reaches each commit: (repo_id, sha, label).
+
+    `seeds` are (repo_id, sha, label); `parents` (repo_id, sha, parent_sha, parent_no).
+    """
+    index = index or history_index(parents)
+    seeds = materialize(seeds.select("repo_id", "sha", "label"), "seeds")
+    return labels_of(reach(seeds, index), seeds, index)
+
+
 def within_floor(parents: DataFrame, commits: DataFrame) -> DataFrame:
     """Parent edges whose both ends are in the (date-floored) commits."""
     have = commits.select("repo_id", "sha")
@@ -118,13 +155,13 @@ def default_tips(refs: DataFrame, defaults: DataFrame) -> DataFrame:
     ).select("repo_id", "sha")
 
 
-def on_default(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def on_default(refs: DataFrame, parents: DataFrame, index: History | None = None) -> DataFrame:
     """Commits reachable from the default branch."""
     tips = default_tips(refs, default_branch(refs)).withColumn("label", F.lit("default"))
-    return propagate_labels(tips, parents).select("repo_id", "sha")
+    return propagate_labels(tips, parents, index).select("repo_id", "sha")
 
 
-def working_trunk(refs: DataFrame, parents: DataFrame, commits: DataFrame) -> DataFrame:
+def working_trunk(refs: DataFrame, parents: DataFrame, commits: DataFrame, index: History | None = None) -> DataFrame:
     """Checked-out branch that contains the default tip and has run ahead for over 14 days."""
     defaults = default_branch(refs)
     head = refs.where("ref = 'HEAD' and target is not null").select(
@@ -133,17 +170,15 @@ def working_trunk(refs: DataFrame, parents: DataFrame, commits: DataFrame) -> Da
     other = head.join(defaults, "repo_id").where(
         "head <> default_branch and head <> regexp_replace(default_branch, '^origin/', '')"
     )
-    jumps = jump_tables(parents)
-    ahead = propagate_labels(
-        other.select("repo_id", "sha", F.lit("head").alias("label")), parents, jumps
-    )
+    index = index or history_index(parents)
+    ahead = propagate_labels(other.select("repo_id", "sha", F.lit("head").alias("label")), parents, index)
     tips = default_tips(refs, defaults)
     contains = (
         tips.join(ahead.select("repo_id", "sha", F.lit(True).alias("__in")), ["repo_id", "sha"], "left")
         .groupBy("repo_id")
         .agg(F.bool_and(F.coalesce("__in", F.lit(False))).alias("contains_default"))
     )
-    base = propagate_labels(tips.withColumn("label", F.lit("default")), parents, jumps)
+    base = propagate_labels(tips.withColumn("label", F.lit("default")), parents, index)
     own = (
         ahead.join(base.select("repo_id", "sha"), ["repo_id", "sha"], "left_anti")
         .join(commits.select("repo_id", "sha", "commit_ms"), ["repo_id", "sha"])
@@ -158,17 +193,18 @@ def working_trunk(refs: DataFrame, parents: DataFrame, commits: DataFrame) -> Da
     )
 
 
-def branch_of(refs: DataFrame, parents: DataFrame, default_commits: DataFrame) -> DataFrame:
-    """A branch for each commit off the default branch: the first by name that reaches it."""
+def branch_of(refs: DataFrame, parents: DataFrame, default_commits: DataFrame, index: History | None = None) -> DataFrame:
+    """A branch for each commit off the default branch: the first by name that reaches it.
+
+    What such a commit is reached through is off the default branch as well, so the whole history's
+    index serves.
+    """
     name = F.regexp_replace("ref", "^refs/(heads|remotes/[^/]+)/", "")
-    off = lambda df, col: df.join(
-        default_commits.select("repo_id", F.col("sha").alias(col)), ["repo_id", col], "left_anti"
-    )
+    off = lambda df: df.join(default_commits.select("repo_id", "sha"), ["repo_id", "sha"], "left_anti")
     tips = refs.where("target is null and ref rlike '^refs/(heads|remotes)/'").select(
         "repo_id", "sha", name.alias("label")
     )
-    open_parents = off(off(parents, "sha"), "parent_sha")
-    return propagate_labels(off(tips, "sha"), open_parents).withColumnRenamed("label", "branch")
+    return off(propagate_labels(off(tips), parents, index)).withColumnRenamed("label", "branch")
 
 
 def reverted_commits(commits: DataFrame) -> DataFrame:

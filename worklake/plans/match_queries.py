@@ -504,7 +504,8 @@ def register_graph(q: Registry) -> None:
         recursive=True,
     )
     def _(d):
-        return G.branch_of(d.refs, d.commit_parents, G.on_default(d.refs, d.commit_parents))
+        index = G.history_index(d.commit_parents)
+        return G.branch_of(d.refs, d.commit_parents, G.on_default(d.refs, d.commit_parents, index), index)
 
     @q.add(
         "G08_J19_reverted_commits",
