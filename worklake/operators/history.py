@@ -27,12 +27,20 @@ class History:
     crossings: DataFrame
 
 
+def _jump(steps: DataFrame, known: DataFrame) -> DataFrame:
+    """Each commit's pointer followed by that of where it points; `moved` is how much further that led."""
+    below = known.select("repo_id", F.col("sha").alias("chain"), F.col("chain").alias("__chain"), F.col("place").alias("__place"))
+    return steps.join(below, ["repo_id", "chain"]).select(
+        "repo_id", "sha", F.col("__chain").alias("chain"), (F.col("place") + F.col("__place")).alias("place"), F.col("__place").alias("moved")
+    )
+
+
 def history_index(parents: DataFrame) -> History:
     """Index of (repo_id, sha, parent_sha, parent_no); written.
 
     Of a commit's first-parent children one goes on with its chain, the others start chains of their own.
-    Chains and places come from pointer doubling: one row a commit and round, and as many rounds as the
-    binary logarithm of the longest chain. All joins are on (repo_id, sha), so one giant repository
+    Chains and places come from pointer doubling, two doublings a round: one row for each commit whose
+    pointer is not at the end yet, as many rounds as the base-4 logarithm of the longest chain. All joins are on (repo_id, sha), so one giant repository
     spreads over all tasks.
     """
     parents = parents.where("parent_sha is not null")
@@ -42,20 +50,15 @@ def history_index(parents: DataFrame) -> History:
     steps = shas.join(heirs, ["repo_id", "sha"], "left").select(
         "repo_id", "sha", F.coalesce("down", "sha").alias("chain"), F.when(F.col("down").isNull(), 0).otherwise(1).cast("long").alias("place")
     )
-    steps = materialize(steps, "chains")
+    steps = materialize(steps.withColumn("moved", F.col("place")), "chains")
+    commits = None  # those that point to the oldest of their chain
     while True:
-        below = steps.select("repo_id", F.col("sha").alias("chain"), F.col("chain").alias("__chain"), F.col("place").alias("__place"))
-        steps = materialize(
-            steps.join(below, ["repo_id", "chain"]).select(
-                "repo_id", "sha", F.col("__chain").alias("chain"), (F.col("place") + F.col("__place")).alias("place"),
-                (F.col("__place") > 0).alias("moved"),
-            ),
-            "chains",
-        )
-        if steps.where("moved").isEmpty():
+        done, steps = steps.where("moved = 0").drop("moved"), steps.where("moved > 0").drop("moved")
+        commits = done if commits is None else commits.unionByName(done)
+        if steps.isEmpty():
             break
-        steps = steps.drop("moved")
-    commits = steps.drop("moved")
+        twice = _jump(steps, commits.unionByName(steps)).drop("moved")
+        steps = materialize(_jump(twice, commits.unionByName(twice)), "chains")
     to = commits.select("repo_id", F.col("sha").alias("parent_sha"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
     outside = parents.join(heirs.withColumnRenamed("down", "parent_sha"), ["repo_id", "sha", "parent_sha"], "left_anti").unionByName(
         parents.where("parent_no > 0"), allowMissingColumns=True
@@ -82,20 +85,17 @@ def reach(seeds: DataFrame, index: History) -> DataFrame:
     start = seeds.join(index.commits, ["repo_id", "sha"], "left").select(
         "repo_id", F.coalesce("chain", "sha").alias("chain"), "label", F.coalesce("place", F.lit(0)).cast("long").alias("place")
     )
-    known = materialize(_stairs(start), "reached")
-    news = known.withColumn("was", F.lit(-1).cast("long"))
+    known = materialize(_stairs(start).withColumn("was", F.lit(-1).cast("long")), "reached")
+    plain = ["repo_id", "chain", "label", "place"]
     while True:
+        news = known.where("was < place")
+        if news.isEmpty():
+            return known.select(*plain)
         crossed = news.join(index.crossings.withColumnRenamed("place", "__at"), ["repo_id", "chain"]).where("__at <= place and __at > was")
         crossed = crossed.select("repo_id", F.col("to_chain").alias("chain"), "label", F.col("to_place").alias("place"))
-        now = materialize(_stairs(known.unionByName(crossed)), "reached")
-        was = known.withColumnRenamed("place", "was")
-        news = materialize(
-            now.join(was, ["repo_id", "chain", "label"], "left").where("was is null or place > was").withColumn("was", F.coalesce("was", F.lit(-1).cast("long"))),
-            "reached-news",
-        )
-        known = now
-        if news.isEmpty():
-            return known
+        was = known.select("repo_id", "chain", "label", F.col("place").alias("was"))
+        now = _stairs(known.select(*plain).unionByName(crossed)).join(was, ["repo_id", "chain", "label"], "left")
+        known = materialize(now.withColumn("was", F.coalesce("was", F.lit(-1).cast("long"))), "reached")
 
 
 def labels_of(reached: DataFrame, seeds: DataFrame, index: History) -> DataFrame:
