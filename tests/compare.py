@@ -9,6 +9,7 @@ import argparse
 import math
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -74,11 +75,13 @@ def main() -> int:
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="worklake-"))
     con = connect(folder)
     oracles, bad = entry.oracle_sql(), 0
     for name, make in entry.queries().items():

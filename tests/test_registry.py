@@ -1,21 +1,10 @@
-"""Registered queries against their SQL on the smallest data folder (WORKLAKE_ALL=1: really all)."""
-
-import os
+"""Registered queries against their SQL on the smallest data folder."""
 
 import compare as C
 import pytest
 
 import __spark_entry__ as entry
 
-# Many-step queries; their operators are compared with brute force in test_brute_force.
-MANY_STEPS = ("G01", "G04", "G06", "G07", "J08", "J10", "L04")
-every = pytest.mark.skipif(not os.environ.get("WORKLAKE_ALL"), reason="set WORKLAKE_ALL=1")
-
-
-def names(all_names):
-    return [pytest.param(n, marks=every) if n.startswith(MANY_STEPS) else n for n in sorted(all_names)]
-
-
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -25,12 +14,12 @@ def duck():
     return C.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", names(ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     assert C.compare(spark, duck, FOLDER, name, QUERIES[name], ORACLES[name]) in (None, "empty")
 
 
-@pytest.mark.parametrize("name", names(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only(spark, name):
     QUERIES[name](spark, FOLDER).count()
 
