@@ -76,12 +76,12 @@ def main() -> int:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="worklake-compare-"))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="worklake-"))
     con = connect(folder)
     oracles, bad = entry.oracle_sql(), 0
     for name, make in entry.queries().items():

@@ -111,3 +111,20 @@ def test_paths(spark):
 def test_query_terms(spark):
     got = values(spark, X.query_terms(F.col("x")), ["Fix the Retry-logic, retry-logic v2.0!", "the and for", "ab"])
     assert got == [["retry-logic", "v2.0"], ["the", "and", "for"], []]
+
+
+def test_composition_stays_in_the_jvm(spark):
+    """Equal to Python's composition, for any script, without Python on the executors."""
+    import random
+    import unicodedata
+
+    from worklake.functions.text import nfc
+
+    rnd = random.Random(1)
+    blocks = [(0x20, 0x3000), (0x3040, 0x3100), (0xAC00, 0xAD00), (0xF900, 0xFB50), (0x1D150, 0x1D170), (0x2F800, 0x2F900)]
+    pool = [chr(c) for a, b in blocks for c in range(a, b) if unicodedata.category(chr(c)) != "Cn"]
+    texts = ["".join(rnd.choices(pool, k=10)) for _ in range(5000)]
+    texts += ["", None, "плащ й", "й", "中文文本", "“quoted” — dash", "ẹ́", "한", "a" * 50_000 + "́"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nfc(F.col("t")).alias("n"))
+    assert all(r.n == (None if r.t is None else unicodedata.normalize("NFC", r.t)) for r in rows.collect())
+    assert "Python" not in rows._jdf.queryExecution().toString()

@@ -1,18 +1,14 @@
 """Line text: canonical form, significance, keyed fingerprints, content keys, small hashes.
 
-Everything here is a column expression that stays in the JVM; only Unicode composition of text
-holding characters from U+0300 upward goes through one Arrow UDF.
+Everything here is a column expression that stays in the JVM.
 """
 
 from __future__ import annotations
 
 import hashlib
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The whitespace class of the source log format (ECMAScript) and line thresholds.
 SPACE_CHARS = (
@@ -29,14 +25,13 @@ FP_HEX = 16
 MAYBE_DECOMPOSED = r"[^\x{00}-\x{2FF}]"
 
 
-@F.pandas_udf(T.StringType())
-def _compose(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
 def nfc(text: Column) -> Column:
-    """Unicode NFC. Apply to whole texts before splitting: composition never crosses a newline."""
-    return F.coalesce(_compose(F.when(text.rlike(MAYBE_DECOMPOSED), text)), text)
+    """Unicode NFC, by the ICU library that Spark's collations use; text below U+0300 is left alone.
+
+    Apply to whole texts before splitting: composition never crosses a newline.
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(MAYBE_DECOMPOSED), composed).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:

@@ -26,7 +26,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = os.path.join(tempfile.gettempdir(), "worklake-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", shared)
     return shared
 
 
