@@ -118,10 +118,16 @@ def redact(df: DataFrame, col: str, out: str, count: str, by_rule: str | None =
 
 
 def redact_text(text: Column) -> Column:
-    """Only the redacted text, as a plain expression (display strings)."""
+    """Only the redacted text, as a plain expression (display strings).
+
+    Most strings hold no rule's literal and meet no regex.
+    """
+    clean = text
     for _, pattern, replacement in SECRET_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+        clean = F.regexp_replace(clean, pattern, replacement)
+    literals = sorted({h for hints in RULE_HINTS.values() for h in hints})
+    low = F.lower(text)
+    return F.when(reduce(or_, [F.contains(low, F.lit(h)) for h in literals]), clean).otherwise(text)
 
 
 def trim_space(text: Column) -> Column:

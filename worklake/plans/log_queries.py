@@ -80,8 +80,8 @@ def register(q: Registry) -> None:
         lines = log_lines.transcripts(d).withColumn("conv_id", F.regexp_extract("file", r"(\d+)\.jsonl$", 1).cast("bigint"))
         timed = lines.withColumn("file_time", F.timestamp_millis(F.lit(2_000_000_000_000) - F.col("conv_id")))
         ordered = S.transcript_order(timed).select("conv_id", "is_sub", "precedence").distinct()
-        # Sub flag and fixed-width time sort as one string.
-        key = F.concat(F.col("precedence.sub").cast("int"), F.lpad(F.col("precedence.t").cast("string"), 16, "0"))
+        # Sub flag, fixed-width time and path sort as one string, so files of one time keep an order.
+        key = F.concat(F.col("precedence.sub").cast("int"), F.lpad(F.col("precedence.t").cast("string"), 16, "0"), F.lit("\0"), F.col("precedence.file"))
         placed = positions(ordered.withColumn("k", key).withColumn("g", F.lit(0)), ["g"], "k", "p")
         return placed.select("conv_id", "is_sub", (F.col("p") + 1).alias("place"))
 
