@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklake.llm import hashing
-from worklake.llm.tables import broadcast_if_small, materialize, repeated_ids, shared_rows
+from worklake.llm.tables import broadcast_if_small, materialize, repeated_ids, shared_rows, small_batches
 
 #: Words of a shingle, unless the caller says otherwise.
 SHINGLE = 2
@@ -156,6 +156,7 @@ class Links:
 
     def __init__(self, texts: DataFrame, size: int = SHINGLE):
         """`texts`: d (not null), text."""
+        small_batches(texts.sparkSession)
         self.repeated = repeated_ids(texts.select("d"))
         self.sketches = materialize(sketch(texts, self.repeated, size), "sketches")
         some = self.sketches.filter("n_shingles > 0")

@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklake.operators.ordered import checkpoint_dir, materialize
 
-__all__ = ["NO_ID", "broadcast_if_small", "checkpoint_dir", "let", "materialize", "plain_id", "repeated_ids", "shared_rows"]
+__all__ = ["NO_ID", "broadcast_if_small", "checkpoint_dir", "let", "materialize", "plain_id", "repeated_ids", "shared_rows", "small_batches"]
 
 #: Stands for a null id inside the operators; comes before all other ids.
 NO_ID = -(1 << 63)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: texts and sets may be of any length, so a number of rows is no bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def plain_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
