@@ -16,7 +16,7 @@ PLAIN = "the quick brown fox jumps over the lazy dog, again and again. " * 40
 ROWS = [
     (1, "a  b\tc", "en"), (2, "a b c", "en"), (2, "a b c", "en"), (None, "a\nb\nc", None), (None, "a b c", "en"),
     (3, None, "en"), (4, "", None), (5, " ", "en"), (6, "\n\t ", "en"), (7, " a b c", "en"), (8, "one", "xx"),
-    (9, LONG, "en"), (10, LONG + " ", "en"), (11, "." * 50_000, "en"), (12, "x" * 70_000, ""), (13, PLAIN, "en"), (14, PLAIN, "en"),
+    (9, LONG, "en"), (10, PLAIN + " ", "en"), (11, "." * 50_000, "en"), (12, "x" * 70_000, ""), (13, PLAIN, "en"), (14, PLAIN, "en"),
     (15, "a  b c　 d  e", "en"), (16, "▁ sign", "en"), (17, "<|endoftext|> <s> <0x0A> \x00 \U0001f600 日本", "en"),
     (18, "\n\n  lead and trail \r\n\t", "en"), (19, "it's  we'll 3.14,15 é ﻿x", "de"), (20, PLAIN.upper(), "en"),
     (21, "the quick brown;fox " * 50, None),

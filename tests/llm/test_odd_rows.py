@@ -150,6 +150,6 @@ def test_pairs(spark):
     assert got[4].n_prompt_turns == 2 and got[4].same
     assert got[5].n_prompt_turns == 0 and got[5].rejected == "<|assistant|>\n<|end|>\n<|user|>\nmore<|end|>\n"
     lost = [r for r in out if r.pair_id is None]  # each turn without a conversation is one of its own
-    assert sorted(len(r.prompt) for r in lost) == [23, 23, 100_022] and all(r.same and r.n_prompt_turns == 1 for r in lost)
+    assert sorted(len(r.prompt) for r in lost) == [21, 21, 100_022] and all(r.same and r.n_prompt_turns == 1 for r in lost)
     pairs = spark.createDataFrame([(1, "chosen", 0, "user", "a"), (1, "rejected", 0, "user", "b"), (None, "rejected", 0, "user", "c")], "pair_id long, side string, turn long, role string, text string")
     assert sorted((str(r.pair_id), r.chosen[-9:], r.rejected[-9:]) for r in preferences.format_pairs(pairs).collect()) == [("1", "a<|end|>\n", "b<|end|>\n"), ("None", "", "c<|end|>\n")]
