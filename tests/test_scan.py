@@ -80,21 +80,17 @@ def test_a_scan_and_its_repeat(spark, tmp_path, world):
     met = [tuple(r) for r in first.collisions.select("kind", "rel_path", "session_a", "session_b", "overwritten_lines").collect()]
     assert met == [("overwrite", "src/b.py", "s1", "s2", 20)]
     assert first.insights.count() == 0
+    # The outcomes are those of the stage called by hand on what the scan has stored.
+    inside = first.patches.where("rel_path is not null")
+    subjects = M.session_file_subjects(inside).withColumn("ignored", F.lit(False))
+    lines = M.net_session_file(first.patch_lines.where("rel_path is not null")).join(subjects.select(*P.FILE_KEY, "edit_ms"), P.FILE_KEY)
+    on = G.on_default(history.refs, history.parents).withColumn("on_default", F.lit(True))
+    want = M.classify(subjects, lines, history.lines.join(on, ["repo_id", "sha"], "left"), history.snapshots, P.FILE_KEY)
+    both = [sorted(map(str, df.select(*P.FILE_KEY, "class", "line_count", "frac_committed", "first_sha").collect())) for df in (first.outcomes, want)]
+    assert both[0] == both[1] and len(both[0]) == 4
     again = run()
     report = {r.name: r.n for r in again.report.collect()}
     assert report["edits_inserted"] == report["events_inserted"] == 0 and report["events_read"] > 0
     told = lambda df, *drop: sorted(map(str, df.drop(*drop).collect()))
     for name in ("events", "patches", "sessions", "outcomes", "threads", "members", "loops", "collisions"):
         assert told(getattr(first, name)) == told(getattr(again, name)), name
-
-
-def test_outcomes_of_a_scan_equal_the_stage_by_hand(spark, tmp_path, world):
-    logs, repos, history = world
-    got = P.scan(logs(), ["claude-code", "codex"], repos, history, str(tmp_path / "store"), START + 10 * DAY)
-    inside = got.patches.where("rel_path is not null")
-    subjects = M.session_file_subjects(inside).withColumn("ignored", F.lit(False))
-    lines = M.net_session_file(got.patch_lines.where("rel_path is not null")).join(subjects.select(*P.FILE_KEY, "edit_ms"), P.FILE_KEY)
-    on = G.on_default(history.refs, history.parents).withColumn("on_default", F.lit(True))
-    want = M.classify(subjects, lines, history.lines.join(on, ["repo_id", "sha"], "left"), history.snapshots, P.FILE_KEY)
-    both = [sorted(map(str, df.select(*P.FILE_KEY, "class", "line_count", "frac_committed", "first_sha").collect())) for df in (got.outcomes, want)]
-    assert both[0] == both[1] and len(both[0]) == 4
