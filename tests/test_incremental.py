@@ -126,6 +126,13 @@ def test_counters_need_no_scan_of_their_own(spark, tmp_path):
     assert {r.name: r.n for r in I.scan_report(spark, [seen]).collect()} == {"rows": 1000, "odd": 500}
 
 
+def test_kept_rows_are_counted_by_name(spark):
+    sessions = spark.createDataFrame([("a", None, 5), ("b", 1, 9), ("c", None, None)], "session_id string, ended_ms long, last_ms long")
+    patches = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "session_id string")
+    kept = I.prune(sessions, {"patches": patches, "none": patches.where("false")}, 5)
+    assert {r.name: r.n for r in I.row_counts(kept).collect()} == {"sessions": 2, "patches": 3, "none": 0}
+
+
 def test_stream_counters(spark, tmp_path):
     listener = I.StreamCounters()
     spark.streams.addListener(listener)

@@ -160,6 +160,15 @@ def prune(sessions: DataFrame, children: dict[str, DataFrame], before_ms: int) -
     return kept
 
 
+def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
+    """name, n of each frame; each one is counted where it lies."""
+    out = None
+    for name, frame in frames.items():
+        one = frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def delete_by_file(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of source files that are about to be read again."""
     return rows.join(files.select("file").distinct(), "file", "left_anti")

@@ -543,7 +543,7 @@ def register_storage(q: Registry) -> None:
     )
     def _(d):
         kept = I.prune(d.sessions, {"patches": d.patches, "outcomes": d.outcomes}, 900_000_000_000)
-        return I.scan_report(kept)
+        return I.row_counts(kept)
 
     @q.add("S13_delete_by_file", "SELECT event_id FROM log_events WHERE NOT (k % 5 = 0)")
     def _(d):
