@@ -128,3 +128,16 @@ def test_composition_stays_in_the_jvm(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nfc(F.col("t")).alias("n"))
     assert all(r.n == (None if r.t is None else unicodedata.normalize("NFC", r.t)) for r in rows.collect())
     assert "Python" not in rows._jdf.queryExecution().toString()
+
+
+def test_quoted_spans_as_long_as_a_text(spark):
+    """Spans are masked whole, however long, and end where a shorter one would."""
+    rows = [(1, "ab " * 100_000, ""), (2, "a\\\" b c d " * 20_000, ""), (3, "x", "' it" * 30_001)]
+    made = spark.createDataFrame(rows, "k long, body string, tail string").withColumn(
+        "c", F.concat(F.lit('run "'), "body", F.lit('" z'), "tail")
+    )
+    shown = {r.k: r.display for r in R.sanitize_command(made, "c").collect()}
+    assert shown[1] == shown[2] == 'run "[TEXT]" z'
+    assert shown[3] == 'run "x" z' + "' it' it" * 15_000 + "' it"
+    open_end = spark.createDataFrame([(r'go "a b c \" d',), (r'go "a \" b\n"c',)], "c string")
+    assert [r.display for r in R.sanitize_command(open_end, "c").collect()] == ['go "[TEXT]" d', 'go "[TEXT]"c']

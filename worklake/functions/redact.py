@@ -83,7 +83,9 @@ RULE_HINTS: dict[str, tuple[str, ...]] = {
     "jwt": ("eyj",),
 }
 PREFIX_WORDS = ("sudo", "env", "time", "nohup", "exec", "command", "builtin")
-QUOTED = r"""(["'])((?:\\.|(?!\1).)*)\1"""
+# A quoted span: up to the first quote that is not escaped, else up to the last one of the line. Both loops are of
+# kinds that Java walks without recursion, so a span may be as long as a text.
+QUOTED = r"""(["'])(?:(?:\\.|(?!\1).)*+\1|.*\1)"""
 HOME_DIR = rf"""(^|[{SPACE_CHARS}"'`=:(,\[])/(?:Users|home)/[^/{SPACE_CHARS}"'`]+"""
 
 
