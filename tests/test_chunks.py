@@ -119,3 +119,18 @@ def test_a_retried_batch_counts_once(spark, tmp_path):
     state, older = C._version(spark, path, 1)
     assert [r.next_ordinal for r in state.collect()] == [10] and older == [0]
     assert C._version(spark, path, 0)[0].count() == 0
+
+
+def test_a_repeated_total_with_other_parts_at_a_cut(spark):
+    """The line after a repeated total is compared with the line that brought the total, in whichever chunk that was."""
+    counts = [(100, 50), (100, 90), (100, 70), (200, 95)]
+    tokens = lambda total, n: {"type": "token_count", "info": {"total_token_usage": {"total_tokens": total, "input_tokens": n}, "last_token_usage": {"input_tokens": n}}}
+    values = [roll(0, "session_meta", {"id": SID, "timestamp": "2025-03-01T10:00:00Z", "cwd": "/start"})]
+    values += [roll(n, "event_msg", tokens(*c)) for n, c in enumerate(counts, 1)]
+    rows = [(f"rollout-2025-03-01T10-00-00-{SID}.jsonl", n, json.dumps(v, separators=(",", ":"))) for n, v in enumerate(values)]
+    state, got = C.empty_state(spark), []
+    for n, (lo, hi) in enumerate([(0, 3), (3, 4), (4, 5)]):
+        part = spark.createDataFrame([(f, n, k - lo, v) for f, k, v in rows[lo:hi]], "file string, chunk long, ordinal long, value string")
+        out, state = C.read_chunks(part, state, KEY)
+        got += [(r.usage_key, r.input_tokens) for r in out.usage.collect()]
+    assert got == [(f"{SID}:cum:100", 50), (f"{SID}:cum:200", 45)]

@@ -8,24 +8,34 @@ from pyspark.sql import functions as F
 from worklake.operators.ordered import fill_last
 
 TOKENS = ["input_tokens", "output_tokens", "cached_tokens", "reasoning_tokens"]
+PARTS = ["input", "cached", "output", "reasoning"]
+
+
+def changed_counters(counters: DataFrame, chunk_bits: int = 16, before: DataFrame | None = None) -> DataFrame:
+    """Cumulative counters without those that repeat the total of the line before.
+
+    `before` has the last changed counters (file, total, parts) of files whose earlier lines were counted
+    already; they come first, with ordinal -1.
+    """
+    if before is not None:
+        last = before.select("file", "total", *PARTS, F.lit(-1).cast("long").alias("ordinal"))
+        counters = counters.unionByName(last, allowMissingColumns=True)
+    slot = F.shiftright("ordinal", chunk_bits)
+    seen = fill_last(counters, ["file"], slot, ["ordinal"], {"before": F.col("total")}, strict=True)
+    return seen.where(F.col("before").isNull() | (F.col("total") != F.col("before"))).drop("before")
 
 
 def counter_deltas(counters: DataFrame, chunk_bits: int = 16, before: DataFrame | None = None) -> DataFrame:
     """Cumulative counters to usage rows: file, session_id, ordinal, ts_ms, model, total, parts.
 
     A repeated total adds nothing; a grown one adds its difference; a first or smaller one counts
-    the call's own usage. Repeats go first, so each kept line is compared with the last kept one.
-    `before` has the last counters (file, total, parts) of files whose earlier lines were counted already.
+    the call's own usage. Repeats go first, so each kept line is compared with the last kept one
+    (`before`, as in `changed_counters`, for the first line of a file that began earlier).
     """
-    parts = ["input", "cached", "output", "reasoning"]
+    fresh = changed_counters(counters, chunk_bits, before)
     slot = F.shiftright("ordinal", chunk_bits)
-    if before is not None:
-        last = before.select("file", "total", *parts, F.lit(-1).cast("long").alias("ordinal"))
-        counters = counters.unionByName(last, allowMissingColumns=True)
-    seen = fill_last(counters, ["file"], slot, ["ordinal"], {"before": F.col("total")}, strict=True)
-    fresh = seen.where(F.col("before").isNull() | (F.col("total") != F.col("before"))).drop("before")
     kept = fill_last(
-        fresh, ["file"], slot, ["ordinal"], {"prev": F.struct("total", *parts)}, strict=True
+        fresh, ["file"], slot, ["ordinal"], {"prev": F.struct("total", *PARTS)}, strict=True
     )
     grown = F.col("total") > F.col("prev.total")
     delta = lambda p: F.when(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from worklake.config import SECOND
 from worklake.functions.redact import sanitize_command
 from worklake.functions.text import fingerprint_diff, nfc, split_lines
-from worklake.operators.usage import counter_deltas
+from worklake.operators.usage import changed_counters, counter_deltas
 from worklake.sources import variants as V
 from worklake.sources.dialect_a import Logs
 from worklake.sources.files import first_lines, sticky
@@ -472,28 +472,35 @@ def carry(lines: DataFrame, state: DataFrame) -> DataFrame:
     triaged = triage(lines)
     _, heads = _heads(triaged, lines, state)
     latest = lambda value, known: F.max_by(value, F.when(known, F.col("ordinal")))
-    counter = F.struct("total", *COUNTERS)
-    counts = F.col("total").isNotNull() & F.col("session_id").isNotNull()
-    news = own_lines(_counter_fields(triaged), heads).groupBy("file").agg(
+    own = own_lines(_counter_fields(triaged), heads)
+    news = own.groupBy("file").agg(
         latest("ctx_cwd", F.col("ctx_cwd").isNotNull()).alias("new_cwd"),
         latest("ctx_model", F.col("ctx_model").isNotNull()).alias("new_model"),
-        latest(counter, counts).alias("new_counter"),
     )
-    seen = lines.groupBy("file").agg((F.max("ordinal") + 1).alias("next_ordinal"))
-    kept = state.withColumn("old_counter", counter).drop("next_ordinal", *_HEAD, "total", *COUNTERS)
     numbers = ["total", *COUNTERS]
+    # A total that is repeated may come with other parts; the next line is compared with the line that brought it.
+    reports = own.where("total is not null and session_id is not null").select("file", "ordinal", *numbers)
+    counted = changed_counters(reports, before=_last_counters(state)).groupBy("file").agg(
+        F.max_by(F.struct(*numbers), "ordinal").alias("counter")
+    )
+    seen = lines.groupBy("file").agg((F.max("ordinal") + 1).alias("next_ordinal"))
+    kept = state.select("file", "carried_cwd", "carried_model")
     return (
         state.select("file", F.col("next_ordinal").alias("old_next")).join(seen, "file", "full_outer")
         .join(heads.select("file", *_HEAD), "file", "left").join(kept, "file", "left")
-        .join(news, "file", "left")
+        .join(news, "file", "left").join(counted, "file", "left")
         .select(
             "file", F.coalesce("next_ordinal", "old_next").alias("next_ordinal"), *_HEAD,
             F.coalesce("new_cwd", "carried_cwd").alias("carried_cwd"), F.coalesce("new_model", "carried_model").alias("carried_model"),
-            *[F.coalesce(f"new_counter.{c}", f"old_counter.{c}").alias(c) for c in numbers],
+            *[f"counter.{c}" for c in numbers],
         )
     )
 
 
+def _last_counters(state: DataFrame) -> DataFrame:
+    return state.where("total is not null").select("file", "total", *COUNTERS)
+
+
 def read(lines: DataFrame, key: bytes, state: DataFrame | None = None) -> Logs:
     """`lines` carry file, ordinal, value and session_from_name (null when the name has none).
 
@@ -530,6 +537,6 @@ def read(lines: DataFrame, key: bytes, state: DataFrame | None = None) -> Logs:
         .groupBy(F.col("provider_event_type").alias("type"))
         .agg(F.count("*").alias("n"))
     )
-    before = None if state is None else state.where("total is not null").select("file", "total", *COUNTERS)
+    before = None if state is None else _last_counters(state)
     usage = counter_deltas(token_counters(triaged, heads), before=before).withColumn("provider", F.lit(PROVIDER))
     return Logs(events, patches, usage, session_facts(triaged, heads), failures, unknown)
