@@ -133,6 +133,19 @@ def test_kept_rows_are_counted_by_name(spark):
     assert {r.name: r.n for r in I.row_counts(kept).collect()} == {"sessions": 2, "patches": 3, "none": 0}
 
 
+def test_outcomes_are_sorted_behind_their_shuffle(spark):
+    """A task sorts its share of the keys, not all that it reads."""
+    names = "scope string, patch_id string, session_id string, repo_id string, rel_path string, class string, computed_ms long"
+    row = lambda path, kind, ms: ("session-file", None, "s", "r", path, kind, ms)
+    stored = spark.createDataFrame([row("a", "landed", 1), row("b", "landed", 3), row("c", "lost", 2)], names)
+    computed = spark.createDataFrame([row("a", "lost", 2), row("b", "lost", 2), row("c", "landed", 2), row("d", "lost", 1)], names)
+    latest = I.upsert_outcomes(stored, computed)
+    assert {r.rel_path: r["class"] for r in latest.collect()} == {"a": "lost", "b": "landed", "c": "landed", "d": "lost"}
+    plan = latest._jdf.queryExecution().sparkPlan().toString() + latest._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.rindex("AdaptiveSparkPlan"):]
+    assert 0 < plan.index("partial_max_by") < plan.index("Exchange")
+
+
 def test_stream_counters(spark, tmp_path):
     listener = I.StreamCounters()
     spark.streams.addListener(listener)

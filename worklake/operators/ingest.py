@@ -136,10 +136,14 @@ def subject_key() -> Column:
 
 
 def upsert_outcomes(stored: DataFrame, computed: DataFrame) -> DataFrame:
-    """Latest computation per (scope, subject); ids come from the key, so they stay the same."""
+    """Latest computation per (scope, subject); ids come from the key, so they stay the same.
+
+    Whole rows are compared by sorting. They are shuffled first, since few of them share a key: sorted
+    before the shuffle, all that a task reads would lie in its memory at once.
+    """
     both = stored.withColumn("__n", F.lit(0)).unionByName(
         computed.withColumn("__n", F.lit(1))
-    ).withColumn("subject_key", subject_key())
+    ).withColumn("subject_key", subject_key()).repartition("scope", "subject_key")
     value = F.struct(*stored.columns)
     latest = both.groupBy("scope", "subject_key").agg(
         F.max_by(value, F.struct("computed_ms", "__n")).alias("row")
