@@ -171,6 +171,40 @@ def test_collisions_equal_all_pairs(spark, seed):
     assert {k[0] for k in found} == {"overwrite", "concurrent-edit"}
 
 
+def test_meetings_again_and_again_are_not_written(spark, monkeypatch):
+    """Two sessions that take turns on a line all year: one row each way, and nothing else leaves a step."""
+    sessions = [(f"s{k}", "codex", None, "r", 0, 400 * DAY, None, None) for k in range(2)]
+    patches = [(f"p{i:03d}", f"s{i % 2}", "r", "a.ts", i * DAY) for i in range(300)]
+    lines = [(*p, side, "x") for p in patches for side in ("added", "removed")]
+    written, write = [], C.materialize
+
+    def count(df, name="step"):
+        kept = write(df, name)
+        written.append((name, kept.count()))
+        return kept
+
+    monkeypatch.setattr(C, "materialize", count)
+    got = C.detect_collisions(
+        spark.createDataFrame(patches, PATCH), spark.createDataFrame(lines, LINE), spark.createDataFrame(sessions, SESSION),
+        spark.createDataFrame([], "session_id string, rel_path string"),
+    )
+    rows = {(r["kind"], r["session_a"], r["session_b"], r["start_ms"], r["end_ms"], r["overwritten_lines"]) for r in got.collect()}
+    assert rows == {("overwrite", "s0", "s1", 0, DAY, 1), ("overwrite", "s1", "s0", DAY, 2 * DAY, 1)}
+    assert max(n for _, n in written) <= 2
+
+
+@pytest.mark.parametrize("rows", [1, 40])
+def test_meetings_in_spans(spark, rows):
+    """Cutting a file's time line into spans changes no meeting."""
+    _, patches, lines = world(7, 150, hot=0.8, days=9, fps=4)
+    df = spark.createDataFrame(lines, LINE).select(
+        "repo_id", "rel_path", F.col("fp").alias("key"), "session_id", "ts_ms", "patch_id",
+        (F.col("side") == "added").alias("early"), (F.col("side") == "removed").alias("late"),
+    )
+    whole, cut = C.first_meetings(df, DAY), C.first_meetings(df, DAY, rows)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect())) != []
+
+
 def test_smallest_label_reaches_every_ancestor(spark):
     rng = random.Random(9)
     parents, up = [], {}

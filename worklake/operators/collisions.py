@@ -1,114 +1,130 @@
-"""Collisions: two unrelated sessions on one file, without pairing all patches of the file.
+"""Collisions: two unrelated sessions on one file, without listing all meetings of their patches.
 
-Per (file[, line], session) the patches are reduced to activity runs whose neighbours are at most
-the window apart. A later patch lies within the window of an earlier one exactly when its run meets
-the earlier run, so runs are joined on time slots and the few instants a result row needs are
-looked up as-of. Rows between the steps are result pairs, not patch pairs.
+A result row needs the first meeting of two sessions on a file and what lies within the window around
+it. So each file's patches are walked in time order, holding those within the window and the pairs of
+sessions that have met; only first meetings leave the walk. A long file is cut into spans that overlap
+by the window on both sides, and of a pair's meetings the earliest span's stands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklake.config import DAY, MINUTE, LoopRules
-from worklake.operators.ordered import activity_runs, asof, materialize
+from worklake.config import MINUTE, LoopRules
+from worklake.operators.ordered import materialize
 
 FILE = ["repo_id", "rel_path"]
+#: Patches of a file that one span holds, at least one window's.
+SPAN_ROWS = 1_000_000
+MET = "repo_id string, rel_path string, session_a string, session_b string, start_ms long, a_ms long, a_id string, b_ms long, b_id string, keys long"
 
 
 def related_pairs(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id", "parent_session_id", "started_ms", "last_ms")
 
 
-def run_pairs(
-    earlier: DataFrame, later: DataFrame, keys: list[str], window: int
-) -> DataFrame:
-    """Pairs (session_a, session_b) per key and run of a with some b at most `window` after an a.
-
-    Both sides are (keys, session_id, ts_ms, patch_id). Slots are `window` wide and runs have a
-    patch at least every window, so a run never fills more slots than it has patches, plus one.
+def _with_spans(events: DataFrame, window: int, rows: int) -> DataFrame:
+    """Events with the span they belong to (`own`) and, beside a border, once more for the neighbouring span."""
+    slot = F.floor(F.col("ts_ms") / F.lit(window))
+    counts = events.groupBy(*FILE, slot.alias("__slot")).agg(F.count("*").alias("__n"))
+    along = Window.partitionBy(*FILE).orderBy("__slot")
+    before = F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.select(*FILE, "__slot", F.floor(before / rows).alias("span"))
+    near = lambda move, step: F.when(move("__slot").over(along) == F.col("__slot") + step, move("span").over(along))
+    spans = spans.withColumn("__spans", F.array_compact(F.array_distinct(F.array("span", near(F.lag, -1), near(F.lead, 1)))))
+    placed = events.withColumn("__slot", slot).join(spans, [*FILE, "__slot"])
+    return placed.withColumn("__own", F.col("span")).withColumn("span", F.explode("__spans")).withColumn(
+        "own", F.col("span") == F.col("__own")
+    )
+
+
+def _walk_files(window: int):
+    """First meetings of two sessions in rows (repo_id, rel_path, span, ts_ms, patch_id, session_id, key, early, late, own) in this order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in MET.split(", ")])
+        place, last, out = None, None, []
+        recent, oldest, met, closed, ends = {}, deque(), {}, {}, deque()
+        point, fresh = None, []  # early rows of the patch at hand, which others may only follow
+
+        def close(before):
+            while ends and (before is None or ends[0][0] < before):
+                _, b, a = ends.popleft()
+                closed.setdefault(b, set()).add(a)
+                out.append((*place[:2], a, b, *met.pop((b, a))))
+
+        for batch in batches:
+            for repo, path, span, ts, patch, session, key, early, late, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if (repo, path, span) != place:
+                    close(None)
+                    place = (repo, path, span)
+                    recent, oldest, met, closed, ends = {}, deque(), {}, {}, deque()
+                    point, fresh = None, []
+                if (ts, patch) != point:
+                    for k, s in fresh:
+                        recent.setdefault(k, {}).setdefault(s, deque()).append(point)
+                        oldest.append((point[0], k, s))
+                    point, fresh = (ts, patch), []
+                close(ts - window)
+                while oldest and oldest[0][0] < ts - window:
+                    _, k, s = oldest.popleft()
+                    recent[k][s].popleft()
+                    if not recent[k][s]:
+                        del recent[k][s]
+                row = (place, ts, patch, session, key, early, late)
+                if row == last:
+                    continue
+                last = row
+                if late and key in recent:
+                    by = recent[key]
+                    for other in by.keys() - closed.get(session, ()):
+                        if other == session:
+                            continue
+                        first, near = by[other][0], by[other][-1]
+                        m = met.get((session, other))
+                        if m is not None:
+                            m[0] = min(m[0], first[0])
+                            if (m[3], m[4]) == point and near == (m[1], m[2]):
+                                m[5] += 1
+                            elif (m[3], m[4]) == point and near > (m[1], m[2]):
+                                m[1:3], m[5] = near, 1
+                        elif own:
+                            met[session, other] = [first[0], *near, ts, patch, 1]
+                            ends.append((ts, session, other))
+                if early:
+                    fresh.append((key, session))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out.clear()
+        close(None)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def first_meetings(events: DataFrame, window: int, rows: int = SPAN_ROWS) -> DataFrame:
+    """Per file and two sessions, the first `late` patch at most `window` after an `early` one with the same key.
+
+    `events` are (repo_id, rel_path, key, session_id, ts_ms, patch_id, early, late). `a_ms`, `a_id` is the
+    latest early patch before it, `keys` how many keys the two share, `start_ms` the earliest early
+    patch that any late one follows within the window.
     """
-    at = ["ts_ms", "patch_id"]
-    a = activity_runs(earlier, [*keys, "session_id"], at, window)
-    b = activity_runs(later, [*keys, "session_id"], at, window)
-    slots = lambda lo, hi: F.sequence(F.floor(lo / F.lit(window)), F.floor(hi / F.lit(window)))
-    a = a.select(
-        *keys,
-        F.col("session_id").alias("session_a"),
-        F.col("first").alias("a_first"),
-        F.col("last").alias("a_last"),
-        F.explode(slots(F.col("first.ts_ms"), F.col("last.ts_ms") + window)).alias("slot"),
-    )
-    b = b.select(
-        *keys,
-        F.col("session_id").alias("session_b"),
-        F.col("first").alias("b_first"),
-        F.col("last").alias("b_last"),
-        F.explode(slots(F.col("first.ts_ms"), F.col("last.ts_ms"))).alias("slot"),
-    )
-    # Each run pair is taken in the first slot both are in.
-    first_slot = F.floor(F.greatest("a_first.ts_ms", "b_first.ts_ms") / F.lit(window))
-    return (
-        a.join(b, [*keys, "slot"])
-        .where(F.col("session_a") != F.col("session_b"))
-        .where(F.col("slot") == first_slot)
-        .where("b_last > a_first")
-        .where(F.col("b_first.ts_ms") <= F.col("a_last.ts_ms") + window)
-        .select(*keys, "session_a", "session_b", "a_first", "a_last")
-        .distinct()
+    known = events.dropna(subset=[*FILE, "key", "session_id", "ts_ms", "patch_id"])
+    order = [*FILE, "span", "ts_ms", "patch_id", "session_id", "key", "early", "late", "own"]
+    sorted_rows = _with_spans(known, window, rows).select(*order).repartition(*FILE, "span").sortWithinPartitions(*order)
+    met = sorted_rows.mapInArrow(_walk_files(window), MET)
+    rest = F.struct("start_ms", "a_ms", "b_ms", "keys")
+    return met.groupBy(*FILE, "session_a", "session_b").agg(F.min_by(rest, F.struct("b_ms", "b_id")).alias("f")).select(
+        *FILE, "session_a", "session_b", "f.*"
     )
 
 
-def _nearest(
-    probes: DataFrame, events: DataFrame, keys: list[str], session: str, at: Column, out: str,
-    window: int, forward: bool,
-) -> DataFrame:
-    """Adds `out`: the patch of `session` nearest to the instant `at` (struct ts_ms, patch_id)."""
-    probe_keys = [*keys, "session_id"]
-    probed = probes.withColumn("__at", at).withColumn("__ts", F.col("__at.ts_ms")).withColumn(
-        "__id", F.col("__at.patch_id")
-    )
-    wanted = probed.select(
-        *keys, F.col(session).alias("session_id"), F.col("__ts").alias("ts_ms"), F.col("__id").alias("patch_id")
-    ).distinct()
-    own = events.join(wanted.select(*probe_keys).distinct(), probe_keys, "left_semi")
-    found = asof(
-        wanted,
-        own.select(*probe_keys, "ts_ms", "patch_id")
-        .distinct()
-        .withColumn("hit", F.struct("ts_ms", "patch_id")),
-        probe_keys,
-        ["ts_ms", "patch_id"],
-        ["hit"],
-        max(window, DAY),
-        forward=forward,
-    ).select(
-        *keys,
-        F.col("session_id").alias(session),
-        F.col("ts_ms").alias("__ts"),
-        F.col("patch_id").alias("__id"),
-        F.col("hit").alias(out),
-    )
-    return probed.join(found, [*keys, session, "__ts", "__id"], "left").drop("__at", "__ts", "__id")
-
-
-def meetings(earlier: DataFrame, later: DataFrame, keys: list[str], window: int, pairs: DataFrame) -> DataFrame:
-    """Per run pair: first b after an a (`b_at`), the latest a before it (`a_at`), the earliest a
-    that any b follows within the window (`a_start`)."""
-    low = F.struct((F.col("b_at.ts_ms") - window).alias("ts_ms"), F.lit("").alias("patch_id"))
-    # Each step reads the one before several times, so every step is written once.
-    step = _nearest(
-        materialize(pairs, "pairs"), later, keys, "session_b", F.col("a_first"), "b_at", window, True
-    )
-    step = step.where("b_at is not null").where(F.col("b_at.ts_ms") <= F.col("a_last.ts_ms") + window)
-    step = _nearest(
-        materialize(step, "met"), earlier, keys, "session_a", F.col("b_at"), "a_at", window, False
-    )
-    step = _nearest(materialize(step, "met"), earlier, keys, "session_a", low, "a_start", window, True)
-    return materialize(step, "met")
-
-
 def unrelated(pairs: DataFrame, sessions: DataFrame) -> DataFrame:
     """Drops parent/child and sibling pairs; adds both spans (missing ones are unbounded)."""
     side = lambda s: sessions.select(
@@ -141,28 +157,16 @@ def overwrites(
     `patch_lines` are (repo_id, rel_path, fp, side, session_id, ts_ms, patch_id); `landed` are
     (session_id, rel_path) of files that reached a commit.
     """
-    keys = [*FILE, "fp"]
-    open_adds = patch_lines.where("side = 'added'").join(
-        landed.select("session_id", "rel_path").distinct(), ["session_id", "rel_path"], "left_anti"
-    )
-    open_adds = materialize(open_adds, "adds")
-    removed = materialize(patch_lines.where("side = 'removed'"), "removed")
-    pairs = unrelated(run_pairs(open_adds, removed, keys, rules.overwrite_ms), sessions)
-    met = meetings(open_adds, removed, keys, rules.overwrite_ms, pairs)
-    by_pair = [*FILE, "session_a", "session_b"]
-    # The earliest b decides, then the latest a before it; each line has at most one run pair there.
-    first = met.groupBy(*by_pair).agg(
-        F.min("b_at").alias("b_at"), F.min("a_start.ts_ms").alias("start_ms")
-    )
-    # Latest a by (ts, id) at that b, and how many lines the two patches share.
-    at_b = met.select(*by_pair, "fp", "b_at", "a_at").distinct().join(first, [*by_pair, "b_at"])
-    last_a = at_b.groupBy(*by_pair, "b_at", "start_ms").agg(F.max("a_at").alias("a_at"))
-    shared = at_b.join(last_a.select(*by_pair, "a_at"), [*by_pair, "a_at"]).groupBy(*by_pair).agg(
-        F.countDistinct("fp").alias("overwritten_lines")
-    )
-    return last_a.join(shared, by_pair).select(
-        F.lit("overwrite").alias("kind"), *by_pair, "start_ms",
-        F.col("b_at.ts_ms").alias("end_ms"), "overwritten_lines",
+    done = landed.select("session_id", "rel_path", F.lit(True).alias("__landed")).distinct()
+    lines = patch_lines.dropna(subset=["session_id", "rel_path"]).join(done, ["session_id", "rel_path"], "left")
+    early = (F.col("side") == "added") & F.col("__landed").isNull()
+    events = lines.select(
+        *FILE, F.col("fp").alias("key"), "session_id", "ts_ms", "patch_id", early.alias("early"), (F.col("side") == "removed").alias("late")
+    ).where("early or late")
+    met = unrelated(first_meetings(events, rules.overwrite_ms), sessions)
+    return met.select(
+        F.lit("overwrite").alias("kind"), *FILE, "session_a", "session_b", "start_ms",
+        F.col("b_ms").alias("end_ms"), F.col("keys").alias("overwritten_lines"),
         F.lit(None).cast("long").alias("minutes_apart"),
     )
 
@@ -171,21 +175,13 @@ def concurrent_edits(
     patches: DataFrame, sessions: DataFrame, rules: LoopRules = LoopRules()
 ) -> DataFrame:
     """Sessions running at the same time that edited one file within the window."""
-    by_pair = [*FILE, "session_a", "session_b"]
-    patches = materialize(patches, "patches")
-    pairs = unrelated(run_pairs(patches, patches, FILE, rules.concurrent_ms), sessions).where(
-        spans_overlap()
-    )
-    met = meetings(patches, patches, FILE, rules.concurrent_ms, pairs)
-    first = met.groupBy(*by_pair).agg(
-        F.min_by(F.struct("a_at", "b_at"), F.col("b_at")).alias("f"),
-        F.min("a_start.ts_ms").alias("start_ms"),
-    )
-    return first.select(
-        F.lit("concurrent-edit").alias("kind"), *by_pair, "start_ms",
-        F.col("f.b_at.ts_ms").alias("end_ms"),
+    both = [F.lit("").alias("key"), "session_id", "ts_ms", "patch_id", F.lit(True).alias("early"), F.lit(True).alias("late")]
+    met = unrelated(first_meetings(patches.select(*FILE, *both), rules.concurrent_ms), sessions).where(spans_overlap())
+    return met.select(
+        F.lit("concurrent-edit").alias("kind"), *FILE, "session_a", "session_b", "start_ms",
+        F.col("b_ms").alias("end_ms"),
         F.lit(None).cast("long").alias("overwritten_lines"),
-        F.floor((F.col("f.b_at.ts_ms") - F.col("f.a_at.ts_ms")) / MINUTE + 0.5).alias("minutes_apart"),
+        F.floor((F.col("b_ms") - F.col("a_ms")) / MINUTE + 0.5).alias("minutes_apart"),
     )
 
 
@@ -196,7 +192,7 @@ def detect_collisions(
     """One row per (kind, file, session_a, session_b); an overwrite supersedes a concurrent edit."""
     by_pair = [*FILE, "session_a", "session_b"]
     sessions = materialize(sessions, "sessions")
-    over = overwrites(patch_lines, sessions, landed, rules)
+    over = materialize(overwrites(patch_lines, sessions, landed, rules), "overwrites")
     con = concurrent_edits(patches, sessions, rules).join(over.select(*by_pair), by_pair, "left_anti")
     return over.unionByName(con).withColumn(
         "collision_key", F.concat_ws(":", "kind", "repo_id", "rel_path", "session_a", "session_b")
