@@ -134,3 +134,14 @@ def test_a_repeated_total_with_other_parts_at_a_cut(spark):
         out, state = C.read_chunks(part, state, KEY)
         got += [(r.usage_key, r.input_tokens) for r in out.usage.collect()]
     assert got == [(f"{SID}:cum:100", 50), (f"{SID}:cum:200", 45)]
+
+
+def test_texts_are_read_for_the_state_only(spark, tmp_path):
+    """What a batch adds comes from its parsed lines, so the texts are not read and parsed again for each table."""
+    root = tmp_path / "in"
+    root.mkdir()
+    for name, rows in logs().items():
+        (root / f"{name}.0.jsonl").write_text("\n".join(rows) + "\n")
+    out, _ = C.read_chunks(C.chunk_lines(S.read_lines(spark, str(root))), C.empty_state(spark), KEY)
+    for rows in (out.events, out.patches, out.usage, out.failures):
+        assert rows.inputFiles() and not any(str(root) in f for f in rows.inputFiles())

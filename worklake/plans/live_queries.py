@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from worklake.bindings import KEY, NOW_MS
 from worklake.config import DAY, MINUTE
+from worklake.operators.ordered import materialize
 from worklake.plans import log_lines
 from worklake.plans.log_queries import EVENTS_B
 from worklake.plans.match_queries import SQL_COLLISIONS, collision_frames
@@ -21,14 +22,15 @@ CHUNKED = f"""WITH {EVENTS_B}, c AS (SELECT *, last_value(CASE WHEN t = 'signup'
 
 
 def in_chunks(d):
-    """Each rollout cut at two lines of its own into chunks, which are read one after another."""
+    """Each rollout cut at two lines of its own into chunks, which are written as they would arrive and read one after another."""
     lines = log_lines.rollouts(d)
     last = d.events.agg(F.max("event_id")).first()[0] or 0
     cut = lambda n: F.pmod(F.xxhash64("file", F.lit(n)), F.lit(3 * last + 3))
     lines = lines.withColumn("chunk", (F.col("ordinal") >= cut(1)).cast("long") + (F.col("ordinal") >= cut(2)).cast("long"))
+    written = materialize(lines, "chunk-files", by=("chunk",))
     state = chunks.empty_state(d.spark)
     for n in range(3):
-        logs, state = chunks.read_chunks(lines.where(F.col("chunk") == n), state, KEY)
+        logs, state = chunks.read_chunks(written.where(F.col("chunk") == n), state, KEY)
         yield logs
 
 

@@ -457,22 +457,25 @@ _HEAD = [
 ]
 
 
-def _heads(triaged: DataFrame, lines: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Headers that these lines bring, and those of all their logs; a log that began before brings none."""
-    fresh = headers(triaged, lines)
+def log_heads(triaged: DataFrame, lines: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Headers of all logs; those that these lines bring are `fresh`. A log that began before brings none."""
+    fresh = headers(triaged, lines).withColumn("fresh", F.lit(True))
     if state is None:
-        return fresh, fresh
+        return fresh
     fresh = fresh.join(state.select("file"), "file", "left_anti")
     carried = ["carried_cwd", "carried_model"]
-    return fresh, fresh.select("*", *[_null(c) for c in carried]).unionByName(state.select("file", *_HEAD, *carried))
+    known = state.select("file", *_HEAD, *carried, F.lit(False).alias("fresh"))
+    return fresh.select("*", *[_null(c) for c in carried]).unionByName(known)
 
 
-def carry(lines: DataFrame, state: DataFrame) -> DataFrame:
-    """State after these lines: one row a log, whether it has lines here or not."""
-    triaged = triage(lines)
-    _, heads = _heads(triaged, lines, state)
+def counter_lines(triaged: DataFrame, heads: DataFrame) -> DataFrame:
+    """Token reports and context lines of own lines, as fields."""
+    return own_lines(_counter_fields(triaged), heads.drop("fresh"))
+
+
+def carry(own: DataFrame, lines: DataFrame, heads: DataFrame, state: DataFrame) -> DataFrame:
+    """State after `lines`, of which `own` are the `counter_lines`: one row a log, whether it has lines here or not."""
     latest = lambda value, known: F.max_by(value, F.when(known, F.col("ordinal")))
-    own = own_lines(_counter_fields(triaged), heads)
     news = own.groupBy("file").agg(
         latest("ctx_cwd", F.col("ctx_cwd").isNotNull()).alias("new_cwd"),
         latest("ctx_model", F.col("ctx_model").isNotNull()).alias("new_model"),
@@ -507,7 +510,12 @@ def read(lines: DataFrame, key: bytes, state: DataFrame | None = None) -> Logs:
     With `state` (see `carry`), lines go on where earlier chunks of their logs ended.
     """
     triaged = triage(lines)
-    fresh, heads = _heads(triaged, lines, state)
+    return read_triaged(triaged, log_heads(triaged, lines, state), key, state)
+
+
+def read_triaged(triaged: DataFrame, heads: DataFrame, key: bytes, state: DataFrame | None = None) -> Logs:
+    """`read` for lines that are triaged already, with the headers of their logs."""
+    fresh, heads = heads.where("fresh").drop("fresh"), heads.drop("fresh")
     changes = file_changes(triaged, heads, key)
     events = (
         _simple_events(triaged, heads)

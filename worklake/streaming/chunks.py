@@ -32,22 +32,26 @@ def chunk_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def in_log_order(lines: DataFrame, state: DataFrame) -> DataFrame:
+def in_log_order(lines: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (file, chunk, ordinal, ...) placed in their log: chunks by number, behind all that the state has seen.
 
-    One small row a chunk is worked out, written and joined back, so texts are not shuffled for it.
+    One small row a chunk is worked out, written and joined back. The second frame has the places (file,
+    ordinal) of each chunk's first and last line, so that nothing about a log's ends reads the lines again.
     """
-    sizes = lines.groupBy("file", "chunk").agg((F.max("ordinal") + 1).alias("__n"))
+    sizes = lines.groupBy("file", "chunk").agg(F.min("ordinal").alias("__first"), (F.max("ordinal") + 1).alias("__n"))
     before = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.join(state.select("file", "next_ordinal"), "file", "left").select(
-        "file", "chunk",
+        "file", "chunk", "__first", "__n",
         (F.coalesce("next_ordinal", F.lit(0)) + F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__base"),
     )
-    return (
-        lines.join(materialize(placed, "chunk-places"), ["file", "chunk"])
+    places = materialize(placed, "chunk-places")
+    ends = F.array(F.col("__base") + F.col("__first"), F.col("__base") + F.col("__n") - 1)
+    rows = (
+        lines.join(places.select("file", "chunk", "__base"), ["file", "chunk"])
         .withColumn("ordinal", F.col("ordinal") + F.col("__base"))
         .drop("chunk", "__base")
     )
+    return rows, places.select("file", F.explode(ends).alias("ordinal"))
 
 
 def empty_state(spark: SparkSession) -> DataFrame:
@@ -57,11 +61,16 @@ def empty_state(spark: SparkSession) -> DataFrame:
 def read_chunks(lines: DataFrame, state: DataFrame, key: bytes) -> tuple[Logs, DataFrame]:
     """What a batch of chunks (file, chunk, ordinal, value) adds, and the state after it.
 
-    The state is written; give the one this returns to the next batch.
+    The state is written; give the one this returns to the next batch. So are the parsed lines and the
+    headers: texts are parsed once, for the state and for all that is read from the batch.
     """
-    placed = in_log_order(lines, state)
-    rows = placed if "session_from_name" in placed.columns else rollout_order(placed)
-    return B.read(rows, key, state), materialize(B.carry(rows, state), "log-state")
+    placed, ends = in_log_order(lines, state)
+    if "session_from_name" not in placed.columns:
+        placed, ends = rollout_order(placed), rollout_order(ends)
+    triaged = materialize(B.triage(placed), "chunk-lines")
+    heads = materialize(B.log_heads(triaged, ends, state), "log-heads")
+    own = materialize(B.counter_lines(triaged, heads), "log-counters")
+    return B.read_triaged(triaged, heads, key, state), materialize(B.carry(own, ends, heads, state), "log-state")
 
 
 def _version(spark: SparkSession, path: str, before: int) -> tuple[DataFrame, list[int]]:
