@@ -2,6 +2,8 @@
 
 import pytest
 
+from worklake.bindings import NOW_MS, Domain
+from worklake.operators import detect
 from worklake.operators.sessions import session_status
 
 STORIES = {
@@ -32,3 +34,10 @@ def statuses(spark):
 @pytest.mark.parametrize("name", STORIES)
 def test_story(statuses, name):
     assert statuses[name] == STORIES[name][0]
+
+
+def test_loops_place_outcomes_once(spark):
+    """Every rule reads the outcomes that were placed and written, none works them out of the tables anew."""
+    d = Domain(spark, "/root/testdata/sf0.001")
+    loops = detect.detect_loops(d.sessions, d.threads, d.members, d.patches, d.outcomes, NOW_MS)
+    assert loops.inputFiles() and not any("lineitem" in f for f in loops.inputFiles())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worklake.config import InsightRules, LoopRules
 from worklake.functions.text import base36, compact_count, fnv1a
-from worklake.operators.ordered import join_known
+from worklake.operators.ordered import join_known, materialize
 
 LOOP_COLUMNS = [
     "loop_key", "type", "repo_id", "thread_id", "since_ms", "files", "lines", "commits",
@@ -19,18 +19,13 @@ def first_edits(patches: DataFrame) -> DataFrame:
     return patches.groupBy("session_id", "rel_path").agg(F.min("ts_ms").alias("first_edit_ms"))
 
 
-def loop_outcomes(
-    outcomes: DataFrame, patches: DataFrame, members: DataFrame, rules: LoopRules = LoopRules()
-) -> DataFrame:
-    """Session-file outcomes outside ignored folders, with since_ms and their group (thread or session).
-
-    `members` are (session_id, thread_id).
-    """
+def _placed_outcomes(outcomes: DataFrame, patches: DataFrame, members: DataFrame, rules: LoopRules) -> DataFrame:
+    """Session-file outcomes with since_ms, their group (thread or session) and whether their folder is ignored."""
     ignored = F.lit(False)
     for prefix in rules.ignore_prefixes:
         ignored = ignored | F.coalesce(F.col("rel_path").startswith(prefix), F.lit(False))
     return (
-        outcomes.where(~ignored)
+        outcomes.withColumn("ignored", ignored)
         .join(first_edits(patches), ["session_id", "rel_path"], "left")
         .join(members.select("session_id", "thread_id"), "session_id", "left")
         .withColumn("since_ms", F.coalesce("first_edit_ms", "computed_ms"))
@@ -38,6 +33,16 @@ def loop_outcomes(
     )
 
 
+def loop_outcomes(
+    outcomes: DataFrame, patches: DataFrame, members: DataFrame, rules: LoopRules = LoopRules()
+) -> DataFrame:
+    """Session-file outcomes outside ignored folders, with since_ms and their group (thread or session).
+
+    `members` are (session_id, thread_id).
+    """
+    return _placed_outcomes(outcomes, patches, members, rules).where("not ignored").drop("ignored")
+
+
 def _loop(df: DataFrame, key: Column, kind: str, provenance: str) -> DataFrame:
     have = dict.fromkeys(df.columns)
     df = df.withColumn("loop_key", key).withColumn("type", F.lit(kind)).withColumn(
@@ -127,7 +132,10 @@ def _later_in_thread(sessions: DataFrame, members: DataFrame, landed: DataFrame)
 def awaiting_user(
     sessions: DataFrame, members: DataFrame, landed: DataFrame, now_ms: int, rules: LoopRules = LoopRules()
 ) -> DataFrame:
-    rows = _later_in_thread(sessions, members, landed)
+    return _awaiting(_later_in_thread(sessions, members, landed), now_ms, rules)
+
+
+def _awaiting(rows: DataFrame, now_ms: int, rules: LoopRules) -> DataFrame:
     last = F.col("last_ms")
     keep = (
         (F.col("status") == "awaiting-user")
@@ -141,7 +149,10 @@ def awaiting_user(
 def failed_unresolved(
     sessions: DataFrame, members: DataFrame, landed: DataFrame, now_ms: int, rules: LoopRules = LoopRules()
 ) -> DataFrame:
-    rows = _later_in_thread(sessions, members, landed)
+    return _failed(_later_in_thread(sessions, members, landed), now_ms, rules)
+
+
+def _failed(rows: DataFrame, now_ms: int, rules: LoopRules) -> DataFrame:
     last = F.col("last_ms")
     keep = (
         F.col("status").isin("failed", "interrupted")
@@ -157,14 +168,20 @@ def detect_loops(
     sessions: DataFrame, threads: DataFrame, members: DataFrame, patches: DataFrame,
     outcomes: DataFrame, now_ms: int, rules: LoopRules = LoopRules(),
 ) -> DataFrame:
-    found = loop_outcomes(outcomes, patches, members, rules)
-    landed = outcomes.where("class = 'landed'")
+    """All loops. Outcomes of the classes that make loops are placed once and written, as are sessions that wait or failed."""
+    own = outcomes.where("class in ('uncommitted', 'lost', 'landed')").select(
+        "session_id", "repo_id", "rel_path", "class", "line_count", "first_sha", "first_branch", "frac_on_default", "computed_ms"
+    )
+    placed = materialize(_placed_outcomes(own, patches, members, rules).drop("first_edit_ms"), "loop-outcomes")
+    found = placed.where("not ignored")
+    later = _later_in_thread(sessions, members, placed.where("class = 'landed'"))
+    stopped = materialize(later.where("status in ('awaiting-user', 'failed', 'interrupted')"), "loop-sessions")
     parts = [
         uncommitted_output(found, now_ms, rules),
         unmerged_branch(found, sessions, threads, now_ms, rules),
         lost_work(found, rules),
-        awaiting_user(sessions, members, landed, now_ms, rules),
-        failed_unresolved(sessions, members, landed, now_ms, rules),
+        _awaiting(stopped, now_ms, rules),
+        _failed(stopped, now_ms, rules),
     ]
     out = parts[0]
     for p in parts[1:]:
